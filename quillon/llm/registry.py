@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.jaccard import op4_jaccard_metric_join
 from quillon.llm.packing import op2_best_fit_packing
 from quillon.llm.pii import op10_pii_anchor_expansion
 from quillon.llm.token_count import op7_token_counts
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_best_fit_packing,
+        op4_jaccard_metric_join,
         op7_token_counts,
         op10_pii_anchor_expansion,
     )
