@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.jaccard import op4_jaccard_metric_join
 from quillon.llm.packing import op2_best_fit_packing
 from quillon.llm.pii import op10_pii_anchor_expansion
+from quillon.llm.quality import op9_pu_quality
 from quillon.llm.substring import op8_super_kmer_dedup
 from quillon.llm.token_count import op7_token_counts
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_jaccard_metric_join,
         op7_token_counts,
         op8_super_kmer_dedup,
+        op9_pu_quality,
         op10_pii_anchor_expansion,
     )
 }
