@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import mixing
 from quillon.llm.jaccard import op4_jaccard_metric_join
+from quillon.llm.mixing import op5_hierarchical_mixing
 from quillon.llm.packing import op2_best_fit_packing
 from quillon.llm.pii import op10_pii_anchor_expansion
 from quillon.llm.quality import op9_pu_quality
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_best_fit_packing,
         op4_jaccard_metric_join,
+        op5_hierarchical_mixing,
         op7_token_counts,
         op8_super_kmer_dedup,
         op9_pu_quality,
@@ -25,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_hierarchical_mixing": mixing.oracle()}
