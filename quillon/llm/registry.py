@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import mixing
+from quillon.llm.html_text import op3_host_suffix_array
 from quillon.llm.jaccard import op4_jaccard_metric_join
 from quillon.llm.mixing import op5_hierarchical_mixing
 from quillon.llm.packing import op2_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_best_fit_packing,
+        op3_host_suffix_array,
         op4_jaccard_metric_join,
         op5_hierarchical_mixing,
         op7_token_counts,
