@@ -1,6 +1,6 @@
 """Exact substring dedup by super-k-mers.
 
-A window is a run of WIDTH consecutive words of one document; its minimiser is the smallest hash of its word triples. Consecutive windows that share a minimiser are one super-k-mer. It travels once, packed, to the minimiser's bucket, so equal windows of all documents meet there, where sorting finds them; equality is checked word by word (64-bit word hashes).
+A window is a run of WIDTH consecutive words of one document; its minimiser is the smallest hash of its word triples. Consecutive windows that share a minimiser are one super-k-mer. It travels once, packed, to the minimiser's bucket, so equal windows of all documents meet there, where sorting finds them; equality is checked word by word (64-bit word hashes). The packed form is the super-k-mers' own text, compressed bucket by bucket.
 
 Super-k-mers that are equal inside one map step are combined before the shuffle: only the earliest travels, the windows of the others are repeats already. So a passage that a third of all documents share reaches its bucket once a map step.
 
@@ -19,12 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _WS, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
+from quillon.llm.common import _WS, CHUNK_BYTES, cut_lineage, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
 
 #: Words of a minimiser.
 SEED = 3
 #: Words that one map step combines and packs together.
-STEP_WORDS = 2_500_000
+STEP_WORDS = 2_000_000
+#: Documents whose runs are broadcast at most, with four runs each on average (some 20 MB); more are joined by shuffle.
+BROADCAST_DOCS = 200_000
 #: Buckets for each shuffle partition; a reducer holds one bucket at a time.
 BUCKETS = 4
 
@@ -65,26 +67,32 @@ def expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Blob:
-    """Super-k-mers of one bucket: where they stand, and their words through a table of the distinct ones."""
+    """Super-k-mers of one bucket: where they stand, and their text."""
 
     @staticmethod
-    def pack(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray, h: np.ndarray) -> bytes:
-        distinct, index = np.unique(h, return_inverse=True)
-        kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
-        head = np.array([len(doc), len(distinct), len(h), np.dtype(kind).itemsize], np.int64)
-        raw = b"".join(x.tobytes() for x in (head, doc, tag, start.astype(np.int32), n.astype(np.int32), distinct, index.astype(kind)))
-        return zstandard.ZstdCompressor(level=1).compress(raw)
+    def pack(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray, texts: list[bytes]) -> bytes:
+        head = np.array([len(doc)], np.int64)
+        raw = b"".join([*(x.tobytes() for x in (head, doc, tag, start.astype(np.int32), n.astype(np.int32))), b" ".join(texts)])
+        return zstandard.ZstdCompressor(level=3).compress(raw)
 
     @staticmethod
     def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+        """(doc, tag, start, windows, word hashes)."""
         raw = zstandard.ZstdDecompressor().decompress(blob)
-        k, d, w, size = np.frombuffer(raw, np.int64, 4).tolist()
-        at, out = 32, []
-        for kind, n in ((np.int64, k), (np.int64, k), (np.int32, k), (np.int32, k), (np.uint64, d), (np.dtype(f"u{size}"), w)):
-            out.append(np.frombuffer(raw, kind, n, at))
-            at += np.dtype(kind).itemsize * n
-        *place, distinct, index = out
-        return (*place, distinct[index])
+        k, at, place = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+        for kind in (np.int64, np.int32, np.int32, np.int32):
+            place.append(np.frombuffer(raw, kind, k, at))
+            at += np.dtype(kind).itemsize * k
+        hashes = []
+        data = np.frombuffer(raw, np.uint8, len(raw) - at, at)
+        step = CHUNK_BYTES
+        while len(data):  # cut at white space
+            end = step if len(data) > step else len(data)
+            while end < len(data) and data[end] != 32:
+                end += 1
+            hashes.append(words(data[:end], np.array([0, end]))[0])
+            data = data[end:]
+        return (*place, np.concatenate(hashes))
 
 
 def joined_runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -99,11 +107,15 @@ def joined_runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarr
 
 def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """(bucket, blob) of super-k-mers, and with a null blob (doc, tag, start, n) of runs that the map step found repeated."""
-    schema = "bucket int, blob binary, doc long, tag long, start int, n int"
-    arrow = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-
-    def step(hs: list[np.ndarray], counts: list[np.ndarray], doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        h, first = np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    schema = "bucket int, blob binary, doc long, tag int, start int, n int"
+    arrow = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+
+    def step(parts: list[tuple], doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """parts: (word hashes, words of each text, byte starts, byte ends, bytes) of consecutive chunks."""
+        h, first = np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
+        base = np.cumsum([0, *(len(p[4]) for p in parts)])
+        byte_start, byte_end = (np.concatenate([p[i] + at for p, at in zip(parts, base, strict=False)]) for i in (2, 3))
+        data = np.concatenate([p[4] for p in parts]).tobytes()
         low, row, start, n = super_kmers(h, first, width)
         if not len(low):
             return
@@ -126,28 +138,28 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         blobs = []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             k = keep[a:b]
-            blobs.append(Blob.pack(own_doc[k], own_tag[k], own_start[k], n[k], h[expand(start[k], n[k] + width - 1)]))
+            cut = zip(byte_start[start[k]].tolist(), byte_end[start[k] + n[k] + width - 2].tolist(), strict=True)
+            blobs.append(Blob.pack(own_doc[k], own_tag[k], own_start[k], n[k], [data[x:y] for x, y in cut]))
         for a in range(0, len(blobs), 64):
             some = blobs[a : a + 64]
-            no = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[a : a + len(some)]]), pa.array(some, pa.binary()), no, no, pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.int32())], schema=arrow)
+            no = pa.nulls(len(some), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[a : a + len(some)]]), pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()), no, no, no], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, counts, docs_, tags, total = [], [], [], [], 0
+        parts, docs_, tags, total = [], [], [], 0
         for b in batches:
             doc, tag = np.asarray(b.column(0)), np.asarray(b.column(1))
             for i, j, data, off in text_chunks(b.column(2)):
-                h, first, _, _ = words(data, off)
-                hs.append(h)
-                counts.append(np.diff(first))
+                h, first, start, end = words(data, off)
+                parts.append((h, np.diff(first), start, end, data))
                 docs_.append(doc[i:j])
                 tags.append(tag[i:j])
                 total += len(h)
                 if total >= STEP_WORDS:
-                    yield from step(hs, counts, np.concatenate(docs_), np.concatenate(tags))
-                    hs, counts, docs_, tags, total = [], [], [], [], 0
-        if hs:
-            yield from step(hs, counts, np.concatenate(docs_), np.concatenate(tags))
+                    yield from step(parts, np.concatenate(docs_), np.concatenate(tags))
+                    parts, docs_, tags, total = [], [], [], 0
+        if parts:
+            yield from step(parts, np.concatenate(docs_), np.concatenate(tags))
 
     return docs.mapInArrow(run, schema)
 
@@ -188,7 +200,7 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
     """(doc, tag, start, n): windows start to start + n - 1 of the document occur earlier."""
     parts = parallelism(docs.sparkSession)
     packed = _packed(docs, width, parts * BUCKETS)
-    names, kinds = ["doc", "tag", "start", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names, kinds = ["doc", "tag", "start", "n"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def out(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -209,7 +221,7 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
         if blobs:
             yield out(bucket_repeats(blobs, width))
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, tag long, start int, n int")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, tag int, start int, n int")
 
 
 def _uncovered(col: pa.Array, runs: pa.Array, width: int) -> Iterator[tuple[int, int, bytes]]:
@@ -238,13 +250,17 @@ def _uncovered(col: pa.Array, runs: pa.Array, width: int) -> Iterator[tuple[int,
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
 
 
 def _with_runs(docs: DataFrame, width: int) -> DataFrame:
+    """docs with the runs of each; few are broadcast, many joined by shuffle."""
     runs = repeated_runs(docs.select("doc", "tag", "text"), width).distinct()
     runs = runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # no longer than the document
-    return docs.join(runs, ["doc", "tag"], "left")
+    runs = cut_lineage(runs, "runs")
+    n, total = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    few = n <= BROADCAST_DOCS and total <= 4 * BROADCAST_DOCS
+    return docs.join(F.broadcast(runs) if few else runs, ["doc", "tag"], "left")
 
 
 def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
