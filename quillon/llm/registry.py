@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import mixing
+from quillon.llm.edit_sketch import op6_edit_embedding
 from quillon.llm.html_text import op3_host_suffix_array
 from quillon.llm.jaccard import op4_jaccard_metric_join
 from quillon.llm.mixing import op5_hierarchical_mixing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_host_suffix_array,
         op4_jaccard_metric_join,
         op5_hierarchical_mixing,
+        op6_edit_embedding,
         op7_token_counts,
         op8_super_kmer_dedup,
         op9_pu_quality,
