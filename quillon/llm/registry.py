@@ -10,6 +10,7 @@ from quillon.llm import mixing
 from quillon.llm.edit_sketch import op6_edit_embedding
 from quillon.llm.html_text import op3_host_suffix_array
 from quillon.llm.jaccard import op4_jaccard_metric_join
+from quillon.llm.media import op1_lossless_webp
 from quillon.llm.mixing import op5_hierarchical_mixing
 from quillon.llm.packing import op2_best_fit_packing
 from quillon.llm.pii import op10_pii_anchor_expansion
@@ -20,6 +21,7 @@ from quillon.llm.token_count import op7_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lossless_webp,
         op2_best_fit_packing,
         op3_host_suffix_array,
         op4_jaccard_metric_join,
