@@ -19,14 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _WS, CHUNK_BYTES, cut_lineage, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
+from quillon.llm.common import _WS, CHUNK_BYTES, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
 
 #: Words of a minimiser.
 SEED = 3
 #: Words that one map step combines and packs together.
 STEP_WORDS = 2_000_000
-#: Documents whose runs are broadcast at most, with four runs each on average (some 20 MB); more are joined by shuffle.
-BROADCAST_DOCS = 200_000
 #: Buckets for each shuffle partition; a reducer holds one bucket at a time.
 BUCKETS = 4
 
@@ -254,13 +252,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_runs(docs: DataFrame, width: int) -> DataFrame:
-    """docs with the runs of each; few are broadcast, many joined by shuffle."""
     runs = repeated_runs(docs.select("doc", "tag", "text"), width).distinct()
     runs = runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # no longer than the document
-    runs = cut_lineage(runs, "runs")
-    n, total = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
-    few = n <= BROADCAST_DOCS and total <= 4 * BROADCAST_DOCS
-    return docs.join(F.broadcast(runs) if few else runs, ["doc", "tag"], "left")
+    return docs.join(runs.hint("merge"), ["doc", "tag"], "left")
 
 
 def dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
