@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillon.llm import mixing
 from quillon.llm.edit_sketch import op6_edit_embedding
 from quillon.llm.html_text import op3_host_suffix_array
@@ -33,5 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pii_anchor_expansion,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {"op5_hierarchical_mixing": mixing.oracle()}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
