@@ -1,4 +1,394 @@
 """Queries of the matrix engine and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import text
+from quillon.operators import differential as diff
+from quillon.operators import matrix as mx
+from quillon.operators import profile as pf
+from quillon.operators import resample as rs
+from quillon.operators import sets as st
+from quillon.sources import bridge
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+A, B = "ASIA", "EUROPE"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+SAMPLES_SQL = """samples as (select distinct n_name as sample, r_name as grp, n_nationkey as sample_ord, r_regionkey as group_ord
+  from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+QUANT_SQL = f"""with {SAMPLES_SQL},
+q as (select 'P' || lpad(cast(l_partkey as varchar), 7, '0') as feature_id, n_name as sample, r_name as grp, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as value,
+    nullif(count(*) filter (where l_returnflag <> 'R'), 0) as ident
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all)"""
+DENSE_SQL = QUANT_SQL + """,
+d as (select f.feature_id, s.sample, s.grp, q.value, q.ident, case when q.value > -1 then log2(q.value + 1) end as x
+  from (select distinct feature_id from q) f cross join samples s left join q on q.feature_id = f.feature_id and q.sample = s.sample)"""
+
+
+def prepared_sql(share: float) -> str:
+    return DENSE_SQL + f""",
+k as (select *, count(x) over (partition by feature_id) as have, count(*) over (partition by feature_id) as n from d),
+p as (select feature_id, sample, grp, value, x as raw_x, coalesce(x, median(x) over (partition by feature_id)) as x from k where have >= greatest(1, ceil(n * {share})))"""
+
+
+def quant(s, d):
+    return bridge.quant(s, d)
+
+
+def dense(s, d):
+    return mx.dense(bridge.quant(s, d), bridge.samples(s, d))
+
+
+def prepared(s, d, share):
+    return mx.prepared(dense(s, d), share)
+
+
+@query(QUANT_SQL + " select feature_id, sample, grp, value, ident from q")
+def quant_matrix_long(s, d):
+    return quant(s, d)
+
+
+@query(DENSE_SQL + " select feature_id, count(value) as valid, count(*) - count(value) as missing, round(sum(value), 2) as total from d group by all")
+def dense_missingness(s, d):
+    v = F.count("value")
+    return dense(s, d).groupBy("feature_id").agg(v.alias("valid"), (F.count(F.lit(1)) - v).alias("missing"), F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+
+
+@query(f"""with {SAMPLES_SQL}, z as (select l_partkey, n_name as sample, sum(case when l_discount = 0 then 0 else cast(l_extendedprice as decimal(18,2)) end) as v
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all)
+select sample, count(*) as cells, count(*) filter (where v = 0) as raw_zeros, count(nullif(v, 0)) as available from z group by sample""")
+def zero_as_missing(s, d):
+    """A matrix whose zeros mean missing: converted cells and what is left."""
+    lines = bridge.table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_discount", "l_extendedprice")
+    sup = bridge.table(s, d, "supplier").select("s_suppkey", "s_nationkey")
+    nation = bridge.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("sample"))
+    v = F.sum(F.when(F.col("l_discount") == 0, F.lit(0)).otherwise(F.col("l_extendedprice").cast("decimal(18,2)")))
+    z = lines.join(sup, lines.l_suppkey == sup.s_suppkey).groupBy("l_partkey", "s_nationkey").agg(v.alias("v")).join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    return z.groupBy("sample").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("v") == 0).alias("raw_zeros"), F.count(F.nullif("v", F.lit(0))).alias("available"))
+
+
+@query(DENSE_SQL + " select count(distinct feature_id) as features, count(distinct sample) as samples, count(distinct grp) as groups, count(*) as cells, count(value) as available, count(*) - count(value) as missing, count(*) filter (where value = 0) as zeros from d")
+def input_summary(s, d):
+    per = dense(s, d).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("v"), F.count_if(F.col("value") == 0).alias("z"))
+    own = bridge.samples(s, d).agg(F.count_distinct("sample").alias("samples"), F.count_distinct("grp").alias("groups"))
+    total = per.agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("cells"), F.sum("v").alias("available"), F.sum(F.col("n") - F.col("v")).alias("missing"), F.sum("z").alias("zeros"))
+    return total.join(F.broadcast(own)).select("features", "samples", "groups", "cells", "available", "missing", "zeros")
+
+
+@query(prepared_sql(0.3) + " select feature_id, sample, round(x, 6) as x from p")
+def prepared_matrix_30(s, d):
+    return prepared(s, d, 0.3).select("feature_id", "sample", F.round("x", 6).alias("x"))
+
+
+@query(prepared_sql(0.5) + " select feature_id, sample, round(x, 6) as x from p")
+def prepared_matrix_50(s, d):
+    return prepared(s, d, 0.5).select("feature_id", "sample", F.round("x", 6).alias("x"))
+
+
+@query(prepared_sql(0.5) + " select feature_id, sample, round(raw_x, 6) as x from p")
+def stability_input(s, d):
+    """Filtered but not imputed."""
+    return mx.filtered(dense(s, d), 0.5).select("feature_id", "sample", F.round("x", 6).alias("x"))
+
+
+@query(QUANT_SQL + " select sample, grp, count(ident) as identified_protein_count, count(value) as quantified_protein_count from q group by all")
+def sample_counts(s, d):
+    return pf.sample_counts(quant(s, d))
+
+
+@query(QUANT_SQL + ", c as (select sample, grp, count(value) as n from q group by all) select grp, round(avg(n), 6) as mean, round(stddev_samp(n), 6) as sd, count(n) as n from c group by grp")
+def group_count_summary(s, d):
+    return pf.group_counts(pf.sample_counts(quant(s, d)), "quantified_protein_count")
+
+
+_QC = "count(*) as {n}, count(value) as {q}, count(*) - count(value) as {m}, round((count(*) - count(value)) * 100.0 / count(*), 6) as missing_percent, round(median(x), 6) as median_log2_abundance, round(avg(x), 6) as mean_log2_abundance"
+
+
+@query(DENSE_SQL + " select sample, grp, " + _QC.format(n="total_proteins", q="quantified_proteins", m="missing_values") + " from d group by all")
+def qc_sample_summary(s, d):
+    return pf.qc_samples(dense(s, d))
+
+
+@query(DENSE_SQL + " select feature_id, " + _QC.format(n="total_samples", q="quantified_samples", m="missing_samples") + " from d group by all")
+def qc_protein_summary(s, d):
+    return pf.qc_features(dense(s, d))
+
+
+@query(DENSE_SQL + " select feature_id, grp, count(value) as quantified_n, count(*) as total_n, round(count(value) * 100.0 / count(*), 6) as quantified_percent from d group by all")
+def qc_protein_group(s, d):
+    return pf.qc_feature_groups(dense(s, d))
+
+
+@query(DENSE_SQL + """, m as (select feature_id, count(*) - count(value) as k, count(*) as n from d group by all)
+select l as missing_samples, count(k) as proteins, round(count(k) * 100.0 / (select count(*) from m), 6) as percent from generate_series(0, (select max(n) from m)) g(l) left join m on m.k = l group by l""")
+def qc_missing_histogram(s, d):
+    return pf.qc_histogram(dense(s, d))
+
+
+@query(DENSE_SQL + """ select feature_id, round((count(*) - count(value)) * 100.0 / count(*), 6) as missing_percent from d group by feature_id having count(value) > 0 and count(value) < count(*)
+order by 2 desc, 1 limit 200""")
+def qc_heatmap_top(s, d):
+    return pf.qc_heatmap_top(dense(s, d))
+
+
+_RANK = " select feature_id, sample, grp, value, row_number() over (partition by sample order by value desc, feature_id) as rank, round({f}(value + 1), 6) as transformed from q"
+
+
+@query(QUANT_SQL + _RANK.format(f="log10"))
+def rank_abundance_log10(s, d):
+    return pf.rank_abundance(quant(s, d), "log10")
+
+
+@query(QUANT_SQL + _RANK.format(f="log2"))
+def rank_abundance_log2(s, d):
+    return pf.rank_abundance(quant(s, d), "log2")
+
+
+_CV = QUANT_SQL + ", v as (select feature_id, grp, round(100 * stddev_samp(value) / avg(value), 6) as cv from q group by all having count(value) >= 2 and avg(value) > 0)"
+
+
+@query(_CV + " select feature_id, grp, cv from v")
+def cv_values(s, d):
+    return pf.variation(quant(s, d))
+
+
+@query(_CV + " select grp, round(median(cv), 6) as median_cv from v where cv between 0 and 60 group by grp")
+def cv_median(s, d):
+    return pf.median_variation(quant(s, d))
+
+
+_PEARSON = prepared_sql(0.3) + ", c as (select a.sample as sample1, b.sample as sample2, round(corr(a.x, b.x), 6) + 0.0 as correlation from p a join p b using (feature_id) group by all)"
+
+
+@query(_PEARSON + " select * from c")
+def correlation_pearson(s, d):
+    return pf.correlation(prepared(s, d, 0.3), bridge.samples(s, d))
+
+
+@query(prepared_sql(0.3) + """, r as (select feature_id, sample, cast(rank() over (partition by sample order by x) + (count(*) over (partition by sample, x) - 1) / 2.0 as double) as x from p)
+select a.sample as sample1, b.sample as sample2, round(corr(a.x, b.x), 6) as correlation from r a join r b using (feature_id) group by all""")
+def correlation_spearman(s, d):
+    return pf.correlation(prepared(s, d, 0.3), bridge.samples(s, d), "spearman")
+
+
+@query(_PEARSON + """, o as (select sample, grp, row_number() over (order by group_ord, sample_ord) as place from samples)
+select c.sample1, c.sample2, c.correlation, a.grp as group1, a.place as ordered1, b.grp as group2, b.place as ordered2 from c join o a on a.sample = sample1 join o b on b.sample = sample2""")
+def correlation_group_order(s, d):
+    own = bridge.samples(s, d)
+    return pf.in_group_order(pf.correlation(prepared(s, d, 0.3), own), own)
+
+
+GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_SETS = QUANT_SQL + ", g as (select grp, feature_id, count(ident) as replicates from q group by all having count(ident) >= 2)"
+_FLAG = "cast(max(case when grp = '{g}' then 1 else 0 end) as integer)"
+
+
+def sets(s, d):
+    return st.group_sets(quant(s, d), 2)
+
+
+@query(_SETS + " select grp, feature_id, replicates from g")
+def group_sets(s, d):
+    return sets(s, d)
+
+
+@query(_SETS + " select feature_id, " + ", ".join(f"{_FLAG.format(g=g)} as {g.lower().replace(' ', '_')}" for g in GROUPS) + " from g group by feature_id")
+def set_membership(s, d):
+    return st.membership(sets(s, d), GROUPS)
+
+
+@query(_SETS + ", c as (select feature_id, " + " || ".join(f"cast({_FLAG.format(g=g)} as varchar)" for g in GROUPS) + " as combo from g group by feature_id) select combo, count(*) as proteins from c group by combo")
+def set_intersections(s, d):
+    return st.intersections(sets(s, d), GROUPS)
+
+
+_ANN = _SETS + ", a as (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as accession, cast(p_size as integer) as length, p_retailprice as mw, p_type as subcellular_class, cast(p_size % 5 as integer) as tm_helices from part where p_partkey % 10 <> 0), l as (select g.grp, g.feature_id as accession, a.* exclude (accession) from g left join a on a.accession = g.feature_id)"
+
+
+@query(_ANN + " select * from l")
+def annotation_long(s, d):
+    return st.annotated(sets(s, d), bridge.annotations(s, d)).select("grp", "accession", "length", "mw", "subcellular_class", "tm_helices")
+
+
+@query(_ANN + " select grp, count(*) as queried, count(length) as matched, count(*) - count(length) as unmatched, round(100.0 * count(length) / count(*), 6) as match_percent from l group by grp")
+def annotation_coverage(s, d):
+    return st.coverage(sets(s, d), bridge.annotations(s, d))
+
+
+@query(_ANN + """, t as (select grp, case when tm_helices >= 3 then '>=3' else cast(tm_helices as varchar) end as c from l where tm_helices is not null),
+n as (select g.grp, k.c as tm_category, (select count(*) from t where t.grp = g.grp and t.c = k.c) as protein_count from (select distinct grp from t) g cross join (values ('0'), ('1'), ('2'), ('>=3')) k(c))
+select *, cast(sum(protein_count) over (partition by grp) as bigint) as denominator, round(protein_count / cast(sum(protein_count) over (partition by grp) as double), 6) as proportion from n""")
+def tm_category_proportions(s, d):
+    return st.tm_proportions(st.annotated(sets(s, d), bridge.annotations(s, d)))
+
+
+@query(_ANN + """, n as (select grp, subcellular_class, count(*) as n from l where subcellular_class <> '' group by all), m as (select *, cast(sum(n) over (partition by grp) as bigint) as denominator from n)
+select *, round(n / cast(denominator as double), 6) as proportion, case when n / cast(denominator as double) >= 0.06 then printf('%.1f%%', round(n * 100 / cast(denominator as double), 1)) else '' end as label from m""")
+def subcellular_proportions(s, d):
+    return st.class_proportions(st.annotated(sets(s, d), bridge.annotations(s, d)))
+
+
+_TWO = DENSE_SQL + f""", s as (select feature_id, count(x) filter (where grp = '{A}') as n_a, count(x) filter (where grp = '{B}') as n_b, avg(x) filter (where grp = '{A}') as mean_a, avg(x) filter (where grp = '{B}') as mean_b,
+  var_samp(x) filter (where grp = '{A}') as var_a, var_samp(x) filter (where grp = '{B}') as var_b, avg(value) filter (where grp = '{A}') as raw_a, avg(value) filter (where grp = '{B}') as raw_b
+  from d where grp in ('{A}', '{B}') group by feature_id having count(value) > 0)"""
+
+
+@query(_TWO + " select feature_id, round(mean_a, 6) as mean_a_log2, round(mean_b, 6) as mean_b_log2, round(mean_b - mean_a, 6) as log2fc_logmean, round(case when raw_b / raw_a > 0 then log2(raw_b / raw_a) end, 6) as log2fc_ratio from s")
+def volcano_fold_change(s, d):
+    return diff.fold_change(diff.two_groups(quant(s, d), A, B))
+
+
+_WELCH = _TWO + ", w as (select *, var_a / n_a + var_b / n_b as se2 from s where n_a >= 2 and n_b >= 2), t as (select feature_id, (mean_b - mean_a) / sqrt(se2) as t, se2 ** 2 / ((var_a / n_a) ** 2 / (n_a - 1) + (var_b / n_b) ** 2 / (n_b - 1)) as df from w where se2 > 0)"
+
+
+@query(_WELCH + " select feature_id, round(t, 6) as t, round(df, 6) as df from t")
+def volcano_welch_stat(s, d):
+    return diff.welch(diff.two_groups(quant(s, d), A, B)).select("feature_id", F.round("t", 6).alias("t"), F.round("df", 6).alias("df"))
+
+
+def _volcano(s, tests, p_name):
+    fc = diff.fold_change(s)
+    tests = diff.adjusted(tests.withColumn("p", diff.p_value("t", "df")))
+    return fc.join(tests, "feature_id", "left").select("feature_id", "log2fc_logmean", F.round("t", 6).alias("t"), F.round("p", 9).alias("p_value"), F.round("q", 9).alias("adjusted_p"), diff.regulation(F.col("log2fc_logmean"), F.col("p")).alias("regulation"), F.lit(p_name).alias("method"))
+
+
+@query()
+def volcano_welch_p(s, d):
+    g = diff.two_groups(quant(s, d), A, B)
+    return _volcano(g, diff.welch(g), "welch")
+
+
+@query()
+def volcano_moderated(s, d):
+    g = diff.two_groups(quant(s, d), A, B)
+    return _volcano(g, diff.moderated(g), "moderated")
+
+
+@query(_WELCH + ", p as (select feature_id, round(1 / (1 + abs(t) * sqrt(df)), 9) as p from t), r as (select *, row_number() over (order by p, feature_id) as i, count(*) over () as n from p) select feature_id, p, round(least(1.0, min(p * n / i) over (order by p desc, feature_id desc rows unbounded preceding)), 9) as q from r")
+def bh_adjust(s, d):
+    """Adjustment of a stand-in p that both engines can state."""
+    w = diff.welch(diff.two_groups(quant(s, d), A, B)).select("feature_id", F.round(1 / (1 + F.abs("t") * F.sqrt("df")), 9).alias("p"))
+    return diff.adjusted(w).select("feature_id", "p", F.round("q", 9).alias("q"))
+
+
+@query(prepared_sql(0.5) + ", v as (select feature_id, round(var_samp(x), 9) as variance from p group by feature_id), b as (select * from v order by variance desc, feature_id limit 100) select p.feature_id, p.sample, round(coalesce((x - avg(x) over f) / nullif(stddev_samp(x) over f, 0), 0), 6) as z from p join b using (feature_id) window f as (partition by p.feature_id)")
+def heatmap_zscore_topvar(s, d):
+    z = mx.z_scores(mx.top_variance(prepared(s, d, 0.5), 100))
+    return z.select("feature_id", "sample", F.round("z", 6).alias("z"))
+
+
+@query("""with r as (select *, row_number() over (partition by o_custkey order by case when o_orderpriority = '1-URGENT' then 0 else 1 end, o_orderkey) as n from orders) select o_custkey, o_orderkey, o_orderpriority from r where n = 1""")
+def representative_row(s, d):
+    """The first marked row of each group, else its first."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc(F.col("o_orderpriority") == "1-URGENT"), "o_orderkey")
+    return bridge.table(s, d, "orders").withColumn("n", F.row_number().over(w)).filter("n = 1").select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("select l_orderkey, l_linenumber, cast(l_partkey as varchar) || case when n > 0 then '.' || n else '' end as analysis_id from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) - 1 as n from lineitem)")
+def unique_suffix(s, d):
+    """Repeated identifiers made unique by a running number."""
+    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    t = bridge.table(s, d, "lineitem").withColumn("n", n)
+    return t.select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.when(F.col("n") > 0, F.concat(F.lit("."), F.col("n").cast("string"))).otherwise("")).alias("analysis_id"))
+
+
+@query(f"with {SAMPLES_SQL} select sample, lower(substr(grp, 1, 3)) || '-' || row_number() over (partition by grp order by sample_ord) as short_name from samples")
+def short_sample_names(s, d):
+    n = F.row_number().over(Window.partitionBy("grp").orderBy("sample_ord"))
+    return bridge.samples(s, d).select("sample", F.concat(F.lower(F.substring("grp", 1, 3)), F.lit("-"), n.cast("string")).alias("short_name"))
+
+
+@query("select l_returnflag, count(*) as rows from lineitem where coalesce(trim(l_returnflag), '') not in ('R', '+', 'TRUE', 'True', 'true', '1') group by all")
+def contaminant_filter(s, d):
+    keep = ~F.coalesce(F.trim("l_returnflag"), F.lit("")).isin("R", "+", "TRUE", "True", "true", "1")
+    return bridge.table(s, d, "lineitem").filter(keep).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""with i as (select c_custkey, 'sp|Q' || lpad(cast(c_custkey as varchar), 6, '0') || '|' || upper(c_mktsegment) || '_X extra;other' as raw from customer)
+select c_custkey, regexp_extract(raw, '^(?:sp|tr)\\|([^|]+)', 1) as accession, regexp_extract(raw, '^(?:sp|tr)\\|[^|]+\\|([^| ]+)', 1) as entry_name, trim(split_part(raw, ';', 1)) as first_value from i""")
+def clean_accession(s, d):
+    raw = F.concat(F.lit("sp|Q"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit("|"), F.upper("c_mktsegment"), F.lit("_X extra;other"))
+    return bridge.table(s, d, "customer").select("c_custkey", text.clean_accession(raw).alias("accession"), text.entry_name(raw).alias("entry_name"), text.take_first(raw).alias("first_value"))
+
+
+_Y = "with y as (select vec_id as id, cast(label as varchar) as y from embeddings) "
+
+
+def labelled(s, d):
+    return bridge.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("y"))
+
+
+@query(_Y + "select id, y, (row_number() over (partition by y order by md5('123|' || id), id) - 1) % 5 + 1 as fold from y")
+def stratified_folds(s, d):
+    return rs.folds(labelled(s, d), 5)
+
+
+@query(_Y + "select id, y, case when row_number() over (partition by y order by md5('123|' || id), id) <= greatest(1, least(count(*) over (partition by y) - 1, ceil(count(*) over (partition by y) * 0.7))) then 'train' else 'test' end as part from y")
+def train_test_split(s, d):
+    return rs.train_test(labelled(s, d))
+
+
+@query(_Y + "select repeat, id, y, case when row_number() over (partition by repeat, y order by md5((repeat + 122) || '|' || id), id) <= least(count(*) over (partition by repeat, y) - 1, ceil(count(*) over (partition by repeat, y) * 0.8)) then 'train' else 'test' end as part from (select *, cast(unnest(generate_series(1, 5)) as integer) as repeat from y)")
+def split_plan(s, d):
+    return rs.split_plan(labelled(s, d), 5)
+
+
+_PRED = "with pr as (select vec_id, cast(label % 3 as varchar) as actual, cast(cast(floor(abs(embedding[1]) * 100) as bigint) % 3 as varchar) as predicted, round(cast(embedding[2] as double), 3) as score from embeddings) "
+
+
+def predictions(s, d):
+    """A rule's predictions, which both engines can state."""
+    e = bridge.table(s, d, "embeddings")
+    rule = F.floor(F.abs(F.col("embedding")[0]) * F.lit(100).cast("float")).cast("long") % 3
+    return e.select("vec_id", (F.col("label") % 3).cast("string").alias("actual"), rule.cast("string").alias("predicted"), F.round(F.col("embedding")[1].cast("double"), 3).alias("score"))
+
+
+@query(_PRED + "select actual, predicted, count(*) as n from pr group by all")
+def confusion_matrix(s, d):
+    return rs.confusion(predictions(s, d))
+
+
+_METRICS = _PRED + """, c as (select distinct actual as class from pr union select distinct predicted from pr),
+m as (select class, count(*) filter (where actual = class and predicted = class) as tp, count(*) filter (where actual <> class and predicted = class) as fp, count(*) filter (where actual <> class and predicted <> class) as tn,
+  count(*) filter (where actual = class and predicted <> class) as fn from c cross join pr group by class),
+r as (select *, round(tp / nullif(tp + fn, 0), 6) as sensitivity, round(tn / nullif(tn + fp, 0), 6) as specificity, round(tp / nullif(tp + fp, 0), 6) as precision, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from m)"""
+
+
+@query(_METRICS + " select * from r")
+def class_metrics(s, d):
+    return rs.class_metrics(predictions(s, d))
+
+
+@query(_METRICS + " select (select round(avg(case when actual = predicted then 1.0 else 0 end), 6) from pr) as accuracy, round(avg(sensitivity), 6) as macro_sensitivity, round(avg(specificity), 6) as macro_specificity, round(avg(precision), 6) as macro_precision, round(avg(f1), 6) as macro_f1 from r")
+def macro_summary(s, d):
+    return rs.summary(predictions(s, d))
+
+
+_BY = _PRED + ", b as (select score, count(*) filter (where actual = '1') as p, count(*) filter (where actual <> '1') as q from pr group by score)"
+
+
+@query(_BY + " select score as threshold, round(sum(p) over (order by score desc) / cast(sum(p) over () as double), 6) as tpr, round(sum(q) over (order by score desc) / cast(sum(q) over () as double), 6) as fpr from b")
+def roc_curve(s, d):
+    return rs.roc(predictions(s, d), "1")
+
+
+@query(_BY + ", c as (select *, coalesce(sum(q) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from b) select round(sum((below + q / 2.0) * p) / cast(sum(p) * sum(q) as double), 6) as auc from c")
+def roc_auc(s, d):
+    return rs.auc(predictions(s, d), "1")
