@@ -11,7 +11,9 @@ from quillon.functions import text
 from quillon.operators import differential as diff
 from quillon.operators import matrix as mx
 from quillon.operators import profile as pf
+from quillon.operators import reduce as rd
 from quillon.operators import resample as rs
+from quillon.operators import select as sl
 from quillon.operators import sets as st
 from quillon.sources import bridge
 
@@ -392,3 +394,90 @@ def roc_curve(s, d):
 @query(_BY + ", c as (select *, coalesce(sum(q) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from b) select round(sum((below + q / 2.0) * p) / cast(sum(p) * sum(q) as double), 6) as auc from c")
 def roc_auc(s, d):
     return rs.auc(predictions(s, d), "1")
+
+
+def half_prepared(s, d):
+    return prepared(s, d, 0.5), bridge.samples(s, d)
+
+
+@query()
+def pca_scores(s, d):
+    return rd.pca(*half_prepared(s, d))
+
+
+@query()
+def pca_variance(s, d):
+    return rd.pca_variance(*half_prepared(s, d))
+
+
+@query()
+def tsne_coordinates(s, d):
+    return rd.tsne(*half_prepared(s, d))
+
+
+@query()
+def umap_coordinates(s, d):
+    return rd.umap(*half_prepared(s, d))
+
+
+@query()
+def heatmap_sample_clusters(s, d):
+    return rd.sample_clusters(*half_prepared(s, d))
+
+
+@query()
+def heatmap_feature_kmeans(s, d):
+    return rd.feature_kmeans(mx.top_variance(prepared(s, d, 0.5), 100))
+
+
+@query()
+def correlation_clusters(s, d):
+    return rd.correlation_clusters(pf.correlation(prepared(s, d, 0.3), bridge.samples(s, d)))
+
+
+@query()
+def pseudotime(s, d):
+    return rd.pseudotime(*half_prepared(s, d), "AFRICA")
+
+
+@query(prepared_sql(0.5) + """, c as (select feature_id, round(x, 9) as x, cast(sample_ord as double) as t from p join samples using (sample)),
+r as (select feature_id, x, cast(rank() over (partition by feature_id order by x) + (count(*) over (partition by feature_id, x) - 1) / 2.0 as double) as rx,
+  cast(rank() over (partition by feature_id order by t) + (count(*) over (partition by feature_id, t) - 1) / 2.0 as double) as rt from c)
+select feature_id, round(corr(rx, rt), 6) as rho from r group by feature_id having count(distinct x) > 2 and not isnan(corr(rx, rt))""")
+def order_spearman(s, d):
+    """Features along a given order of samples."""
+    order = bridge.samples(s, d).select("sample", F.col("sample_ord").cast("double").alias("t"))
+    return rd.rank_correlation(prepared(s, d, 0.5), order).select("feature_id", F.round("rho", 6).alias("rho"))
+
+
+@query()
+def pseudotime_spearman(s, d):
+    p, own = half_prepared(s, d)
+    order = rd.pseudotime(p, own, "AFRICA").filter("lineage = 1").select("sample", F.col("pseudotime").alias("t"))
+    return rd.rank_correlation(p, order).select("feature_id", F.round("rho", 6).alias("rho"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+
+
+def _stability(s, d, repeats=10):
+    f = mx.filtered(dense(s, d), 0.5)
+    return sl.stability(sl.fits(f, bridge.samples(s, d), repeats), f, repeats)
+
+
+@query()
+def rf_stability(s, d):
+    return sl.ranked(_stability(s, d), "forest_score")
+
+
+@query()
+def l1_stability(s, d):
+    return sl.ranked(_stability(s, d), "l1_frequency")
+
+
+@query()
+def combined_score(s, d):
+    return sl.ranked(_stability(s, d), "combined_score")
+
+
+@query()
+def feature_union(s, d):
+    t = _stability(s, d)
+    return sl.union_of([("rf", sl.ranked(t, "forest_score", 20)), ("l1", sl.ranked(t, "l1_frequency", 20)), ("rfl1", sl.ranked(t, "combined_score", 20))])

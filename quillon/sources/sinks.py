@@ -1,0 +1,37 @@
+"""Tables, matrices and manifests as files."""
+
+from __future__ import annotations
+
+import html
+import json
+import time
+
+import pyspark
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.operators.matrix import wide
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """csv has a header and empty nulls; parquet and json are written as they are."""
+    w = df.write.mode("overwrite")
+    w.csv(path, header=True, nullValue="") if fmt == "csv" else w.format(fmt).save(path)
+    return path
+
+
+def write_matrix(q: DataFrame, samples: list[str], path: str, column: str = "value", fmt: str = "csv") -> str:
+    """feature_id and a column for each sample."""
+    return write_table(wide(q, samples, column), path, fmt)
+
+
+def _write_text(spark: SparkSession, content: str, path: str) -> None:
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_manifest(spark: SparkSession, path: str, analysis: str, parameters: dict, outputs: list[str], note: str = "") -> dict:
+    """What ran, with what, to which files: JSON, and the same as a page of HTML."""
+    out = {"time": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "versions": {"spark": spark.version, "pyspark": pyspark.__version__}, "analysis": {"id": analysis, "parameters": parameters, "note": note}, "outputs": outputs}
+    text = json.dumps(out, indent=1, default=str)
+    _write_text(spark, text, f"{path}/analysis_manifest.json")
+    _write_text(spark, f"<html><body><h1>{html.escape(analysis)}</h1><pre>{html.escape(text)}</pre></body></html>", f"{path}/analysis_summary.html")
+    return out
