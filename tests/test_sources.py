@@ -88,3 +88,12 @@ def test_sinks_and_groups(spark, tmp_path):
     assert spark.read.csv(out, header=True).count() == 4
     m = sinks.write_manifest(spark, str(tmp_path), "qc", {"n": 1}, [out])
     assert m["analysis"]["id"] == "qc" and spark.read.text(str(tmp_path / "analysis_summary.html")).count() > 0
+
+
+def test_run_writes_rows_and_manifest(spark, tmp_path):
+    from quillon.plans.run import run
+
+    m = run(spark, "sample_counts", "/root/testdata/sf0.001", str(tmp_path))
+    assert spark.read.parquet(m["outputs"][0]).count() > 0
+    with pytest.raises(KeyError):
+        run(spark, "none", "x", "y")
