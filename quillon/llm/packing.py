@@ -90,7 +90,7 @@ class BestFit:
         return bin_, self.capacity - free
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
                 while start < n:
                     pieces.append((length, doc, piece, start, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                     start, length, piece = start + length, capacity, piece + 1
-            for length, doc, piece, start, crc in sorted(pieces, key=lambda p: -p[0]):  # long pieces of a batch first: short ones fill the gaps
+            for length, doc, piece, start, crc in sorted(pieces, key=lambda p: -p[0]):  # long pieces of a batch first: short ones fill the gaps while their bins are open
                 bin_, offset = bins.place(length)
                 for f, v in zip(add, (doc, piece, start, length, crc, base + bin_, offset), strict=True):
                     f(v)
