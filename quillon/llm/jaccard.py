@@ -3,18 +3,21 @@
 Jaccard distance is a metric, and so is 1 - min/max on set sizes, which never exceeds it. The join works in three levels, each exact:
 
 1. Size pivots. A ladder of sizes are the pivots of Voronoi regions on the size axis; a text goes to the region of its own size and, if the triangle-inequality window reaches over the border, to the one below as well.
-2. Projection cells. Linked texts of one region differ in at most D shingles. The shingle universe is dealt into more than D parts, so two linked texts agree on all of some part that isn't empty: cells are texts with equal projections, each text lies in one cell a part. Only hashes are shuffled.
-3. Pivot documents. In each cell with different texts the one with most neighbours is the pivot. Texts within the radius are linked to it; the others can only be linked to texts whose distance from that pivot differs by no more than the radius, and the rest of the cell joins again with more pivots, until all that is left of a cell is known to be one component.
+2. Cells. Linked texts of one region differ in at most D shingles. The shingle universe is dealt into more than D parts, so two linked texts agree on all of some part that isn't empty: texts that share no projection with any other text are done, and only hashes have been shuffled. Those left meet in shingle cells: all their shingles have one order, rare ones first, and two linked texts share a shingle among the first few of either, as many as its smallest partner there allows it to miss, plus one. A shingle's place bounds the overlap that a pair can still reach, which leaves a window around each text.
+3. Pivot documents. In each cell the text with most neighbours is the pivot. Texts within the radius are linked to it; the others can only be linked to texts whose distance from that pivot differs by no more than the radius (triangle inequality), and what is left of the cell joins again with more pivots, until it is known to be one component or has no pair left to try.
 
 Plain Voronoi regions around sampled documents, without levels 1 and 2, don't part such texts: unrelated texts all lie at a distance near 1 from every pivot, so the windows copy nearly every text to every region.
 
-Copies (equal sets) are one class from the start. Shingles, sets and projections are told apart by 64-bit hashes. Distances between candidates are exact set intersections.
+The order comes from counts of all shingles in a table of ORDER_CELLS cells, whatever the input's size; cells that two shingles share only make the order less sharp.
+
+Copies (equal sets) are one class from the start. Shingles and sets are told apart by 64-bit hashes. Distances between candidates are exact set intersections.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing. Repeated rows are copies of each other and each gets its row. Rows without an id take part; their component's id is the smallest that is not null, or null. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, exp, sqrt
 
 import numpy as np
@@ -29,7 +32,9 @@ LADDER = 1.4
 #: Up to so many ids are broadcast (8 bytes each, so 2 MB); more are joined by shuffle.
 BROADCAST_IDS = 250_000
 #: Pivots a cell in each pass; the last stays.
-PIVOTS = (1, 16, 128)
+PIVOTS = (1, 32, 1024)
+#: Cells of the table of counts that shingles are ordered by.
+ORDER_CELLS = 1 << 20
 
 
 def shingle_sets(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,135 +117,231 @@ def signatures(g: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nd
     return np.concatenate(sigs), np.concatenate(docs)
 
 
+def set_hash(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(g ^ np.uint64(0xA0761D6478BD642F)))])
+    return mix64(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
+def regions(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(region, cells there, region below or -1, cells there) of each text by its set size."""
+    starts, a = [], 1
+    while a <= max(int(size.max(initial=0)), 1):
+        starts.append(a)
+        a = max(a + 1, ceil(a * max(LADDER, 1.02 * den / num)))
+    starts = np.array(starts)
+    own = np.maximum(np.searchsorted(starts, size, "right") - 1, 0)
+    least = -(-size * num // den)  # of the smallest partner
+
+    def cells(partner: np.ndarray) -> np.ndarray:
+        return np.where(size > 0, size - -(-num * (size + partner) // (num + den)) + 1, 0)
+
+    below = (least < starts[own]) & (size > 0) & (own > 0)
+    return own, cells(np.maximum(least, starts[own])), np.where(below, own - 1, -1), np.where(below, cells(least), 0)
+
+
+def first_cells(g: np.ndarray, at: np.ndarray, rank: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(cell keys in order, number of each text), in the texts' own regions and in those below. rank: each shingle's place in the order of rarity."""
+    size = np.diff(at)
+    doc = np.repeat(np.arange(len(size)), size)
+    g = g[np.lexsort((g, rank, doc))]
+    own, n_own, low, n_low = regions(size, num, den)
+    out = []
+    for region, n in ((own, n_own), (low, n_low)):
+        idx = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[:-1], n)
+        out.append((mix64(g[idx] ^ mix64(np.repeat(region + 1, n).astype(np.uint64))), n))
+    return out
+
+
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, sigs) of every row; cls is null without shingles."""
+def _described(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, cls) of every row; cls is null without shingles."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, cls, sig, sig_n = [], [], [], []
-        for i, j, data, off in text_chunks(b.column(1)):
+        n, cls = [], []
+        for _, _, data, off in text_chunks(b.column(1)):
             h, first, _, _ = words(data, off, lower=True)
             g, at = shingle_sets(h, first, k)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(g ^ np.uint64(0xA0761D6478BD642F)))])
             n.append(np.diff(at))
-            cls.append(mix64(sums[at[1:]] - sums[at[:-1]] + n[-1].astype(np.uint64)))
-            s, d = signatures(g, at, num, den)
-            order = np.argsort(d, kind="stable")
-            sig.append(s[order])
-            sig_n.append(np.bincount(d, minlength=j - i))
+            cls.append(set_hash(g, at))
         size = np.concatenate(n)
-        at = np.concatenate([[0], np.cumsum(np.concatenate(sig_n))])
-        return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(cls).view(np.int64), mask=size == 0), _lists(np.concatenate(sig), at)], ["doc_id", "n_shingles", "cls", "sigs"]
-        )
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(cls), mask=size == 0)], ["doc_id", "n_shingles", "cls"])
+
+    return map_batches(docs, run, "doc_id long, n_shingles long, cls long")
+
+
+def _projections(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(cls, sig): the projections of every text, its copies in a batch once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, off in text_chunks(b.column(0)):
+                h, first, _, _ = words(data, off, lower=True)
+                g, at = shingle_sets(h, first, k)
+                cls = set_hash(g, at)
+                s, d = signatures(g, at, num, den)
+                one = np.zeros(len(cls), bool)
+                one[np.unique(cls, return_index=True)[1]] = True
+                keep = one[d]
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[d[keep]]), pa.array(s[keep].view(np.int64))], ["cls", "sig"])
+
+    return docs.select("text").mapInArrow(run, "cls long, sig long")
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, cls long, sigs array<long>")
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, first of each row and the end) of lists of hashes."""
+    at = np.asarray(col.offsets).astype(np.int64)
+    return np.asarray(col.values)[at[0] : at[-1]].view(np.uint64), at - at[0]
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """Counts of all sets' shingles in ORDER_CELLS cells: one table a task, summed block by block."""
+    blocks = 64
+    wide = ORDER_CELLS // blocks
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_CELLS, np.int64)
+        for b in batches:
+            total += np.bincount((_flat(b.column(0))[0] % np.uint64(ORDER_CELLS)).astype(np.int64), minlength=ORDER_CELLS)
+        if total.any():
+            rows = [x.tobytes() for x in total.astype(np.int32).reshape(blocks, wide)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(wide, np.int64)
+        for row in t.column("counts").to_pylist():
+            total += np.frombuffer(row, np.int32)
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    rows = sets.select("grams").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    out = np.zeros((blocks, wide), np.int32)
+    for r in rows:
+        out[r.block] = np.frombuffer(r.counts, np.int32)
+    return out.ravel()
+
+
+def _placed(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, size, pos, sig): the shingle cells of each set, in its own region and in the one below."""
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))  # 4 bytes a cell, 4 MB
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        g, at = _flat(b.column(1))
+        rank = rarity.value[(g % np.uint64(ORDER_CELLS)).astype(np.int64)]
+        keys = [_lists(key, np.concatenate([[0], np.cumsum(count)])) for key, count in first_cells(g, at, rank, num, den)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), *keys], ["cls", "size", "own", "low"])
+
+    cells = map_batches(sets.select("cls", "grams"), run, "cls long, size long, own array<long>, low array<long>")
+    cells = cells.select("cls", "size", F.explode(F.array("own", "low")).alias("keys"))
+    return cells.select("cls", "size", F.posexplode("keys").alias("pos", "sig"))
+
+
+def _shared(cells: DataFrame, distinct: bool = True) -> DataFrame:
+    """Cells with more than one class."""
+    cell = Window.partitionBy("sig")
+    out = cells.withColumn("differ", F.min("cls").over(cell) != F.max("cls").over(cell)).filter("differ").drop("differ")
+    return out.distinct() if distinct else out
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(cls, grams) of each row of (cls, text)."""
+    """(cls, grams) of each row of (cls, text) whose set it is: rows that only share a doc_id with one drop out."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        out, cls = [], []
         for _, _, data, off in text_chunks(b.column(1)):
             h, first, _, _ = words(data, off, lower=True)
-            out.append(_lists(*shingle_sets(h, first, k)))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays(out)], ["cls", "grams"])
+            g, at = shingle_sets(h, first, k)
+            out.append(_lists(g, at))
+            cls.append(set_hash(g, at))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays(out)], ["cls", "grams"]).filter(pa.array(np.concatenate(cls) == np.asarray(b.column(0))))
 
     return map_batches(docs, run, "cls long, grams array<long>")
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    """(v, root) of every vertex of the edges (a, b): root is the smallest vertex of its component. Each round hooks every vertex to its smallest neighbour, jumps twice and contracts."""
-    edges = cut_lineage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    roots = None
+    """(v, root) of every vertex of the edges (a, b): root is the smallest vertex of its component. Each round hooks every vertex to its smallest neighbour and contracts the edges to the hooks."""
+    edges = cut_lineage(edges.filter("a <> b").distinct(), "edges")
+    roots = edges.select(F.col("a").alias("v"), F.col("b").alias("root")).limit(0)
+    first = True
     while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        up = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("up"))
-        up = cut_lineage(up, "hooks")
-        for _ in range(2):
-            nxt = up.select(F.col("v").alias("up"), F.col("up").alias("to"))
-            up = up.join(nxt, "up").select("v", F.col("to").alias("up"))
-        up = cut_lineage(up, "jumps")
+        both = edges.select(F.col("a").alias("v"), "b").union(edges.select(F.col("b").alias("v"), F.col("a").alias("b")))
+        up = cut_lineage(both.groupBy("v").agg(F.least(F.col("v"), F.min("b")).alias("up")), "hooks")
         to = up.select(F.col("v").alias("root"), "up")
-        if roots is None:
-            roots = up.withColumnRenamed("up", "root")
-        else:
-            roots = roots.join(to, "root", "left").select("v", F.coalesce("up", "root").alias("root"))
-            roots = cut_lineage(roots, "roots")
+        roots = to.select(F.col("root").alias("v"), F.col("up").alias("root")) if first else roots.join(to, "root", "left").select("v", F.coalesce("up", "root").alias("root"))
+        first = False
         a, b = up.select(F.col("v").alias("a"), F.col("up").alias("ra")), up.select(F.col("v").alias("b"), F.col("up").alias("rb"))
-        edges = edges.join(a, "a").join(b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        # a hooked vertex keeps an edge to its hook until both have one root
+        hooks = up.filter("v <> up").join(up.select(F.col("v").alias("up"), F.col("up").alias("next")), "up").select(F.col("up").alias("ra"), F.col("next").alias("rb"))
+        edges = edges.join(a, "a").join(b, "b").select("ra", "rb").union(hooks).filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         edges = cut_lineage(edges, "edges")
-    return roots if roots is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    return cut_lineage(roots, "roots")
+
+
+def _only(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """Sets of the classes in one column of pairs: what isn't needed isn't shuffled. Few ids are broadcast, many joined by shuffle."""
+    ids = pairs.select(F.col(column).alias("cls")).distinct()
+    small = ids.count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids) if small else ids, "cls", "left_semi").withColumnRenamed("cls", column)
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """(v, root) of the classes that links join; members: (sig, cls), every cell with at least two classes."""
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, comp) of every class of members (sig, cls, pos, size), cells with at least two classes."""
     radius = 1 - num / den + 1e-9
     degree = members.groupBy("sig").agg(F.count("*").alias("n")).join(members, "sig").groupBy("cls").agg(F.sum("n").alias("degree"))
-    left = cut_lineage(
-        members.join(degree, "cls").join(sets.select("cls", F.size("grams").alias("size")), "cls").select("sig", "cls", "degree", "size", F.lit(None).cast("double").alias("dist")), "cells"
-    )
-    comp, links = None, None
+    left = members.join(degree, "cls").withColumn("dist", F.lit(None).cast("double"))
+    comp = cut_lineage(degree.select("cls", F.col("cls").alias("comp")), "components")
     step = 0
     while True:
-        m = left.withColumn("comp", F.col("cls")) if comp is None else left.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
         cell = Window.partitionBy("sig")
-        m = m.withColumn("open", F.min("comp").over(cell) != F.max("comp").over(cell)).filter("open").drop("open")
-        m = m.withColumn("rank", F.row_number().over(cell.orderBy(F.desc("degree"), "cls")))
-        m = cut_lineage(m, "open")
+        m = left.join(comp, "cls").withColumn("open", F.min("comp").over(cell) != F.max("comp").over(cell)).filter("open").drop("open")
+        m = cut_lineage(m.withColumn("rank", F.row_number().over(cell.orderBy(F.desc("degree"), "cls"))), "cells")
         if m.isEmpty():
-            break
+            return comp
         k = PIVOTS[min(step, len(PIVOTS) - 1)]
-        p = m.filter(F.col("rank") <= k).select("sig", F.col("cls").alias("p"), F.col("comp").alias("p_comp"), F.col("size").alias("p_size"), F.col("dist").alias("p_dist"), F.col("rank").alias("p_rank"))
-        pairs = m.join(p, "sig").filter(
-            (F.col("comp") != F.col("p_comp"))
-            & (F.col("p_rank") < F.col("rank"))
-            & (F.least("size", "p_size") * den >= F.greatest("size", "p_size") * num)
-            & (F.col("dist").isNull() | F.col("p_dist").isNull() | (F.abs(F.col("dist") - F.col("p_dist")) <= radius))  # the window that the last pivot leaves
-        )
-        pairs = pairs.select("p", "cls").distinct()
-        x, y = sets.select(F.col("cls").alias("p"), F.col("grams").alias("x")), sets.select("cls", F.col("grams").alias("y"))
+        p = m.filter(F.col("rank") <= k).select("sig", *(F.col(c).alias(f"p_{c}") for c in ("cls", "comp", "size", "pos", "dist", "rank")))
+        reach = F.least(F.col("m.size") - F.col("m.pos"), F.col("p.p_size") - F.col("p.p_pos"))  # of the overlap, from this cell on
+        near = F.col("m.dist").isNull() | F.col("p.p_dist").isNull() | (F.abs(F.col("m.dist") - F.col("p.p_dist")) <= radius)
+        pairs = m.alias("m").join(
+            p.alias("p"),
+            (F.col("m.sig") == F.col("p.sig")) & (F.col("p.p_rank") < F.col("m.rank")) & (F.col("m.comp") != F.col("p.p_comp")) & near
+            & (F.least("m.size", "p.p_size") * den >= F.greatest("m.size", "p.p_size") * num) & (reach * (num + den) >= (F.col("m.size") + F.col("p.p_size")) * num),
+        )
+        pairs = cut_lineage(pairs.select("p_cls", "cls", "p_comp", "comp").distinct(), "pairs")
+        x, y = _only(sets, pairs, "p_cls").withColumnRenamed("grams", "x"), _only(sets, pairs, "cls").withColumnRenamed("grams", "y")
         both = F.size(F.array_intersect("x", "y"))
-        tried = pairs.join(x, "p").join(y, "cls").select("p", "cls", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all"))
-        tried = cut_lineage(tried.select("p", "cls", (1 - F.col("both") / F.col("all")).alias("d"), (F.col("both") * den >= F.col("all") * num).alias("link")), "tried")
-        found = tried.filter("link").select(F.col("p").alias("a"), F.col("cls").alias("b"))
-        links = found if links is None else links.union(found)
-        comp = contract(links)
+        tried = pairs.join(x, "p_cls").join(y, "cls").select("p_cls", "cls", "p_comp", "comp", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all"))
+        tried = tried.select("p_cls", "cls", "p_comp", "comp", (1 - F.col("both") / F.col("all")).alias("d"), (F.col("both") * den >= F.col("all") * num).alias("link"))
+        tried = cut_lineage(tried.distinct(), "tried")
+        roots = contract(tried.filter("link").select(F.least("comp", "p_comp").alias("a"), F.greatest("comp", "p_comp").alias("b")))
+        comp = comp.join(roots.withColumnRenamed("v", "comp"), "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
+        comp = cut_lineage(comp, "components")
         # this pass's pivots are done in their cells; the rest keep their distance from the first of them
-        lead = p.filter("p_rank = 1").select("sig", "p")
-        rest = m.filter(F.col("rank") > k).join(lead, "sig").join(tried.select("p", "cls", "d"), ["p", "cls"], "left")
-        left = cut_lineage(rest.select("sig", "cls", "degree", "size", F.col("d").alias("dist")), "cells")
+        lead = p.filter("p_rank = 1").select("sig", "p_cls")
+        rest = m.filter(F.col("rank") > k).drop("comp", "rank", "dist").join(lead, "sig").join(tried.select("p_cls", "cls", F.col("d").alias("dist")), ["p_cls", "cls"], "left")
+        left = rest.drop("p_cls")
         step += 1
-    return comp
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: links join texts whose sets of k-word shingles have den * intersection >= num * union; component_id is the smallest id reachable."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = cut_lineage(_described(docs, k, num, den), "described")
+    base = cut_lineage(_described(docs, k), "described")
     cls = base.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     cell = Window.partitionBy("sig")
-    members = (
-        base.filter("cls is not null").select("cls", F.explode("sigs").alias("sig"))
-        .withColumn("differ", F.min("cls").over(cell) != F.max("cls").over(cell)).filter("differ").select("sig", "cls").distinct()
-    )
-    members = cut_lineage(members, "members")
-    comp = None
-    if not members.isEmpty():
-        wanted = cut_lineage(members.select("cls").distinct().join(cls.filter("low is not null"), "cls").select(F.col("low").alias("doc_id"), "cls"), "wanted")
-        small = wanted.count() <= BROADCAST_IDS
+    company = _shared(_projections(docs, k, num, den), distinct=False).select("cls").distinct()
+    wanted = cut_lineage(company.join(cls.filter("low is not null"), "cls").select(F.col("low").alias("doc_id"), "cls"), "wanted")
+    n_wanted = wanted.count()
+    if n_wanted:
+        small = n_wanted <= BROADCAST_IDS
         texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("cls", "text")
-        sets = cut_lineage(_sets(texts, k).dropDuplicates(["cls"]), "sets")
-        comp = _links(members.join(wanted.select("cls"), "cls", "left_semi"), sets, num, den)
-    if comp is not None:
-        cls = cls.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        low = cls.groupBy("root").agg(F.min("low").alias("low"))
-        cls = cls.select("cls", "root").join(low, "root").select("cls", "low")
-    return base.join(cls, "cls", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+        sets = cut_lineage(_sets(texts, k), "sets")  # a repeated row repeats its set
+        comp = _links(cut_lineage(_shared(_placed(sets, num, den)), "members"), sets, num, den)
+        cls = cls.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        low = cls.groupBy("comp").agg(F.min("low").alias("low"))
+        cls = cls.select("cls", "comp").join(low, "comp").select("cls", "low")
+    return base.select("doc_id", "n_shingles", "cls").join(cls, "cls", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
