@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillon.llm import mixing
+from quillon.llm import sql
 from quillon.llm.edit_sketch import op6_edit_embedding
 from quillon.llm.html_text import op3_host_suffix_array
 from quillon.llm.jaccard import op4_jaccard_metric_join
@@ -36,6 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
-SQL: dict[str, str] = {"op5_hierarchical_mixing": mixing.oracle()}
+SQL: dict[str, str] = dict(sql.SQL)
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
