@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_batches, mix64, parallelism, table, texts_of
+from quillon.llm.common import map_arrow, map_batches, mix64, parallelism, table, texts_of
 
 SLOTS = 64
 BANDS = 16
@@ -184,7 +184,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             yield out
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_order(docs).mapInArrow(run, schema)
+    return map_arrow(_in_order(docs), run, schema)
 
 
 def sketch(docs: DataFrame) -> DataFrame:

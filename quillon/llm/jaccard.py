@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut_lineage, map_batches, mix64, rolling, table, text_chunks, within, words
+from quillon.llm.common import cut_lineage, map_arrow, map_batches, mix64, rolling, table, text_chunks, within, words
 
 #: Sizes of neighbouring regions, at least: a window then never reaches beyond the next region.
 LADDER = 1.4
@@ -188,7 +188,7 @@ def _projections(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array(cls[d[keep]]), pa.array(s[keep].view(np.int64))], ["cls", "sig"])
 
-    return docs.select("text").mapInArrow(run, "cls long, sig long")
+    return map_arrow(docs.select("text"), run, "cls long, sig long")
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
             total += np.frombuffer(row, np.int32)
         return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    rows = sets.select("grams").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    rows = map_arrow(sets.select("grams"), count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     out = np.zeros((blocks, wide), np.int32)
     for r in rows:
         out[r.block] = np.frombuffer(r.counts, np.int32)

@@ -22,7 +22,7 @@ from quillon.llm.common import map_batches, table, texts_of
 
 ROW_BYTES = 4 * webp.WIDTH
 #: Bytes of text that are encoded and decoded at once, unless one text has more.
-AT_ONCE = 8 << 20
+AT_ONCE = 3 << 20
 
 
 def payload_of(text: str) -> bytes:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table, texts_of
+from quillon.llm.common import map_arrow, table, texts_of
 
 
 class ByteBpe:
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

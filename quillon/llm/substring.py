@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _WS, CHUNK_BYTES, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
+from quillon.llm.common import _WS, CHUNK_BYTES, map_arrow, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
 
 #: Words of a minimiser.
 SEED = 3
@@ -159,7 +159,7 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if parts:
             yield from step(parts, np.concatenate(docs_), np.concatenate(tags))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def bucket_repeats(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
@@ -219,7 +219,7 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
         if blobs:
             yield out(bucket_repeats(blobs, width))
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, tag int, start int, n int")
+    return map_arrow(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), run, "doc long, tag int, start int, n int")
 
 
 def _uncovered(col: pa.Array, runs: pa.Array, width: int) -> Iterator[tuple[int, int, bytes]]:
