@@ -1,6 +1,6 @@
 """Selection of features by repeated resampling: random forests, sparse regression and both together.
 
-Each repeat takes its own training samples, the features that vary most among them and the medians to fill in. The features are scanned once for all repeats; a repeat's fit is a task of its own over at most top_var features.
+Each repeat takes its own training samples, the features that vary most among them and the medians to fill in. The features are scanned once for all repeats; a repeat's regression and each block of its trees are tasks of their own over at most top_var features.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from quillon.functions import kernels
 from quillon.operators.matrix import sample_rows, vectors
 from quillon.operators.resample import split_plan
 
+#: Trees of a block.
+BLOCK = 50
 WEIGHTS = {"top20": 0.35, "top50": 0.25, "l1": 0.30, "gini": 0.10}
 
 
@@ -60,32 +62,57 @@ def candidates(filtered: DataFrame, train: np.ndarray, top_var: int) -> DataFram
     return rows.withColumn("n", place).filter(F.col("n") <= top_var).select("repeat", "feature_id", "v")
 
 
-def fits(filtered: DataFrame, samples: DataFrame, repeats: int = 10, share: float = 0.8, top_var: int = 100, trees: int = 60, seed: int = 123) -> DataFrame:
-    """(repeat, feature_id, gini, gini_rank, l1, forest_accuracy, l1_accuracy) of every candidate."""
+def fits(filtered: DataFrame, samples: DataFrame, repeats: int = 50, share: float = 0.8, top_var: int = 200, trees: int = 500, seed: int = 123, folds: int = 5) -> DataFrame:
+    """(repeat, feature_id, gini, gini_rank, l1, forest_accuracy, l1_accuracy) of every candidate. The penalty is chosen by so many folds, or as many as the smallest class has training samples."""
     _, y, classes, train = plan_of(samples, repeats, share, seed)
+    blocks = -(-trees // BLOCK)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = int(pdf["repeat"].iloc[0])
+        """Block 0 is the regression, the others are trees."""
+        r, block = int(pdf["repeat"].iloc[0]), int(pdf["block"].iloc[0])
         pdf = pdf.sort_values("feature_id").reset_index(drop=True)
         x = np.array([np.asarray(v, float) for v in pdf["v"]]).T
         tr = train[r - 1]
         fill = np.nanmedian(x[tr], 0)
         x = np.where(np.isnan(x), fill, x)
-        forest, gini = kernels.forest(x[tr], y[tr], len(classes), trees, seed + r)
-        scale = x[tr].std(0)
-        z = (x - x[tr].mean(0)) / np.where(scale > 0, scale, 1)
-        fold = np.zeros(len(y), int)
-        for c in range(len(classes)):
-            own = np.flatnonzero((y == c) & tr)
-            fold[own] = np.arange(len(own)) % 4
-        w, b = kernels.elastic_net(z[tr], y[tr], len(classes), kernels.chosen_lambda(z[tr], y[tr], len(classes), fold[tr]))
-        hit = kernels.forest_predict(forest, x[~tr], len(classes)).argmax(1) == y[~tr]
-        hit_l1 = (z[~tr] @ w + b).argmax(1) == y[~tr]
-        rank = np.lexsort((pdf["feature_id"].to_numpy(str), -gini)).argsort() + 1
-        return pd.DataFrame({"repeat": r, "feature_id": pdf["feature_id"], "gini": gini, "gini_rank": rank, "l1": np.abs(w).sum(1), "forest_accuracy": hit.mean() if len(hit) else np.nan, "l1_accuracy": hit_l1.mean() if len(hit_l1) else np.nan})
-
+        gini, l1 = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        if block:
+            own = min(BLOCK, trees - (block - 1) * BLOCK)
+            forest, gini = kernels.forest(x[tr], y[tr], len(classes), own, [seed + r, block])
+            gini = gini * own
+            votes = kernels.forest_predict(forest, x[~tr], len(classes)) * own
+        else:
+            scale = x[tr].std(0)
+            z = (x - x[tr].mean(0)) / np.where(scale > 0, scale, 1)
+            fold = np.zeros(len(y), int)
+            k = max(2, min(folds, np.bincount(y[tr], minlength=len(classes)).min()))
+            for c in range(len(classes)):
+                own = np.flatnonzero((y == c) & tr)
+                fold[own] = np.arange(len(own)) % k
+            w, b = kernels.elastic_net(z[tr], y[tr], len(classes), kernels.chosen_lambda(z[tr], y[tr], len(classes), fold[tr]))
+            l1, votes = np.abs(w).sum(1), z[~tr] @ w + b
+        return pd.DataFrame({"repeat": r, "block": block, "feature_id": pdf["feature_id"], "gini": gini, "l1": l1, "votes": [votes.ravel() if i == 0 else None for i in range(len(pdf))]})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = int(pdf["repeat"].iloc[0])
+        pdf = pdf.sort_values(["block", "feature_id"])
+        per = pdf.groupby("feature_id", as_index=False)[["gini", "l1"]].sum()
+        gini = per["gini"].to_numpy() / trees
+        test = y[~train[r - 1]]
+        votes = pdf[pdf["votes"].notna()]
+
+        def accuracy(some: pd.DataFrame) -> float:
+            total = sum(np.asarray(v, float) for v in some["votes"])
+            return (total.reshape(-1, len(classes)).argmax(1) == test).mean() if len(test) else np.nan
+
+        rank = np.lexsort((per["feature_id"].to_numpy(str), -gini)).argsort() + 1
+        return pd.DataFrame({"repeat": r, "feature_id": per["feature_id"], "gini": gini, "gini_rank": rank, "l1": per["l1"], "forest_accuracy": accuracy(votes[votes["block"] > 0]), "l1_accuracy": accuracy(votes[votes["block"] == 0])})
+
+    tasks = candidates(filtered, train, top_var).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
+    tasks = tasks.repartition(int(filtered.sparkSession.conf.get("spark.sql.shuffle.partitions")), "repeat", "block")  # few bytes, much work: not to be coalesced
+    parts = tasks.groupBy("repeat", "block").applyInPandas(run, "repeat int, block int, feature_id string, gini double, l1 double, votes array<double>")
     schema = "repeat int, feature_id string, gini double, gini_rank long, l1 double, forest_accuracy double, l1_accuracy double"
-    return candidates(filtered, train, top_var).groupBy("repeat").applyInPandas(run, schema)
+    return parts.groupBy("repeat").applyInPandas(together, schema)
 
 
 def stability(f: DataFrame, universe: DataFrame, repeats: int, weights: dict[str, float] = WEIGHTS) -> DataFrame:

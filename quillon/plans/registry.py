@@ -457,7 +457,7 @@ def pseudotime_spearman(s, d):
     return rd.rank_correlation(p, order).select("feature_id", F.round("rho", 6).alias("rho"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
-def _stability(s, d, repeats=10):
+def _stability(s, d, repeats=50):
     f = mx.filtered(dense(s, d), 0.5)
     return sl.stability(sl.fits(f, bridge.samples(s, d), repeats), f, repeats)
 
@@ -480,4 +480,4 @@ def combined_score(s, d):
 @query()
 def feature_union(s, d):
     t = _stability(s, d)
-    return sl.union_of([("rf", sl.ranked(t, "forest_score", 20)), ("l1", sl.ranked(t, "l1_frequency", 20)), ("rfl1", sl.ranked(t, "combined_score", 20))])
+    return sl.union_of([("rf", sl.ranked(t, "forest_score")), ("l1", sl.ranked(t, "l1_frequency")), ("rfl1", sl.ranked(t, "combined_score"))])

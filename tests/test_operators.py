@@ -1,5 +1,6 @@
 """Operators and kernels on small matrices."""
 
+import inspect
 import math
 
 import numpy as np
@@ -14,6 +15,7 @@ from quillon.operators import profile as pf
 from quillon.operators import reduce as rd
 from quillon.operators import select as sl
 from quillon.operators import sets as st
+from quillon.plans import registry
 
 
 def matrix(spark, x, groups):
@@ -134,6 +136,42 @@ def test_selection_finds_planted_features(spark):
     assert [(r.feature_id, r.source) for r in sl.union_of(lists).collect()] == [("A", "rf"), ("B", "rf"), ("C", "l1")]
 
 
+def test_selection_does_the_whole_job(spark, monkeypatch):
+    """By default 50 repeats of 500 trees over 200 features, also those of little variance; blocks of trees add up."""
+    x, groups = planted(150)
+    x[:10] = np.exp(np.log(x[:10]).mean(1, keepdims=True) + 0.1 * (np.log(x[:10]) - np.log(x[:10]).mean(1, keepdims=True)))
+    q, s = matrix(spark, x, groups)
+    f = mx.filtered(mx.dense(q, s), 0.5)
+    rows = sl.fits(f, s, repeats=2, trees=60).collect()
+    assert len(rows) == 2 * 150
+    assert len({r.feature_id for r in rows if r.gini_rank <= 10} & {f"P{i + 1:03d}" for i in range(10)}) >= 6
+    default = {k: v.default for k, v in inspect.signature(sl.fits).parameters.items()}
+    assert (default["repeats"], default["top_var"], default["trees"], default["folds"]) == (50, 200, 500, 5)
+    asked = []
+    monkeypatch.setattr(registry.bridge, "samples", lambda *_: s)
+    monkeypatch.setattr(registry.mx, "filtered", lambda *_: f)
+    monkeypatch.setattr(registry, "dense", lambda *_: None)
+    monkeypatch.setattr(sl, "fits", lambda *a, **k: asked.append(a[2]) or spark.createDataFrame(rows))
+    assert sl.fits is registry.sl.fits and registry._stability(spark, "") is not None and asked == [50]
+
+
+def test_penalty_solves_its_problem():
+    """The fit is at the optimum: slopes are at most the penalty, and equal it where a coefficient isn't 0."""
+    rng = np.random.default_rng(3)
+    y = np.repeat(np.arange(3), 7)
+    z = rng.normal(size=(21, 60))
+    z[:, :4] += y[:, None]
+    z = (z - z.mean(0)) / z.std(0)
+    w, b = kernels.elastic_net(z, y, 3, 0.03)
+    e = np.exp(z @ w + b)
+    slope = z.T @ (e / e.sum(1, keepdims=True) - np.eye(3)[y]) / 21
+    assert np.abs(slope).max() < 0.03 * 1.001 and np.abs(slope + 0.03 * np.sign(w))[w != 0].max() < 1e-4
+    lam = kernels.chosen_lambda(z, y, 3, np.arange(21) % 7 % 5)
+    top = np.abs(z.T @ (np.eye(3)[y] - 1 / 3)).max() / 21
+    place = np.log(lam / top) / np.log(0.01) * 99
+    assert place == pytest.approx(round(place), abs=1e-6)
+
+
 def test_text(spark):
     rows = [("sp|P1|A_X more;x", "12.5", "1d", "MKV*", "TRANSMEM 5..9"), (" NA ", "Inf", "1e3", "", None), ("Q2|B_Y", None, ".5", "aaa", "nucleus")]
     df = spark.createDataFrame(rows, "a string, n string, m string, s string, t string")
