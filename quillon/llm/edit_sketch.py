@@ -2,7 +2,7 @@
 
 A text is walked by shared random bits: at step j the walk emits the character it stands on and moves on if bit (j, character) is 1, so texts at a small edit distance fall into step again and their emissions differ at few steps (Hamming distance). A fingerprint samples SLOTS steps of the 2 n steps of a text of n code points; each slot takes the step whose hash is smallest among those, so texts of nearly the same length sample the same steps. What a sample keeps is 8 bits of the four characters ahead. The likeness of two fingerprints is the share of equal slots.
 
-Banding joins texts that agree on all slots of a band; each band's group is tied to its first member and to the neighbour in order, so candidates grow with the group and not with its square, and every candidate is verified by its likeness.
+Banding joins texts that agree on all slots of a band, and every pair of a band's group is tried or excluded by a bound: two texts that differ in at most d slots agree on one of d + 1 parts of the slots outside the band, so large groups are dealt by these parts where that leaves fewer pairs. What is left is tried block by block, each pair in the first band and part that it shares.
 
 Steps are taken for many texts at once, longest first; a partition's rows are a stream of batches of bounded size.
 
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ BANDS = 16
 ROWS = 8191
 #: Characters that one vectorised walk takes on, unless a single text has more.
 WALK_CHARS = 12 << 20
+#: Members of a block of a band's group, about; larger groups are dealt.
+BLOCK = 1000
 #: Rows of a range of ids, about.
 RANGE_ROWS = 20_000
 
@@ -205,15 +209,69 @@ def likeness(a: str, b: str) -> F.Column:
     return total / SLOTS
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(fingerprint, near, likeness) of different fingerprints that share a band and are at least so alike; join with sketch() for the rows of each."""
+def _part_edges(threshold: float) -> list[int]:
+    """First slots, outside a band, of the parts of which texts so alike agree on one, and the end; none where there are more parts than slots."""
+    parts, rest = floor(SLOTS * (1 - threshold) + 1e-9) + 1, SLOTS - SLOTS // BANDS
+    return [rest * p // parts for p in range(parts + 1)] if parts <= rest else []
+
+
+def _cells(prints: DataFrame, threshold: float) -> DataFrame:
+    """(fingerprint, band, part, cell, side): members that are tried with each other, side 0, or those of side 1 with those of side 2."""
     width = 2 * SLOTS // BANDS
-    prints = sketch(docs).select("fingerprint").distinct()
     bands = prints.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", width * i + 1, width).alias("key")) for i in range(BANDS)])).alias("b")).select("fingerprint", "b.*")
-    group = Window.partitionBy("band", "key").orderBy("fingerprint")
-    tied = bands.withColumn("first_", F.first("fingerprint").over(group)).withColumn("before", F.lag("fingerprint").over(group))
-    pairs = tied.select("fingerprint", F.explode(F.array("first_", "before")).alias("near")).filter("near is not null and near <> fingerprint").distinct()
-    return pairs.withColumn("likeness", likeness("fingerprint", "near")).filter(F.col("likeness") >= threshold)
+    sized = bands.join(bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["band", "key"])
+    cells = sized.select("fingerprint", "band", "key", F.lit(-1).alias("part"), F.lit("").alias("part_key"), "n")
+    edges = _part_edges(threshold)
+    if edges:
+        rest = sized.filter(F.col("n") > BLOCK).withColumn("rest", F.expr(f"concat(left(fingerprint, {width} * band), substring(fingerprint, {width} * (band + 1) + 1))"))
+        parts = F.array(*[F.struct(F.lit(p).alias("part"), F.substring("rest", 2 * a + 1, 2 * (b - a)).alias("part_key")) for p, (a, b) in enumerate(zip(edges, edges[1:]))])
+        finer = rest.select("fingerprint", "band", "key", F.col("n").alias("all_"), F.explode(parts).alias("p")).select("fingerprint", "band", "key", "all_", "p.*")
+        counts = finer.groupBy("band", "key", "all_", "part", "part_key").agg(F.count("*").alias("n"))
+        split = counts.groupBy("band", "key", "all_").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work")).filter("work < cast(all_ as double) * all_").select("band", "key")
+        fine = finer.drop("all_").join(counts.drop("all_").filter("n > 1").join(split, ["band", "key"], "left_semi"), ["band", "key", "part", "part_key"])
+        cells = cells.join(split, ["band", "key"], "left_anti").unionByName(fine)
+    slices = F.ceil(F.col("n") / BLOCK)
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("fingerprint"), slices)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return cells.select("fingerprint", "band", "part", F.xxhash64("band", "key", "part", "part_key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"))
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(fingerprint, near, likeness) of different fingerprints that share a band and are at least so alike; join with sketch() for the rows of each."""
+    starts = np.array(_part_edges(threshold)[:-1], np.int64)
+    each = SLOTS // BANDS
+
+    def tried(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """rows: (fingerprint, band, part, cell, side) of one cell."""
+        names = np.array([r[0] for r in rows])
+        x = np.frombuffer(bytes.fromhex("".join(names.tolist())), np.uint8).reshape(-1, SLOTS)
+        side = np.array([r[4] for r in rows])
+        _, band, part, _, _ = rows[0]
+        left, right = (np.flatnonzero((side == 0) | (side == k)) for k in (1, 2))
+        for i in range(0, len(left), 64):
+            own = left[i : i + 64]
+            equal = (x[own][:, None] == x[right][None]).sum(-1)
+            a, b = np.nonzero(equal / SLOTS >= threshold)
+            share = equal[a, b] / SLOTS
+            a, b = own[a], right[b]
+            once = a < b if side[0] == 0 else np.ones(len(a), bool)
+            a, b, share = a[once], b[once], share[once]
+            if not len(a):
+                continue
+            same = x[a] == x[b]
+            first = same.reshape(-1, BANDS, each).all(-1).argmax(1) == band
+            if part >= 0:
+                first &= np.logical_and.reduceat(np.delete(same, np.s_[band * each : (band + 1) * each], 1), starts, 1).argmax(1) == part
+            a, b, share = a[first], b[first], share[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(names[a] < names[b], names[b], names[a]).tolist(), pa.string()), pa.array(np.where(names[a] < names[b], names[a], names[b]).tolist(), pa.string()), pa.array(share)], ["fingerprint", "near", "likeness"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, own in groupby(rows, lambda r: r[3]):
+            yield from tried(list(own))
+
+    cells = _cells(sketch(docs).select("fingerprint").distinct(), threshold)
+    return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), run, "fingerprint string, near string, likeness double")
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

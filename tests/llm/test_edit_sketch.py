@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from quillon.llm import edit_sketch as e
 
@@ -85,3 +86,26 @@ def test_near_pairs(spark):
     got = {frozenset((r.fingerprint, r.near)) for r in e.near_pairs(df, 0.7).collect()}
     assert prints[0] == prints[9]
     assert got == {frozenset((prints[i], prints[i + 6])) for i in range(3)}
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.8, 1000), (0.8, 20), (0.7, 20), (0.3, 20)])
+def test_near_pairs_of_large_groups(spark, monkeypatch, threshold, block):
+    """All pairs that share a band: groups of near copies, of texts alike in one band only, and pairs between."""
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 256, (240, e.SLOTS), dtype=np.uint8)
+    prints[:200, :4] = 7  # one band's group
+    prints[:60, 4:] = prints[0, 4:]
+    for row in prints[1:60]:
+        row[rng.choice(np.arange(4, e.SLOTS), rng.integers(1, 20), replace=False)] = rng.integers(0, 256)
+    for i in range(60, 120, 2):
+        prints[i + 1] = prints[i]
+        prints[i + 1, rng.choice(e.SLOTS, rng.integers(1, 20), replace=False)] += 1
+    prints = np.unique(prints, axis=0)
+    rows = [(i, p.tobytes().hex()) for i, p in enumerate(prints)]
+    monkeypatch.setattr(e, "sketch", lambda docs: docs)
+    monkeypatch.setattr(e, "BLOCK", block)
+    got = [(r.fingerprint, r.near, r.likeness) for r in e.near_pairs(spark.createDataFrame(rows, "doc_id long, fingerprint string"), threshold).collect()]
+    same = prints[:, None] == prints[None]
+    band = same.reshape(len(prints), len(prints), e.BANDS, -1).all(-1).any(-1)
+    want = {(rows[i][1], rows[j][1], same[i, j].mean()) for i in range(len(prints)) for j in range(i) if band[i, j] and same[i, j].mean() >= threshold}
+    assert len(want) > 300 and set(got) == want and len(got) == len(want)
