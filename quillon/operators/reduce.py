@@ -66,7 +66,7 @@ def pca_variance(p: DataFrame, samples: DataFrame) -> DataFrame:
     return p.sparkSession.createDataFrame([(i + 1, round(float(v) * 100, 6)) for i, v in enumerate(share)], "component int, percent double")
 
 
-def tsne(p: DataFrame, samples: DataFrame, perplexity: float | None = None, steps: int = 500) -> DataFrame:
+def tsne(p: DataFrame, samples: DataFrame, perplexity: float | None = None, steps: int = 1000) -> DataFrame:
     rows, g = sample_space(p, samples)
     if len(rows) < 4:
         raise ValueError("t-SNE needs four samples")

@@ -110,6 +110,14 @@ def test_clusters_and_correlation(spark):
     assert label[0] == label[1] != label[2] and sorted(order) == [0, 1, 2]
 
 
+def test_tsne_takes_all_steps(spark, monkeypatch):
+    x, groups = planted(60)
+    q, s = matrix(spark, x, groups)
+    asked, own = [], kernels.tsne
+    monkeypatch.setattr(rd.kernels, "tsne", lambda d2, start, perplexity, steps=1000: asked.append(steps) or own(d2, start, perplexity, steps))
+    assert rd.tsne(mx.prepared(mx.dense(q, s), 0.5), s).count() == 20 and asked == [1000]
+
+
 def test_trajectory_orders_stages(spark):
     rng = np.random.default_rng(5)
     groups = [f"T{i}" for i in range(4) for _ in range(6)]
