@@ -156,8 +156,13 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _row_key(doc_id: F.Column, text: F.Column) -> F.Column:
+    """Tells rows by id and text."""
+    return F.xxhash64(doc_id, doc_id.isNull(), text)
+
+
 def _described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row; cls is null without shingles."""
+    """(doc_id, n_shingles, cls, row) of every row; cls is null without shingles."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, cls = [], []
@@ -167,9 +172,9 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
             n.append(np.diff(at))
             cls.append(set_hash(g, at))
         size = np.concatenate(n)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(cls), mask=size == 0)], ["doc_id", "n_shingles", "cls"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(cls), mask=size == 0), b.column(2)], ["doc_id", "n_shingles", "cls", "row"])
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, cls long")
+    return map_batches(docs, run, "doc_id long, n_shingles long, cls long, row long")
 
 
 def _projections(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -246,7 +251,7 @@ def _shared(cells: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(cls, grams) of each row of (cls, text) whose set it is: rows that only share a doc_id with one drop out."""
+    """(cls, grams) of each row of (cls, text) whose set it is: rows that only share a row key with one drop out."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out, cls = [], []
@@ -324,32 +329,52 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         step += 1
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: links join texts whose sets of k-word shingles have den * intersection >= num * union; component_id is the smallest id reachable."""
+def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, row, comp, low) of every row: its component and the smallest id there; comp is null without shingles."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = cut_lineage(_described(docs, k), "described")
-    cls = base.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    keyed = docs.withColumn("row", _row_key(F.col("doc_id"), F.col("text")))
+    base = cut_lineage(_described(keyed.select("doc_id", "text", "row"), k), "described")
+    cls = base.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
     cell = Window.partitionBy("sig")
     company = _shared(_projections(docs, k, num, den), distinct=False).select("cls").distinct()
-    wanted = cut_lineage(company.join(cls.filter("low is not null"), "cls").select(F.col("low").alias("doc_id"), "cls"), "wanted")
+    wanted = cut_lineage(company.join(cls, "cls").select("row", "cls"), "wanted")
     n_wanted = wanted.count()
     if n_wanted:
         small = n_wanted <= BROADCAST_IDS
-        texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("cls", "text")
-        sets = cut_lineage(_sets(texts, k), "sets")  # a repeated row repeats its set
+        texts = keyed.join(F.broadcast(wanted) if small else wanted, "row").select("cls", "text")
+        sets = cut_lineage(_sets(texts, k), "sets")
+        if sets.count() > n_wanted:  # a repeated row repeats its set
+            sets = cut_lineage(sets.dropDuplicates(["cls"]), "sets")
         comp = _links(cut_lineage(_shared(_placed(sets, num, den)), "members"), sets, num, den)
         cls = cls.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         low = cls.groupBy("comp").agg(F.min("low").alias("low"))
-        cls = cls.select("cls", "comp").join(low, "comp").select("cls", "low")
-    return base.select("doc_id", "n_shingles", "cls").join(cls, "cls", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+        cls = cls.select("cls", "comp").join(low, "comp").select("cls", "comp", "low")
+    else:
+        cls = cls.select("cls", F.col("cls").alias("comp"), "low")
+    return base.join(cls, "cls", "left").select("doc_id", "n_shingles", "row", "comp", "low")
+
+
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: links join texts whose sets of k-word shingles have den * intersection >= num * union; component_id is the smallest id reachable."""
+    return _joined(docs, k, num, den, id_col, text_col).select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows that share the id one stays. Rows without an id stay."""
-    comp = components(docs, k, num, den)
-    gone = cut_lineage(comp.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    """docs with one row of each component, one with the smallest doc_id there. Rows without an id or without shingles stay."""
+    rows = cut_lineage(_joined(docs, k, num, den).filter("doc_id is not null and comp is not null").select("row", "comp", (F.col("doc_id") == F.col("low")).alias("least")), "rows")
+    several = rows.filter("least").groupBy("comp").agg(F.min("row").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    ties = cut_lineage(rows.filter("least").join(several, "comp").groupBy("row", "kept").agg(F.count("*").alias("n")), "ties")
+    gone = cut_lineage(rows.filter("not least").select("row").union(ties.filter("row <> kept").select("row")).distinct(), "gone")
+    repeated = ties.filter("row = kept and n > 1").select("row")
+
+    def of(keys: DataFrame) -> DataFrame:
+        keys = keys.withColumnRenamed("row", "row_")
+        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+    left = docs.withColumn("row_", _row_key(F.col("doc_id").cast("long"), F.col("text"))).join(of(gone), "row_", "left_anti")
+    if not repeated.isEmpty():
+        left = left.join(of(repeated), "row_", "left_anti").unionByName(left.join(of(repeated), "row_", "left_semi").dropDuplicates(["row_"]))
+    return left.drop("row_")
 
 
 def op4_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,24 @@ def test_keep_one(spark):
     want = sorted(i for i, (_, c) in brute.components(texts, 5, 80, 100).items() if c == i)
     out = jaccard.keep_one(df)
     assert sorted(r.doc_id for r in out.collect()) == want and out.columns == df.columns
+
+
+def test_text_without_id_links_others(spark):
+    """The text between two others is held by rows without an id only, one with an id of another text too."""
+    base = [f"w{i}" for i in range(40)]
+    a, bridge, c = " ".join(base), " ".join(base[2:] + ["x1", "x2"]), " ".join(base[4:] + ["x1", "x2", "x3", "x4"])
+    both = run(spark, {1: a, 2: c}, 3, 85)
+    assert both[1][1] == 1 and both[2][1] == 2
+    df = spark.createDataFrame([(1, a, 1, ""), (None, bridge, 1, ""), (None, bridge, 1, ""), (2, c, 1, ""), (None, "else", 1, "")], SCHEMA)
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0) for r in jaccard.components(df, 3, 85, 100).collect())
+    assert rows == [(False, 1, 1), (False, 2, 1), (True, 0, 0), (True, 0, 1), (True, 0, 1)]
+
+
+def test_keep_one_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, 1, "x"), (1, a, 2, "y"), (2, a, 1, "x"), (2, b, 1, "x"), (3, c, 1, "x"), (3, c, 1, "x"), (1, near, 1, "x"), (5, "", 1, "x"), (5, "", 1, "x"), (None, a, 1, "x"), (6, b, 1, "x")]
+    out = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    groups = [{a, near}, {b}, {c}]
+    assert [sorted(i for i, t in out if i is not None and t in g) for g in groups] == [[1], [2], [3]]
+    assert sorted((i or 0, t) for i, t in out if i is None or not t) == [(0, a), (5, ""), (5, "")]
