@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only a session on one machine may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/quillon-shared"  # only where the session names none: a local test
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "/tmp/quillon-shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,6 +38,43 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of an operator's steps. On leaving, those that weren't kept are deleted from the shared folder: what is made of them must have been written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """cut_lineage, to be deleted later."""
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that cut gave, which outlives this."""
+        self.paths.pop(id(df), None)
+        return df
+
+    def drop(self, *dfs: DataFrame) -> None:
+        """Tables that nothing reads any more."""
+        for df in dfs:
+            if (had := self.paths.pop(id(df), None)) is not None:
+                delete(self.spark, had[1])
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[df for df, _ in list(self.paths.values())])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which the cluster sizes to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

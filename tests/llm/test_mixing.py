@@ -76,3 +76,30 @@ def test_documents_keep_their_columns(spark):
     assert sum(len(r.text.split()) for r in rows) == int(0.5 * sum(len((r.text or "").split()) for r in df.collect()))
     assert all(r.n_chars == len(r.text) for r in rows)
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_rows_that_equal_the_last_of_a_prefix(spark):
+    rows = [(7, "a b c d", "en", "src0")] * 9 + [(None, "x y", "en", "src1")] * 5 + [(None, "x  z", "en", "src1")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(df, total=26, epochs=1, weights=mixing.Weights(domain={}, language={}))
+    got = [(r.doc_id, r.take) for r in out.collect()]
+    assert sum(t for _, t in got) == 26
+    for i, n in ((7, 4), (None, 2)):
+        own = sorted(t for d, t in got if d == i)
+        assert sum(own) == 13 and sum(t < n for t in own) == 1
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(df, total=26, epochs=1).collect()) == 26
+
+
+def test_clashing_names_quotes_and_zero_weights(spark):
+    rows = [(i, "w " * (i % 7 + 1), "it's" if i % 2 else "en", "src1", i, "w", "r", "f", 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, whole int, rest string, row string, cut string, Take int")
+    out = mixing.mix(df, share=0.5, weights=mixing.Weights(language={"it's": 0, "en": 1})).collect()
+    assert {r.language for r in out} == {"en"} and all(r.whole == r.doc_id and r.rest == "w" and r.row == "r" for r in out)
+    assert sum(r.take for r in out) == sum(len(r[1].split()) for r in rows) // 2
+    assert mixing.mixed_documents(df, share=0.5).columns == df.columns
+    assert not mixing.mix(df, weights=mixing.Weights(language={"it's": 0, "en": 0})).count()
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "long word " * 300_000, "en", "src1"), (2, "a b", "en", "src1")], "doc_id long, text string, lang string, source string")
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(df, total=500_001).collect()) == 500_001
