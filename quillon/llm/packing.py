@@ -1,6 +1,6 @@
 """Bounded-space online best-fit packing of tokenised documents into sequences.
 
-A fixed number of bins stay open. One integer is the bitset of the free spaces that open bins have; the lowest set bit at or above a piece's length is the best fit. If no bin fits and all are open, the fullest (lowest set bit) closes and a new one opens. Each Spark partition packs its own documents, so nothing is shuffled; sequence ids carry the partition in their high bits.
+Pieces arrive through a buffer of LOOKAHEAD pieces, of which the longest leaves first, so short ones come when gaps are open; the buffer is the same whatever batches they come in. A fixed number of bins stay open. One integer is the bitset of the free spaces that open bins have; the lowest set bit at or above a piece's length is the best fit. If no bin fits and all are open, the fullest (lowest set bit) closes and a new one opens. Each Spark partition packs its own documents, so nothing is shuffled; sequence ids carry the partition in their high bits.
 
 Defined cases: a null text is empty (only the end id is packed). Only documents longer than the capacity are cut; the first piece takes the remainder, all others are full. Repeated rows are packed each on its own. An empty table gives no pieces. Other columns are ignored.
 """
@@ -11,6 +11,7 @@ import base64
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush, heappushpop
 
 import public_tokenizers
 import pyarrow as pa
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import map_arrow, table, texts_of
 
 
+#: Pieces that wait to be placed.
+LOOKAHEAD = 4096
+
+
 class ByteBpe:
     """Ids of byte_bpe_50k.json as little-endian unsigned 32-bit strings.
 
@@ -99,23 +104,35 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, bpe = BestFit(capacity, open_bins), tokenizer(json_path, ranks_path, pattern)
         base = TaskContext.get().partitionId() << 40
+        waiting: list[tuple] = []
+        arrived = 0
+
+        def placed(pieces: list[tuple]) -> pa.RecordBatch:
+            rows = []
+            for piece in pieces:
+                bin_, offset = bins.place(-piece[0])
+                rows.append((piece[2], piece[3], piece[4], -piece[0], piece[5], base + bin_, offset))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names)
+
         for b in batches:
-            cols: list[list[int]] = [[] for _ in names]
-            add = [c.append for c in cols]
-            pieces = []
+            leaving = []
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 ids = bpe.encode(text) + end
                 n = len(ids) // 4
                 start, length = 0, n if n <= capacity else n % capacity or capacity
                 piece = 0
                 while start < n:
-                    pieces.append((length, doc, piece, start, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                    own = (-length, arrived, doc, piece, start, zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                    arrived += 1
+                    if len(waiting) < LOOKAHEAD:
+                        heappush(waiting, own)
+                    else:
+                        leaving.append(heappushpop(waiting, own))
                     start, length, piece = start + length, capacity, piece + 1
-            for length, doc, piece, start, crc in sorted(pieces, key=lambda p: -p[0]):  # long pieces of a batch first: short ones fill the gaps while their bins are open
-                bin_, offset = bins.place(length)
-                for f, v in zip(add, (doc, piece, start, length, crc, base + bin_, offset), strict=True):
-                    f(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            if leaving:
+                yield placed(leaving)
+        if waiting:
+            yield placed([heappop(waiting) for _ in range(len(waiting))])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)

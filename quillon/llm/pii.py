@@ -1,6 +1,8 @@
 """PII by anchor expansion: one Aho-Corasick pass finds at-signs, digits, plus signs, schemes and identifier cues; local parsers expand each anchor to the bounds of an address, number or account and validate it.
 
-Defined cases: a null text is the empty text (no spans). Each kind's spans are leftmost, non-overlapping and independent of the other kinds'; a match that fails its check is dropped and not retried. Offsets are code points, ends exclusive. Input columns other than the id and the text are ignored, so clashing names can't arise. Repeated rows give repeated results.
+Every parser looks at a bounded stretch or goes on behind what it has taken, so time is linear in a text of any length.
+
+Defined cases: a null text is the empty text (no spans). An empty table gives no rows. Each kind's spans are leftmost, non-overlapping and independent of the other kinds'; a match that fails its check is dropped and not retried. Offsets are code points, ends exclusive. Input columns other than the id and the text are ignored, so clashing names can't arise. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from quillon.llm.common import map_batches, table, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the anchors add to the base ones.
-EXTRA_KINDS = ("url", "iban", "account", "secret")
+EXTRA_KINDS = ("url", "iban", "account", "login", "secret")
 #: Words that announce an account number, and words that announce a secret.
-ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
-SECRET_CUES = ("token", "api_key", "apikey", "password", "passwd", "secret", "access_key")
+ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "passport", "ssn", "customer", "member", "user id", "userid", "tax id", "licence", "license")
+SECRET_CUES = ("token", "api_key", "apikey", "password", "passwd", "secret", "access_key", "pwd", "passphrase", "client_secret", "private_key")
+#: Words that announce the name of an account.
+LOGIN_CUES = ("login", "username", "user_name")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 
 _LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,9 +34,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"'|\\^`{}]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_AFTER_CUE = re.compile(r"[A-Za-z]*[ ]?(?:number|no\.?|nr\.?|id)?[ ]?[:=#]?[ ]?[\"']?")
+_AFTER_CUE = re.compile(r"[A-Za-z]{0,12}[ ]?(?:number|no\.?|nr\.?|id)?[ ]?[:=#]?[ ]?[\"']?")
 _ACCOUNT = re.compile(r"[A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,17}(?![A-Za-z0-9])")
 _SECRET_SEP = re.compile(r"[\"']?[ ]?[:=][ ]?[\"']?")
+_LOGIN = re.compile(r"[A-Za-z0-9_.-]{3,64}")
 _SECRET = re.compile(r"[A-Za-z0-9_\-+/=.]{8,}")
 
 
@@ -42,7 +47,7 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("+", ("+", 1))
     for d in "0123456789":
         a.add_word(d, ("d", 1))
-    for kind, cues in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("iban", ("iban",))):
+    for kind, cues in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES), ("login", LOGIN_CUES), ("iban", ("iban",))):
         for c in cues:
             for form in {c, c.capitalize(), c.upper()}:
                 a.add_word(form, (kind, len(form)))
@@ -63,16 +68,20 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban_ok(text: str) -> bool:
-    """ISO 13616: moved to the end, letters as 10 to 35, the number is 1 modulo 97."""
-    s = text.replace(" ", "")
-    if not 15 <= len(s) <= 34:
-        return False
-    rest = 0
-    for c in s[4:] + s[:4]:
-        v = int(c, 36)
-        rest = (rest * (100 if v > 9 else 10) + v) % 97
-    return rest == 1
+def iban_stop(text: str, at: int, stop: int) -> int:
+    """The end of the longest account number of ISO 13616 in text[at:stop], or 0: with its first four characters moved to the end and letters as 10 to 35, the number is 1 modulo 97."""
+    head = int("".join(str(int(c, 36)) for c in text[at : at + 4]))
+    rest, n, found = 0, 4, 0
+    for i in range(at + 4, stop):
+        if text[i] == " ":
+            continue
+        v = int(text[i], 36)
+        rest, n = (rest * (100 if v > 9 else 10) + v) % 97, n + 1
+        if n > 34:
+            break
+        if n >= 15 and (rest * 10**6 + head) % 97 == 1:
+            found = i + 1
+    return found
 
 
 def _octet(part: str) -> bool:
@@ -88,9 +97,19 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     a = _state.get("a")
     if a is None:
         a = _state["a"] = _automaton()
+
+    def iban(gap: int) -> None:
+        if gap < end["iban"] or not (m := _IBAN.match(text, gap)):
+            return
+        if stop := iban_stop(text, gap, m.end()):  # the greedy match may run into the next word
+            found["iban"].append((gap, stop))
+            end["iban"] = stop
+
     for last, (what, n) in a.iter(text):
         at = last - n + 1
         if what == "d":
+            if at >= 2 and "A" <= text[at - 1] <= "Z" and "A" <= text[at - 2] <= "Z" and not (at > 2 and text[at - 3].isalnum()):
+                iban(at - 2)  # without a cue, the check number decides
             if at >= end["card"]:
                 m = _CARD.match(text, at)
                 if m:
@@ -126,21 +145,17 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                     found["url"].append((at, stop))
                     end["url"] = stop
         elif what == "iban":
-            gap = _AFTER_CUE.match(text, last + 1).end()
-            if gap >= end["iban"] and (m := _IBAN.match(text, gap)):
-                stop = m.end()
-                while stop - gap >= 15 and not iban_ok(text[gap:stop]):  # the greedy match may run into the next word
-                    stop -= 1
-                    while text[stop - 1] == " ":
-                        stop -= 1
-                if stop - gap >= 15 and iban_ok(text[gap:stop]):
-                    found["iban"].append((gap, stop))
-                    end["iban"] = stop
+            iban(_AFTER_CUE.match(text, last + 1).end())
         elif what == "account":
             gap = _AFTER_CUE.match(text, last + 1).end()
             if gap >= end["account"] and (m := _ACCOUNT.match(text, gap)):
                 found["account"].append(m.span())
                 end["account"] = m.end()
+        elif what == "login":
+            sep = _SECRET_SEP.match(text, last + 1)
+            if sep and sep.end() >= end["login"] and (m := _LOGIN.match(text, sep.end())):
+                found["login"].append(m.span())
+                end["login"] = m.end()
         elif sep := _SECRET_SEP.match(text, last + 1):
             if sep.end() >= end["secret"] and (m := _SECRET.match(text, sep.end())):
                 found["secret"].append(m.span())

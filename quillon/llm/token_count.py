@@ -4,7 +4,7 @@ A text's count is its initial symbols less the merges; no identifiers are made.
 
 The vocabulary has no piece in which a space follows another character or in which a Latin letter stands beside another character (checked on loading), so merges never cross these borders: texts are cut there, each distinct part is merged once in a worker's life, and its count kept in a memory of bounded size.
 
-Defined cases: a null text counts as the empty one (0 tokens, 0 bytes). Repeated rows give repeated results; other columns are ignored.
+Defined cases: a null text counts as the empty one (0 tokens, 0 bytes). A text of any length is counted whole, in time n log n of its longest part. An empty table gives no rows. Repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from quillon.llm.common import map_batches, table, texts_of
 
 #: Parts that a worker remembers before it starts afresh.
 MEMORY = 1_000_000
+#: Characters of the longest part that is remembered: so the memory is bounded in bytes too.
+REMEMBERED = 48
 SPACE = "▁"
 #: Spaces with what follows, Latin letters or all else: no piece reaches over the border of such a part.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -35,7 +37,9 @@ class Memo(dict):
         self.make = make
 
     def __missing__(self, part: str) -> int:
-        c = self[part] = self.make(part)
+        c = self.make(part)
+        if len(part) <= REMEMBERED:
+            self[part] = c
         return c
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -137,3 +138,28 @@ def test_best_fit_takes_the_tightest_bin(open_bins):
         if not state[bin_]:
             del state[bin_]
     assert b.made == made
+
+
+def test_cues_and_time_of_pii():
+    found = pii.find_spans("Login: kim_92, IBAN without cue DE89370400440532013000 and XDE89370400440532013000, DE89370400440532013001")
+    assert [len(found[k]) for k in ("login", "iban")] == [1, 1]
+    for unit in ("account", "a@", "http://", "+1 ", "1.", "iban ", "token=", "GB29 "):
+        began = time.time()
+        pii.find_spans(unit * 60_000)
+        assert time.time() - began < 3, unit
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, piece string, n_tokens string")
+    assert not packing.pack_documents(docs).count() and not token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), 4096).count() and not pii.report(docs).count()
+
+
+def test_packing_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1), (1, None, 1), (None, "a b", 2), (2, "word " * 5000, 3)], "doc_id long, text string, start int")
+    rows = packing.pack_documents(docs).collect()
+    assert sum(r.doc_id == 1 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
+    assert max(r.length for r in rows) == 1024 and [r.start for r in sorted((r for r in rows if r.doc_id == 2), key=lambda r: r.piece)][0] == 0
+    place = {}
+    for r in rows:
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(v)[0][0] == 0 and sum(n for _, n in v) <= 1024 for v in place.values())
