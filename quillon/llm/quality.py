@@ -1,10 +1,10 @@
 """Positive-unlabelled quality classifier.
 
-Trusted positives, unlabelled web text and a class prior are all that the fit sees: a small network of one hidden layer minimises the non-negative unbiased risk prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) under the logistic loss; where the second term falls below 0 its gradient is reversed. The prior is estimated as the share of positives among the labelled rows that may be learnt from. The fit uses at most SAMPLE rows of each kind, those whose ids hash lowest, on the driver (some 40 numbers a row); scoring runs over all rows in one pass without a shuffle.
+Trusted positives, unlabelled web text and a class prior are all that the fit sees: a small network of one hidden layer minimises the non-negative unbiased risk prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) under the logistic loss; where the second term falls below 0 its gradient is reversed. The prior is estimated from positives and unlabelled rows alone: a first network tells the two apart on one half of both, and among the regions above its thresholds on the other half, the least ratio of unlabelled to positive mass is the share of positives in the unlabelled text. The fit uses at most POSITIVES trusted rows and UNLABELLED others, those whose ids hash lowest (of rows that share an id, one), on the driver (some 40 numbers a row); scoring runs over all rows in one pass without a shuffle.
 
 Inputs of a score are shape statistics of the whole text: shares of kinds of characters, word lengths, repetition of words and word triples.
 
-Defined cases: a null text scores as the empty text. Labels that are null are not learnt from. Without positives every score is the prior (0.5 where that is unknown too). Repeated rows score alike; other columns are ignored.
+Defined cases: a null text scores as the empty text. Labels that are null are not learnt from. Without positives or other rows every score is 0.5. Texts of any length are read whole. Repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import map_batches, rolling, table, text_chunks, within, words
 
-#: Rows of each kind that the fit reads, at most.
-SAMPLE = 20_000
-HIDDEN, EPOCHS, STEPS, BATCH, RATE, DECAY = 24, 40, 1500, 512, 3e-3, 1e-4
+#: Trusted positives and unlabelled rows that the fit reads, at most.
+POSITIVES = 20_000
+UNLABELLED = 20_000
+#: Positives, at least, that lie above a threshold which the prior is estimated at.
+ABOVE = 0.3
+HIDDEN, EPOCHS, STEPS, PRIOR_STEPS, BATCH, RATE, DECAY = 24, 40, 1500, 600, 512, 3e-3, 1e-4
 #: Kinds of bytes: fixed values.
 KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"\n", b".,;:", b"!?", b"|", b"#$%&*@^~=+<>{}[]\\/_", b"'\"()-")
 N_FEATURES = len(KINDS) + 13
@@ -93,19 +96,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Non-negative unbiased risk, by Adam over shuffled batches."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows: where none but positives are, unlabelled mass is that share of positive mass."""
+    p, u = (x[np.random.default_rng(5).permutation(len(x))] for x in (positive, unlabelled))
+    first = fit(p[::2], u[::2], 0.5, steps=PRIOR_STEPS)
+    sp, su = np.sort(first.margin(p[1::2])), np.sort(first.margin(u[1::2]))
+    if not len(sp) or not len(su):
+        return 0.5
+    at = np.quantile(sp, np.linspace(0, 1 - ABOVE, 40))
+    above_p = 1 - np.searchsorted(sp, at, "left") / len(sp)
+    above_u = 1 - np.searchsorted(su, at, "left") / len(su)
+    return float(np.clip((above_u / above_p).min(), 0.02, 0.98))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7, steps: int | None = None) -> Model:
+    """Non-negative unbiased risk, by Adam over shuffled batches; so many steps, or EPOCHS and at least STEPS."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-6
     xp, xu = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     w = [rng.normal(0, N_FEATURES**-0.5, (N_FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.array(np.log(prior / (1 - prior)))]
     m, v, t = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
-    steps = max(1, len(xu) // BATCH)
-    epochs = max(EPOCHS, STEPS // steps)  # small tables get as many steps
+    per = max(1, len(xu) // BATCH)
+    epochs = max(EPOCHS, STEPS // per) if steps is None else -(-steps // per)  # small tables get as many steps
     for epoch in range(epochs):
         p_order, u_order = rng.permutation(len(xp)), rng.permutation(len(xu))
-        for s in range(steps):
+        for s in range(per):
             p, u = xp[np.take(p_order, np.arange(s * BATCH, (s + 1) * BATCH), mode="wrap")], xu[np.take(u_order, np.arange(s * BATCH, (s + 1) * BATCH), mode="wrap")]
             x = np.concatenate([p, u])
             a = np.tanh(x @ w[0] + w[1])
@@ -137,7 +153,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _sample(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
-    """Features of the n rows whose ids hash lowest; n bounds what is broadcast and collected."""
+    """Features of the n ids that hash lowest; n bounds what is broadcast and collected."""
     low = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(n)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,21 +161,19 @@ def _sample(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
     rows = map_batches(docs.join(F.broadcast(low), "doc_id").select("doc_id", "text"), run, "doc_id long, x array<double>")
-    got = rows.orderBy("doc_id").limit(2 * n).toArrow()
+    got = rows.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow()
     flat = got.column("x").combine_chunks()
     return np.asarray(flat.flatten() if len(flat) else []).reshape(-1, N_FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: (doc_id, text); labels: (doc_id, quality)."""
-    own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    prior = own.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    prior = min(max(0.5 if prior is None else prior, 0.02), 0.98)
-    xp = _sample(docs, own.filter("quality = 1"), sample)
-    xu = _sample(docs, docs.filter(F.col("doc_id").isNotNull() & ~held_out()), sample)
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """docs: (doc_id, text); labels: (doc_id, quality), of which only the positives are read."""
+    trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
+    xp = _sample(docs, trusted, positives)
+    xu = _sample(docs, docs.filter(F.col("doc_id").isNotNull() & ~held_out()), unlabelled)
     if not len(xp) or not len(xu):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), float(np.log(prior / (1 - prior))))
-    return fit(xp, xu, prior)
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0)
+    return fit(xp, xu, estimate_prior(xp, xu))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

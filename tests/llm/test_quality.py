@@ -30,3 +30,12 @@ def test_odd_rows(spark):
     assert quality.scores(docs.limit(0), none).count() == 0
     assert quality.scores(docs, none).first().score == 0.5
     assert quality.accept(docs.withColumn("score", quality.F.lit("x")), none, 0.4).count() == 6
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.7):
+        p = rng.normal(1.2, 1, (4000, quality.N_FEATURES))
+        is_p = rng.random(6000) < share
+        u = np.where(is_p[:, None], rng.normal(1.2, 1, (6000, quality.N_FEATURES)), rng.normal(-1.2, 1, (6000, quality.N_FEATURES)))
+        assert abs(quality.estimate_prior(p, u) - share) < 0.06
