@@ -4,6 +4,8 @@ A window is a run of WIDTH consecutive words of one document; its minimiser is t
 
 Super-k-mers that are equal inside one map step are combined before the shuffle: only the earliest travels, the windows of the others are repeats already. So a passage that a third of all documents share reaches its bucket once a map step.
 
+A minimiser that many contexts share would make its bucket grow with the corpus. Minimisers that are frequent in a sample of SAMPLE documents (those whose texts hash lowest) are heavy: their windows travel one by one, dealt by the window's own hash. All windows with one minimiser are treated alike, so the sample decides about the load alone and never about the result. A text of any length is read in pieces; what one map step holds is bounded but for the longest text.
+
 Defined cases: null and empty texts have no words. Rows are ordered by doc_id (null last), rows with the same id by a hash of their text; rows equal in both are one document and get the same result. Documents shorter than a window keep everything. Other columns are ignored.
 """
 
@@ -16,15 +18,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _WS, CHUNK_BYTES, map_arrow, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
+from quillon.llm.common import _WS, CHUNK_BYTES, cut_lineage, map_arrow, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
 
 #: Words of a minimiser.
 SEED = 3
 #: Words that one map step combines and packs together.
 STEP_WORDS = 2_000_000
+#: Documents that heavy minimisers are sought in, and occurrences there that are too few to count.
+SAMPLE, RARE = 2000, 20
 #: Buckets for each shuffle partition; a reducer holds one bucket at a time.
 BUCKETS = 4
 
@@ -64,6 +68,17 @@ def expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
 
 
+def same_words(h: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, maybe: np.ndarray, width: int) -> np.ndarray:
+    """Of the super-k-mers at a and b with n and m windows, those of equal words, where maybe is set."""
+    out = maybe & (n == m)
+    at = np.flatnonzero(out)
+    if len(at):
+        size = n[at] + width - 1
+        differ = h[expand(a[at], size)] != h[expand(b[at], size)]
+        out[at] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    return out
+
+
 class Blob:
     """Super-k-mers of one bucket: where they stand, and their text."""
 
@@ -103,11 +118,31 @@ def joined_runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarr
     return doc[at], tag[at], start[at], np.maximum.reduceat(end, at) - start[at] if len(at) else end
 
 
+def heavy_minimisers(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
+    """The minimisers that have more than a quarter of a bucket's share of the sample's super-k-mers and are no rarity there: 4 a bucket at most."""
+    keyed = docs.select("text", F.xxhash64("text").alias("key"))
+    low = keyed.join(F.broadcast(keyed.select("key").distinct().orderBy("key").limit(SAMPLE)), "key").groupBy("key").agg(F.first("text").alias("text")).select("text")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for _, _, data, off in text_chunks(b.column(0)):
+            h, first, _, _ = words(data, off)
+            found.append(super_kmers(h, first, width)[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["low"])
+
+    counts = map_batches(low, run, "low long").groupBy("low").agg(F.count(F.lit(1)).alias("n"))
+    total = Window.partitionBy()
+    some = counts.withColumn("all_", F.sum("n").over(total)).filter(F.col("n") * 4 * buckets > F.col("all_")).filter(f"n > {RARE}")
+    return np.sort(np.array([r.low for r in some.select("low").collect()], np.int64).view(np.uint64))
+
+
 def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """(bucket, blob) of super-k-mers, and with a null blob (doc, tag, start, n) of runs that the map step found repeated."""
     schema = "bucket int, blob binary, doc long, tag int, start int, n int"
     arrow = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
 
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_minimisers(docs, width, buckets))
+
     def step(parts: list[tuple], doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
         """parts: (word hashes, words of each text, byte starts, byte ends, bytes) of consecutive chunks."""
         h, first = np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
@@ -117,11 +152,16 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         low, row, start, n = super_kmers(h, first, width)
         if not len(low):
             return
+        if len(heavy.value):
+            many = np.isin(low, heavy.value)
+            at = expand(start[many], n[many])
+            one = [spans_hash(h, at, at + width), np.repeat(row[many], n[many]), at, np.ones(len(at), n.dtype)]
+            low, row, start, n = (np.concatenate([x[~many], y]) for x, y in zip((low, row, start, n), one, strict=True))
         own_doc, own_tag, own_start = doc[row], tag[row], start - first[row]
         content = spans_hash(h, start, start + n + width - 1)
         order = np.lexsort((own_start, own_tag, own_doc, content))
         again = np.zeros(len(low), bool)
-        again[order[1:]] = content[order[1:]] == content[order[:-1]]
+        again[order[1:]] = same_words(h, start[order[1:]], start[order[:-1]], n[order[1:]], n[order[:-1]], content[order[1:]] == content[order[:-1]], width)
         head = order[np.maximum.accumulate(np.where(again[order], 0, np.arange(len(order))))]
         rep = order[again[order] & ((own_doc[order] != own_doc[head]) | (own_tag[order] != own_tag[head]) | (own_start[order] != own_start[head]))]
         if len(rep):
@@ -180,15 +220,19 @@ def bucket_repeats(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
         return z, z, z, z
     kmer = np.searchsorted(np.cumsum(n), cand, "right")
     c_doc, c_tag, c_start = doc[kmer], tag[kmer], start[kmer] + cand - (np.cumsum(n) - n)[kmer]
-    o = np.lexsort((c_start, c_tag, c_doc, g[cand]))
-    gs = g[cand][o]
-    head = np.append(True, gs[1:] != gs[:-1])
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))  # the earliest of each hash
-    equal = np.ones(len(o), bool)
-    for i in range(width):
-        equal &= h[at[cand[o]] + i] == h[at[cand[o[lead]]] + i]
-    if not equal.all():
-        raise ValueError("two different windows have one 64-bit hash")
+    content = np.zeros(len(cand), np.int64)  # tells windows of one hash apart
+    while True:
+        o = np.lexsort((c_start, c_tag, c_doc, content, g[cand]))
+        gs, cs = g[cand][o], content[o]
+        head = np.append(True, (gs[1:] != gs[:-1]) | (cs[1:] != cs[:-1]))
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))  # the earliest of each hash
+        equal = np.ones(len(o), bool)
+        for i in range(width):
+            equal &= h[at[cand[o]] + i] == h[at[cand[o[lead]]] + i]
+        if equal.all():
+            break
+        odd = np.flatnonzero(np.isin(g[cand], gs[~equal]))
+        content[odd] = np.unique(np.stack([h[at[cand[odd]] + i] for i in range(width)], 1), axis=0, return_inverse=True)[1].ravel()
     first_of = o[lead]
     rep = o[(c_doc[o] != c_doc[first_of]) | (c_tag[o] != c_tag[first_of]) | (c_start[o] != c_start[first_of])]  # not a repeated row of the same
     return joined_runs(c_doc[rep], c_tag[rep], c_start[rep].astype(np.int64), np.ones(len(rep), np.int64))
@@ -252,7 +296,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_runs(docs: DataFrame, width: int) -> DataFrame:
-    runs = repeated_runs(docs.select("doc", "tag", "text"), width).distinct()
+    runs = cut_lineage(repeated_runs(docs.select("doc", "tag", "text"), width).distinct(), "runs")
     runs = runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # no longer than the document
     return docs.join(runs.hint("merge"), ["doc", "tag"], "left")
 

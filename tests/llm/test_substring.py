@@ -4,9 +4,12 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import substring
+from quillon.llm.common import words
 
 
 def passages(seed):
@@ -40,3 +43,37 @@ def test_digest_empty_and_repeated_rows(spark):
     got = sorted((r.doc_id is None, r.doc_id, r.n_removed) for r in rows)
     assert got == [(False, 0, 0), (False, 1, 0), (False, 1, 0), (True, None, 30)]
     assert {r.kept_sha256 for r in rows if r.doc_id == 1} == {hashlib.sha256(same.encode()).hexdigest()}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash of 8 values nearly all windows collide."""
+    rng = random.Random(1)
+    texts = {i: " ".join(rng.choice("abcd") for _ in range(60)) for i in range(30)}
+    blobs = []
+    for i, t in texts.items():
+        h, first, start, end = words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        one = np.array([0])
+        blobs.append(substring.Blob.pack(np.array([i]), np.array([0], np.int32), one, np.array([len(h) - 4]), [t.encode()]))
+    plain = substring.bucket_repeats(blobs, 5)
+    rolling = substring.rolling
+    monkeypatch.setattr(substring, "rolling", lambda h, k: rolling(h, k) % np.uint64(8))
+    for a, b in zip(plain, substring.bucket_repeats(blobs, 5), strict=True):
+        assert a.tolist() == b.tolist()
+    assert len(plain[0])
+
+
+def test_heavy_minimisers_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = {i: " ".join([*(rng.choice("abcdefgh") for _ in range(rng.randrange(40))), *"p q r s t u v".split(), *(rng.choice("abcdefgh") for _ in range(rng.randrange(30)))]) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(substring, "RARE", 1)
+    own = df.select(F.col("doc_id").alias("doc"), "text")
+    assert len(substring.heavy_minimisers(own, 6, 64)) > 3
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.dedup(df, 6).collect()}
+    assert got == {i: (n, k, " ".join(w)) for i, (n, k, w) in brute.uncovered(texts, 6).items()}
+
+
+def test_very_long_text(spark):
+    text = "some words that come again and again " * 40_000
+    out = substring.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string"), 20).collect()[0]
+    assert out.n_words == 280_000 and out.n_removed == 280_000 - 7  # all but the first round of words lies in a window that starts earlier too
