@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard, mixing, packing, pii, quality
-from quillon.llm.common import cut_lineage, table
+from quillon.llm.common import cut_lineage, remove, table
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -56,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        docs = cut_lineage(out, name.replace(" ", "-"))
+        remove(out)  # with what the stage read of the shared folder, the table before it included
     return docs

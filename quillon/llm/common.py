@@ -30,19 +30,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later jobs don't redo it, lost executors don't lose it."""
+#: Shuffle files of a written table go when it is written, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    had = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: later jobs don't redo it, lost executors don't lose it."""
+    return _write(df, shared_path(df.sparkSession, name))
+
+
 class Scratch:
-    """Tables of an operator's steps. On leaving, those that weren't kept are deleted from the shared folder: what is made of them must have been written by then."""
+    """Tables of an operator's steps. On leaving, they are deleted from the shared folder: what is made of them must have been written by then."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
         return self
@@ -50,24 +62,27 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """cut_lineage, to be deleted later."""
         path = shared_path(self.spark, name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
+        out = _write(df, path)
+        self.paths.append(path)
         return out
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """A table that cut gave, which outlives this."""
-        self.paths.pop(id(df), None)
-        return df
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
 
-    def drop(self, *dfs: DataFrame) -> None:
-        """Tables that nothing reads any more."""
-        for df in dfs:
-            if (had := self.paths.pop(id(df), None)) is not None:
-                delete(self.spark, had[1])
 
-    def __exit__(self, *_) -> None:
-        self.drop(*[df for df, _ in list(self.paths.values())])
+def remove(*tables: DataFrame) -> None:
+    """Delete the tables of the shared folder that these read: what was made of them must have been written."""
+    for df in tables:
+        root = _plain(shared_path(df.sparkSession, "")).rsplit("/", 1)[0]
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if re.fullmatch(re.escape(root) + r"/[A-Za-z_-]+-[0-9a-f]{32}", _plain(path)):
+                delete(df.sparkSession, path)
+
+
+def _plain(path: str) -> str:
+    """Without its scheme."""
+    return re.sub(r"^[a-z]+:/+", "/", path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

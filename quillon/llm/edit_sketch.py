@@ -2,7 +2,9 @@
 
 A text is walked by shared random bits: at step j the walk emits the character it stands on and moves on if bit (j, character) is 1, so texts at a small edit distance fall into step again and their emissions differ at few steps (Hamming distance). A fingerprint samples SLOTS steps of the 2 n steps of a text of n code points; each slot takes the step whose hash is smallest among those, so texts of nearly the same length sample the same steps. What a sample keeps is 8 bits of the four characters ahead. The likeness of two fingerprints is the share of equal slots.
 
-Banding joins texts that agree on all slots of a band, and every pair of a band's group is tried or excluded by a bound: two texts that differ in at most d slots agree on one of d + 1 parts of the slots outside the band, so large groups are dealt by these parts where that leaves fewer pairs. What is left is tried block by block, each pair in the first band and part that it shares.
+Banding joins texts that agree on all slots of a band, and every pair of a band's group is tried or excluded by a bound: two texts that differ in at most d slots agree on one of d + 1 parts of the slots outside the band, so large groups are dealt by these parts where that leaves fewer pairs. What is left is tried block by block, each pair in the first band and part that it shares. Where only the groups of alike texts are asked for, the pivots of each band's group and the triangle inequality (Hamming distance is a metric) join them without all pairs.
+
+Two fingerprints of which a share s of the slots agree share a band with probability 1 - (1 - s^4)^16: 0.9998 at the threshold of 0.8, 0.78 at 0.55. The groups' cells are pairs of bands, which two fingerprints at the threshold share with probability 0.95.
 
 Steps are taken for many texts at once, longest first; a partition's rows are a stream of batches of bounded size.
 
@@ -17,14 +19,18 @@ from itertools import groupby
 from math import floor
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import map_arrow, map_batches, mix64, parallelism, table, texts_of
+from quillon.llm import regions
+from quillon.llm.common import Scratch, cut_lineage, map_arrow, map_batches, mix64, parallelism, remove, table, texts_of
 
 SLOTS = 64
 BANDS = 16
+#: Bands that near_groups takes together: one band of 4 slots alone puts most of a large group of distant copies in one cell.
+BAND_PAIRS = [(i, (i + d) % BANDS) for i in range(BANDS) for d in (1, 5)]
 #: Rows of the walk's table of bits; steps reuse them in turn.
 ROWS = 8191
 #: Characters that one vectorised walk takes on, unless a single text has more.
@@ -127,21 +133,30 @@ def fingerprints(texts: list[str]) -> np.ndarray:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(part, lent, doc_id, text), a part's rows together in order, after them the first row of the part that follows."""
+    """(part, lent, doc_id, text), a part's rows together in order, after them the first row of the part that follows. Two numbers a part, its last key and its largest, go to all tasks."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = max(parallelism(docs.sparkSession), docs.count() // RANGE_ROWS)
+    parts = max(parallelism(spark), docs.count() // RANGE_ROWS)
     cuts = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))  # one number a part
-    bound = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(0))
-    # rows up to a cut lie left of it
-    docs = docs.withColumn("part", F.aggregate(bound, F.lit(0), lambda n, c: n + (F.col("key") > c).cast("int")))
-    tops = docs.groupBy("part").agg(F.max("key").alias("top")).orderBy("part").collect()  # a row a part
-    first = {r.top: (tops[i + 1].part if i + 1 < len(tops) else tops[0].part) for i, r in enumerate(tops)}
-    cases = F.create_map(*[F.lit(v) for kv in first.items() for v in kv]) if first else F.create_map(F.lit(0), F.lit(0))
-    to = F.try_element_at(cases, F.col("key"))
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("lent"))
-    places = F.when(to.isNotNull(), F.array(own, F.struct(to.alias("part"), F.lit(True).alias("lent")))).otherwise(F.array(own))
-    rows = docs.withColumn("p", F.explode(places)).select("p.part", "p.lent", "doc_id", "text", "key")
+    ends = spark.sparkContext.broadcast(np.array(sorted(set(cuts)), np.int64))
+
+    @F.pandas_udf("int")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends.value, key.to_numpy(), "left").astype(np.int32))
+
+    tops = docs.select("key").groupBy(part_of("key").alias("part")).agg(F.max("key").alias("top")).orderBy("part").collect()  # a row a part
+    top = spark.sparkContext.broadcast((np.array([r.part for r in tops], np.int32), np.array([r.top for r in tops], np.int64)))
+
+    @F.pandas_udf("array<int>")
+    def places(key: pd.Series) -> pd.Series:
+        """The row's part and, where it comes first there, the part before it in descending order."""
+        have, most = top.value
+        part = np.searchsorted(ends.value, key.to_numpy(), "left").astype(np.int32)
+        at = np.searchsorted(have, part)
+        lends = most[at] == key.to_numpy()
+        return pd.Series([[p, t] if b else [p] for p, t, b in zip(part.tolist(), have[(at + 1) % len(have)].tolist(), lends.tolist(), strict=True)])
+
+    rows = docs.select("doc_id", "text", "key", F.posexplode(places("key")).alias("lent", "part")).withColumn("lent", F.col("lent") > 0)
     return rows.repartition(parts, "part").sortWithinPartitions("part", "lent", F.desc("key"), F.xxhash64("text")).select("part", "lent", "doc_id", "text")
 
 
@@ -202,11 +217,8 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def likeness(a: str, b: str) -> F.Column:
     """Share of equal slots of two fingerprint columns."""
-    same = [(F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2)).cast("int") for i in range(SLOTS)]
-    total = same[0]
-    for s in same[1:]:
-        total = total + s
-    return total / SLOTS
+    same = F.expr(f"filter(sequence(0, {SLOTS - 1}), i -> substring({a}, 2 * i + 1, 2) = substring({b}, 2 * i + 1, 2))")
+    return F.size(same) / SLOTS
 
 
 def _part_edges(threshold: float) -> list[int]:
@@ -274,5 +286,22 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), run, "fingerprint string, near string, likeness double")
 
 
+def near_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(fingerprint, near_id) of every fingerprint of prints (doc_id, fingerprint): the smallest doc_id that is reached by steps between fingerprints that share two of the bands in BAND_PAIRS and are at least so alike."""
+    width = 2 * SLOTS // BANDS
+    with Scratch(prints.sparkSession) as steps:
+        own = steps.cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")).withColumn("cls", F.xxhash64("fingerprint")), "prints")
+        twice = [F.xxhash64(F.lit(i), F.lit(j), F.substring("fingerprint", width * i + 1, width), F.substring("fingerprint", width * j + 1, width)) for i, j in BAND_PAIRS]
+        cells = own.select("cls", F.explode(F.array(*twice)).alias("sig"))
+        several = cells.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("sig")
+        members = steps.cut(cells.join(several, "sig", "left_semi").distinct(), "bands")
+        comp = regions.linked(members, own.select("cls", F.col("fingerprint").alias("value")), lambda x, y: (1 - likeness(x, y), likeness(x, y) >= threshold), 1 - threshold + 1e-9, by_degree=False)
+        own_comp = own.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        low = own_comp.groupBy("comp").agg(F.min("low").alias("near_id"))
+        out = cut_lineage(own_comp.join(low, "comp").select("fingerprint", "near_id"), "near")
+        remove(comp)
+    return out
+
+
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))

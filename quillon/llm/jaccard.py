@@ -22,17 +22,17 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut_lineage, map_arrow, map_batches, mix64, rolling, table, text_chunks, within, words
+from quillon.llm import regions
+from quillon.llm.common import Scratch, cut_lineage, remove, map_arrow, map_batches, mix64, parallelism, rolling, table, text_chunks, within, words
 
 #: Sizes of neighbouring regions, at least: a window then never reaches beyond the next region.
 LADDER = 1.4
-#: Up to so many ids are broadcast (8 bytes each, so 2 MB); more are joined by shuffle.
-BROADCAST_IDS = 250_000
-#: Pivots a cell in each pass; the last stays.
-PIVOTS = (1, 32, 1024)
+#: Projections that one map step combines.
+STEP_ROWS = 1_000_000
 #: Cells of the table of counts that shingles are ordered by.
 ORDER_CELLS = 1 << 20
 
@@ -122,7 +122,7 @@ def set_hash(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def regions(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def size_regions(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(region, cells there, region below or -1, cells there) of each text by its set size."""
     starts, a = [], 1
     while a <= max(int(size.max(initial=0)), 1):
@@ -144,7 +144,7 @@ def first_cells(g: np.ndarray, at: np.ndarray, rank: np.ndarray, num: int, den:
     size = np.diff(at)
     doc = np.repeat(np.arange(len(size)), size)
     g = g[np.lexsort((g, rank, doc))]
-    own, n_own, low, n_low = regions(size, num, den)
+    own, n_own, low, n_low = size_regions(size, num, den)
     out = []
     for region, n in ((own, n_own), (low, n_low)):
         idx = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[:-1], n)
@@ -177,23 +177,81 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n_shingles long, cls long, row long")
 
 
-def _projections(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(cls, sig): the projections of every text, its copies in a batch once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(sig: np.ndarray, cls: np.ndarray) -> bytes:
+    """Sorted projections byte by byte, and the classes as places in a list of them."""
+    own, at = np.unique(cls, return_inverse=True)
+    head = np.array([len(sig), len(own)], np.int64)
+    planes = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in (head, own, planes, np.ascontiguousarray(at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T))))
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    own = np.frombuffer(raw, np.int64, m, 16)
+    at = 16 + 8 * m
+    sig = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel()
+    place = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at + 8 * n).reshape(4, n).T).view(np.uint32).ravel()
+    return sig, own[place]
+
+
+def _met(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes that share a projection with another, sorted projections once, a class of each)."""
+    order = np.lexsort((cls, sig))
+    cls, sig = cls[order], sig[order]
+    head = np.append(True, sig[1:] != sig[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))
+    other = cls != cls[first]
+    return np.unique(np.concatenate([cls[other], cls[first[other]]])), sig[head], cls[head]
+
+
+def _company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(cls) of the texts that share a projection with another text. Those that share one inside a map step are known at once and only the first of them travels, so no projection has more rows than there are steps; a step's projections travel packed, a range of hashes to each bucket."""
+    parts = parallelism(docs.sparkSession)
+    arrow = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("cls", pa.int64())])
+
+    def step(cls: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        met, sig, cls = _met(sig, cls)
+        yield pa.RecordBatch.from_arrays([pa.array((mix64(met.view(np.uint64)) % np.uint64(parts)).astype(np.int32)), pa.nulls(len(met), pa.binary()), pa.array(met)], schema=arrow)
+        bucket = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        blobs = [_packed(sig[a:b], cls[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64())], schema=arrow)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             for _, _, data, off in text_chunks(b.column(0)):
                 h, first, _, _ = words(data, off, lower=True)
                 g, at = shingle_sets(h, first, k)
-                cls = set_hash(g, at)
                 s, d = signatures(g, at, num, den)
-                one = np.zeros(len(cls), bool)
-                one[np.unique(cls, return_index=True)[1]] = True
-                keep = one[d]
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[d[keep]]), pa.array(s[keep].view(np.int64))], ["cls", "sig"])
-
-    return map_arrow(docs.select("text"), run, "cls long, sig long")
+                held.append((set_hash(g, at)[d], s))
+                n += len(s)
+                if n >= STEP_ROWS:
+                    yield from step(*map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+        if n:
+            yield from step(*map(np.concatenate, zip(*held, strict=True)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for b in batches:
+            done = b.column(2).drop_null()
+            if len(done):
+                yield pa.RecordBatch.from_arrays([done], ["cls"])
+            for i, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if blob is None:
+                    continue
+                if i != bucket and held:
+                    yield pa.RecordBatch.from_arrays([pa.array(_met(*map(np.concatenate, zip(*held, strict=True)))[0])], ["cls"])
+                    held = []
+                bucket = i
+                held.append(_unpacked(blob))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(_met(*map(np.concatenate, zip(*held, strict=True)))[0])], ["cls"])
+
+    packed = map_arrow(docs.select("text"), deal, "bucket int, blob binary, cls long")
+    return map_arrow(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), meet, "cls long").distinct()
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +279,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
             total += np.frombuffer(row, np.int32)
         return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    rows = map_arrow(sets.select("grams"), count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    rows = map_arrow(sets.select("value"), count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     out = np.zeros((blocks, wide), np.int32)
     for r in rows:
         out[r.block] = np.frombuffer(r.counts, np.int32)
@@ -238,20 +296,19 @@ def _placed(sets: DataFrame, num: int, den: int) -> DataFrame:
         keys = [_lists(key, np.concatenate([[0], np.cumsum(count)])) for key, count in first_cells(g, at, rank, num, den)]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), *keys], ["cls", "size", "own", "low"])
 
-    cells = map_batches(sets.select("cls", "grams"), run, "cls long, size long, own array<long>, low array<long>")
+    cells = map_batches(sets.select("cls", "value"), run, "cls long, size long, own array<long>, low array<long>")
     cells = cells.select("cls", "size", F.explode(F.array("own", "low")).alias("keys"))
     return cells.select("cls", "size", F.posexplode("keys").alias("pos", "sig"))
 
 
-def _shared(cells: DataFrame, distinct: bool = True) -> DataFrame:
-    """Cells with more than one class."""
-    cell = Window.partitionBy("sig")
-    out = cells.withColumn("differ", F.min("cls").over(cell) != F.max("cls").over(cell)).filter("differ").drop("differ")
-    return out.distinct() if distinct else out
+def _shared(cells: DataFrame) -> DataFrame:
+    """Members of cells with more than one class; the counts are combined before the shuffle."""
+    several = cells.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("sig")
+    return cells.join(several, "sig", "left_semi")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(cls, grams) of each row of (cls, text) whose set it is: rows that only share a row key with one drop out."""
+    """(cls, value) of each row of (cls, text) whose set it is: rows that only share a row key with one drop out."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out, cls = [], []
@@ -260,73 +317,25 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             g, at = shingle_sets(h, first, k)
             out.append(_lists(g, at))
             cls.append(set_hash(g, at))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays(out)], ["cls", "grams"]).filter(pa.array(np.concatenate(cls) == np.asarray(b.column(0))))
-
-    return map_batches(docs, run, "cls long, grams array<long>")
+        return pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays(out)], ["cls", "value"]).filter(pa.array(np.concatenate(cls) == np.asarray(b.column(0))))
 
+    return map_batches(docs, run, "cls long, value array<long>")
 
-def contract(edges: DataFrame) -> DataFrame:
-    """(v, root) of every vertex of the edges (a, b): root is the smallest vertex of its component. Each round hooks every vertex to its smallest neighbour and contracts the edges to the hooks."""
-    edges = cut_lineage(edges.filter("a <> b").distinct(), "edges")
-    roots = edges.select(F.col("a").alias("v"), F.col("b").alias("root")).limit(0)
-    first = True
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("v"), "b").union(edges.select(F.col("b").alias("v"), F.col("a").alias("b")))
-        up = cut_lineage(both.groupBy("v").agg(F.least(F.col("v"), F.min("b")).alias("up")), "hooks")
-        to = up.select(F.col("v").alias("root"), "up")
-        roots = to.select(F.col("root").alias("v"), F.col("up").alias("root")) if first else roots.join(to, "root", "left").select("v", F.coalesce("up", "root").alias("root"))
-        first = False
-        a, b = up.select(F.col("v").alias("a"), F.col("up").alias("ra")), up.select(F.col("v").alias("b"), F.col("up").alias("rb"))
-        # a hooked vertex keeps an edge to its hook until both have one root
-        hooks = up.filter("v <> up").join(up.select(F.col("v").alias("up"), F.col("up").alias("next")), "up").select(F.col("up").alias("ra"), F.col("next").alias("rb"))
-        edges = edges.join(a, "a").join(b, "b").select("ra", "rb").union(hooks).filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = cut_lineage(edges, "edges")
-    return cut_lineage(roots, "roots")
 
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, comp) of every class of members (sig, cls, pos, size), cells with at least two classes."""
 
-def _only(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """Sets of the classes in one column of pairs: what isn't needed isn't shuffled. Few ids are broadcast, many joined by shuffle."""
-    ids = pairs.select(F.col(column).alias("cls")).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    return sets.join(F.broadcast(ids) if small else ids, "cls", "left_semi").withColumnRenamed("cls", column)
+    def may(m: str, p: str) -> F.Column:
+        size, other = F.col(f"{m}.size"), F.col(f"{p}.size")
+        reach = F.least(size - F.col(f"{m}.pos"), other - F.col(f"{p}.pos"))  # of the overlap, from this cell on
+        return (F.least(size, other) * den >= F.greatest(size, other) * num) & (reach * (num + den) >= (size + other) * num)
 
+    def measure(x: str, y: str) -> tuple[F.Column, F.Column]:
+        both = F.size(F.array_intersect(x, y))
+        all_ = F.size(x) + F.size(y) - both
+        return 1 - both / all_, both * den >= all_ * num
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(cls, comp) of every class of members (sig, cls, pos, size), cells with at least two classes."""
-    radius = 1 - num / den + 1e-9
-    degree = members.groupBy("sig").agg(F.count("*").alias("n")).join(members, "sig").groupBy("cls").agg(F.sum("n").alias("degree"))
-    left = members.join(degree, "cls").withColumn("dist", F.lit(None).cast("double"))
-    comp = cut_lineage(degree.select("cls", F.col("cls").alias("comp")), "components")
-    step = 0
-    while True:
-        cell = Window.partitionBy("sig")
-        m = left.join(comp, "cls").withColumn("open", F.min("comp").over(cell) != F.max("comp").over(cell)).filter("open").drop("open")
-        m = cut_lineage(m.withColumn("rank", F.row_number().over(cell.orderBy(F.desc("degree"), "cls"))), "cells")
-        if m.isEmpty():
-            return comp
-        k = PIVOTS[min(step, len(PIVOTS) - 1)]
-        p = m.filter(F.col("rank") <= k).select("sig", *(F.col(c).alias(f"p_{c}") for c in ("cls", "comp", "size", "pos", "dist", "rank")))
-        reach = F.least(F.col("m.size") - F.col("m.pos"), F.col("p.p_size") - F.col("p.p_pos"))  # of the overlap, from this cell on
-        near = F.col("m.dist").isNull() | F.col("p.p_dist").isNull() | (F.abs(F.col("m.dist") - F.col("p.p_dist")) <= radius)
-        pairs = m.alias("m").join(
-            p.alias("p"),
-            (F.col("m.sig") == F.col("p.sig")) & (F.col("p.p_rank") < F.col("m.rank")) & (F.col("m.comp") != F.col("p.p_comp")) & near
-            & (F.least("m.size", "p.p_size") * den >= F.greatest("m.size", "p.p_size") * num) & (reach * (num + den) >= (F.col("m.size") + F.col("p.p_size")) * num),
-        )
-        pairs = cut_lineage(pairs.select("p_cls", "cls", "p_comp", "comp").distinct(), "pairs")
-        x, y = _only(sets, pairs, "p_cls").withColumnRenamed("grams", "x"), _only(sets, pairs, "cls").withColumnRenamed("grams", "y")
-        both = F.size(F.array_intersect("x", "y"))
-        tried = pairs.join(x, "p_cls").join(y, "cls").select("p_cls", "cls", "p_comp", "comp", both.alias("both"), (F.size("x") + F.size("y") - both).alias("all"))
-        tried = tried.select("p_cls", "cls", "p_comp", "comp", (1 - F.col("both") / F.col("all")).alias("d"), (F.col("both") * den >= F.col("all") * num).alias("link"))
-        tried = cut_lineage(tried.distinct(), "tried")
-        roots = contract(tried.filter("link").select(F.least("comp", "p_comp").alias("a"), F.greatest("comp", "p_comp").alias("b")))
-        comp = comp.join(roots.withColumnRenamed("v", "comp"), "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
-        comp = cut_lineage(comp, "components")
-        # this pass's pivots are done in their cells; the rest keep their distance from the first of them
-        lead = p.filter("p_rank = 1").select("sig", "p_cls")
-        rest = m.filter(F.col("rank") > k).drop("comp", "rank", "dist").join(lead, "sig").join(tried.select("p_cls", "cls", F.col("d").alias("dist")), ["p_cls", "cls"], "left")
-        left = rest.drop("p_cls")
-        step += 1
+    return regions.linked(members, sets, measure, 1 - num / den + 1e-9, may)
 
 
 def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,23 +343,25 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("row", _row_key(F.col("doc_id"), F.col("text")))
     base = cut_lineage(_described(keyed.select("doc_id", "text", "row"), k), "described")
-    cls = base.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
-    cell = Window.partitionBy("sig")
-    company = _shared(_projections(docs, k, num, den), distinct=False).select("cls").distinct()
-    wanted = cut_lineage(company.join(cls, "cls").select("row", "cls"), "wanted")
-    n_wanted = wanted.count()
-    if n_wanted:
-        small = n_wanted <= BROADCAST_IDS
-        texts = keyed.join(F.broadcast(wanted) if small else wanted, "row").select("cls", "text")
-        sets = cut_lineage(_sets(texts, k), "sets")
-        if sets.count() > n_wanted:  # a repeated row repeats its set
-            sets = cut_lineage(sets.dropDuplicates(["cls"]), "sets")
-        comp = _links(cut_lineage(_shared(_placed(sets, num, den)), "members"), sets, num, den)
-        cls = cls.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        low = cls.groupBy("comp").agg(F.min("low").alias("low"))
-        cls = cls.select("cls", "comp").join(low, "comp").select("cls", "comp", "low")
-    else:
-        cls = cls.select("cls", F.col("cls").alias("comp"), "low")
+    with Scratch(docs.sparkSession) as steps:
+        cls = base.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
+        company = _company(docs, k, num, den)
+        wanted = steps.cut(company.join(cls, "cls").select("row", "cls"), "wanted")
+        n_wanted = wanted.count()
+        if n_wanted:
+            small = n_wanted <= regions.BROADCAST_IDS
+            texts = keyed.join(F.broadcast(wanted) if small else wanted, "row").select("cls", "text")
+            sets = steps.cut(_sets(texts, k), "sets")
+            if sets.count() > n_wanted:  # a repeated row repeats its set
+                sets = steps.cut(sets.dropDuplicates(["cls"]), "sets")
+            comp = _links(steps.cut(_shared(steps.cut(_placed(sets, num, den), "cells")), "members"), sets, num, den)
+            cls = cls.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            low = cls.groupBy("comp").agg(F.min("low").alias("low"))
+            cls = cls.select("cls", "comp").join(low, "comp").select("cls", "comp", "low")
+            cls = cut_lineage(cls, "classes")
+            remove(comp)
+        else:
+            cls = cls.select("cls", F.col("cls").alias("comp"), "low")
     return base.join(cls, "cls", "left").select("doc_id", "n_shingles", "row", "comp", "low")
 
 
@@ -361,15 +372,18 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each component, one with the smallest doc_id there. Rows without an id or without shingles stay."""
-    rows = cut_lineage(_joined(docs, k, num, den).filter("doc_id is not null and comp is not null").select("row", "comp", (F.col("doc_id") == F.col("low")).alias("least")), "rows")
-    several = rows.filter("least").groupBy("comp").agg(F.min("row").alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    ties = cut_lineage(rows.filter("least").join(several, "comp").groupBy("row", "kept").agg(F.count("*").alias("n")), "ties")
-    gone = cut_lineage(rows.filter("not least").select("row").union(ties.filter("row <> kept").select("row")).distinct(), "gone")
+    joined = _joined(docs, k, num, den)
+    with Scratch(docs.sparkSession) as steps:
+        rows = steps.cut(joined.filter("doc_id is not null and comp is not null").select("row", "comp", (F.col("doc_id") == F.col("low")).alias("least")), "rows")
+        remove(joined)
+        several = rows.filter("least").groupBy("comp").agg(F.min("row").alias("kept"), F.count("*").alias("n")).filter("n > 1")
+        ties = cut_lineage(rows.filter("least").join(several, "comp").groupBy("row", "kept").agg(F.count("*").alias("n")), "ties")
+        gone = cut_lineage(rows.filter("not least").select("row").union(ties.filter("row <> kept").select("row")).distinct(), "gone")
     repeated = ties.filter("row = kept and n > 1").select("row")
 
     def of(keys: DataFrame) -> DataFrame:
         keys = keys.withColumnRenamed("row", "row_")
-        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return F.broadcast(keys) if keys.count() <= regions.BROADCAST_IDS else keys
 
     left = docs.withColumn("row_", _row_key(F.col("doc_id").cast("long"), F.col("text"))).join(of(gone), "row_", "left_anti")
     if not repeated.isEmpty():

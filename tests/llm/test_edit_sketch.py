@@ -109,3 +109,39 @@ def test_near_pairs_of_large_groups(spark, monkeypatch, threshold, block):
     band = same.reshape(len(prints), len(prints), e.BANDS, -1).all(-1).any(-1)
     want = {(rows[i][1], rows[j][1], same[i, j].mean()) for i in range(len(prints)) for j in range(i) if band[i, j] and same[i, j].mean() >= threshold}
     assert len(want) > 300 and set(got) == want and len(got) == len(want)
+
+
+def test_near_groups_and_their_recall(spark):
+    """Groups are the components of pairs that share two bands; bands miss few of all pairs at the threshold."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 256, (400, e.SLOTS), dtype=np.uint8)
+    for i in range(0, 300, 3):  # chains of three
+        for k in (1, 2):
+            prints[i + k] = prints[i + k - 1]
+            at = rng.choice(e.SLOTS, rng.integers(0, 18), replace=False)
+            prints[i + k, at] = rng.integers(0, 256, len(at))
+    prints[300:360] = prints[300]
+    for row in prints[300:360]:
+        row[rng.choice(e.SLOTS, 9, replace=False)] += 1
+    rows = [(1000 - i, p.tobytes().hex()) for i, p in enumerate(prints)]
+    same = prints[:, None] == prints[None]
+    alike = same.mean(-1) >= 0.8
+    bands = same.reshape(400, 400, e.BANDS, -1).all(-1)
+    band = np.any([bands[..., i] & bands[..., j] for i, j in e.BAND_PAIRS], 0)
+    assert (alike & band).sum() / alike.sum() > 0.95
+    root = list(range(400))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(alike & band), strict=True):
+        root[find(i)] = find(j)
+    low = {}
+    for i in range(400):
+        low[find(i)] = min(low.get(find(i), 2000), 1000 - i)
+    want = {rows[i][1]: low[find(i)] for i in range(400)}
+    got = {r.fingerprint: r.near_id for r in e.near_groups(spark.createDataFrame([*rows, (5000, rows[0][1])], "doc_id long, fingerprint string")).collect()}
+    assert got == want
+    assert e.near_groups(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
