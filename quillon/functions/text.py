@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Tokens that mean no value, and the shape of a number.
@@ -74,5 +74,58 @@ def tm_count(c: Column) -> Column:
 
 
 def subcellular_class(c: Column, tm: Column) -> Column:
+    """The first that fits, in this order; a transmembrane protein without a place is in the membrane."""
     t = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(t.contains("mitochondri"), "Mitochondrion").when(t.contains("nucle"), "Nucleus").when(t.contains("cytoplasm") | t.contains("cytosol"), "Cytoplasm").when(t.contains("membrane") | (tm > 0), "Membrane").otherwise("Other")
+    return (
+        F.when(t.contains("mitochond"), "Mitochondria").when(t.rlike("nucleus|nuclear|nucleolus"), "Nucleus").when(t.rlike("cytoplasm|cytosol"), "Cytoplasm")
+        .when(t.contains("membrane") | (F.coalesce(tm, F.lit(0)) > 0), "Membrane").otherwise("Other/Unknown")
+    )
+
+
+# pK of the ends and side chains on the EMBOSS scale.
+PK_END, PK_START = 3.6, 8.6
+PK_ACID = {"D": 3.9, "E": 4.1, "C": 8.5, "Y": 10.1}
+PK_BASE = {"H": 6.5, "K": 10.8, "R": 12.5}
+
+
+def isoelectric_point(c: Column) -> Column:
+    """The pH at which a sequence has no charge, by 40 halvings of 0 to 14 over the counts of its charged residues; null for an empty one."""
+    s = clean_sequence(c)
+    count = {k: F.regexp_count(s, F.lit(k)).cast("double") for k in (*PK_ACID, *PK_BASE)}
+    counts = F.struct(*[n.alias(k) for k, n in count.items()])
+
+    def charge(n: Column, ph: Column) -> Column:
+        plus = 1 / (1 + F.pow(F.lit(10.0), ph - PK_START))
+        minus = 1 / (1 + F.pow(F.lit(10.0), PK_END - ph))
+        for k, pk in PK_BASE.items():
+            plus = plus + n[k] / (1 + F.pow(F.lit(10.0), ph - pk))
+        for k, pk in PK_ACID.items():
+            minus = minus + n[k] / (1 + F.pow(F.lit(10.0), pk - ph))
+        return plus - minus
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["low"] + acc["high"]) / 2
+        up = charge(acc["n"], mid) > 0
+        return F.struct(acc["n"].alias("n"), F.when(up, mid).otherwise(acc["low"]).alias("low"), F.when(up, acc["high"]).otherwise(mid).alias("high"))
+
+    start = F.struct(counts.alias("n"), F.lit(0.0).alias("low"), F.lit(14.0).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda acc: (acc["low"] + acc["high"]) / 2)
+    return F.when(F.length(s) > 0, found)
+
+
+def unique_ids(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """df with name: key, and from its second row on with the next number that isn't taken by another key."""
+    again = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    ends = df.select(F.regexp_extract(key, r"^(.*)\.[1-9][0-9]{0,8}$", 1).alias("base_"), F.regexp_extract(key, r"\.([1-9][0-9]{0,8})$", 1).alias("n_")).filter("n_ <> ''")
+    taken = ends.groupBy("base_").agg(F.array_sort(F.collect_set(F.col("n_").cast("int"))).alias("taken_"))
+    out = df.withColumn("again_", again).join(taken, F.col(key) == F.col("base_"), "left")
+    number = F.aggregate(F.coalesce("taken_", F.array().cast("array<int>")), F.col("again_"), lambda acc, t: F.when(t <= acc, acc + 1).otherwise(acc))
+    return out.withColumn(name, F.concat(F.col(key), F.when(F.col("again_") > 0, F.concat(F.lit("."), number.cast("string"))).otherwise(""))).drop("again_", "base_", "taken_")
+
+
+def short_names(samples: DataFrame, suffix: Column, order: list[str]) -> DataFrame:
+    """samples with short_name: the group's suffix and a running number."""
+    s = F.regexp_replace(F.trim(F.coalesce(suffix, F.lit("1"))), "^(?i:group)", "")
+    samples = samples.withColumn("suffix_", F.when(s == "", "1").otherwise(s))
+    n = F.row_number().over(Window.partitionBy("suffix_").orderBy(*order))
+    return samples.withColumn("short_name", F.concat("suffix_", F.lit("-"), n.cast("string"))).drop("suffix_")

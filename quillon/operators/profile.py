@@ -99,3 +99,9 @@ def in_group_order(corr: DataFrame, samples: DataFrame) -> DataFrame:
 
 def missing_cells(d: DataFrame) -> DataFrame:
     return d.select("feature_id", "sample", F.col("value").isNull().alias("is_missing"), F.count("value").over(feature()).alias("valid"))
+
+
+def gaps(rows: DataFrame, label: str, by: str) -> DataFrame:
+    """(gap): the places in the order by (1, 2, ...) after which the label changes. rows are samples or a drawing's features, few."""
+    nxt = F.lead(label).over(Window.orderBy(by))
+    return rows.withColumn("next_", nxt).withColumn("gap", F.row_number().over(Window.orderBy(by))).filter(F.col("next_") != F.col(label)).select("gap")

@@ -139,3 +139,26 @@ def rank_correlation(p: DataFrame, order: DataFrame) -> DataFrame:
     df = (F.col("n") - 2).cast("double")
     r = r.withColumn("p", p_value(F.col("rho") * F.sqrt(df / F.greatest(1 - F.col("rho") ** 2, F.lit(1e-12))), df))
     return adjusted(r.select("feature_id", "rho", "p"))
+
+
+def by_association(table: DataFrame, n: int | None = None) -> DataFrame:
+    """rank_correlation's rows by q, then by strength; the n best, or all."""
+    out = table.orderBy(F.asc_nulls_last("q"), F.desc(F.abs("rho")), "feature_id")
+    return out if n is None else out.filter("q is not null").orderBy("q", F.desc(F.abs("rho")), "feature_id").limit(n)
+
+
+def in_pseudotime(order: DataFrame) -> DataFrame:
+    """(lineage, place, sample, pseudotime) of pseudotime's rows."""
+    place = F.row_number().over(Window.partitionBy("lineage").orderBy("pseudotime", "sample"))
+    return order.filter("pseudotime is not null").select("lineage", place.alias("place"), "sample", "pseudotime")
+
+
+def with_pseudotime(coordinates: DataFrame, order: DataFrame) -> DataFrame:
+    """Coordinates of samples with their pseudotimes, null where they are on no lineage."""
+    return coordinates.join(F.broadcast(order.select("sample", "lineage", "pseudotime")), "sample", "left")
+
+
+def lineage_paths(order: DataFrame) -> DataFrame:
+    """(lineage, path): each lineage's groups in the order of their mean pseudotime."""
+    means = order.groupBy("lineage", "grp").agg(F.avg("pseudotime").alias("t"))
+    return means.groupBy("lineage").agg(F.array_sort(F.collect_list(F.struct("t", "grp"))).alias("g")).select("lineage", F.array_join(F.transform("g", lambda x: x["grp"]), " -> ").alias("path"))

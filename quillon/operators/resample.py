@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that scores are dealt into.
+SLICES = 64
+
 
 def shuffled(seed: int, *keys: str) -> F.Column:
     """An order that the seed gives the keys, the same in every engine."""
@@ -60,19 +63,46 @@ def summary(pred: DataFrame) -> DataFrame:
     return a.join(F.broadcast(m))
 
 
+def balanced_accuracy(pred: DataFrame, by: str) -> DataFrame:
+    """(by, balanced_accuracy): the mean recall of the classes that a resample holds."""
+    hit = (F.col("actual") == F.col("predicted")).cast("double")
+    recall = pred.filter("actual is not null").groupBy(by, "actual").agg(F.avg(F.coalesce(hit, F.lit(0.0))).alias("recall"))
+    return recall.groupBy(by).agg(F.round(F.avg("recall"), 6).alias("balanced_accuracy"))
+
+
+def likeliest(probabilities: Column, classes: list[str]) -> Column:
+    """The class of the largest probability, the first among equals."""
+    return F.try_element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(probabilities, F.array_max(probabilities)).cast("int"))
+
+
+def _running(by: DataFrame) -> DataFrame:
+    """by (score, p, q), a row each score, with p_below, q_below, p_all and q_all: sums over lower scores. Scores are dealt into ranges whose sums are carried on, so no task holds them all."""
+    bounds = by.agg(F.percentile_approx("score", [i / SLICES for i in range(1, SLICES)], 100 * SLICES)).first()[0] or []
+    slice_ = F.lit(0)
+    for b in sorted(set(bounds)):
+        slice_ = slice_ + (F.col("score") > b).cast("int")
+    by = by.withColumn("slice_", slice_)
+    sums = by.groupBy("slice_").agg(F.sum("p").alias("p_"), F.sum("q").alias("q_"))
+    before, whole = Window.partitionBy().orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # of at most SLICES rows
+    sums = sums.select("slice_", *(F.coalesce(F.sum(f"{c}_").over(before), F.lit(0)).alias(f"{c}_ahead") for c in "pq"), *(F.sum(f"{c}_").over(whole).alias(f"{c}_all") for c in "pq"))
+    own = Window.partitionBy("slice_").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    out = by.join(F.broadcast(sums), "slice_")
+    return out.select("score", "p", "q", *((F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"{c}_ahead")).alias(f"{c}_below") for c in "pq"), "p_all", "q_all")
+
+
+def _by_score(pred: DataFrame, positive: str) -> DataFrame:
+    yes = (F.col("actual") == positive).cast("long")
+    return pred.groupBy("score").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("q"))
+
+
 def roc(pred: DataFrame, positive: str) -> DataFrame:
     """(threshold, tpr, fpr) of each distinct score, from counts by score."""
-    yes = (F.col("actual") == positive).cast("long")
-    by = pred.groupBy("score").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("q"))
-    down = Window.orderBy(F.desc("score"))
-    whole = Window.partitionBy()
-    return by.select(F.col("score").alias("threshold"), F.round(F.try_divide(F.sum("p").over(down), F.sum("p").over(whole)), 6).alias("tpr"), F.round(F.try_divide(F.sum("q").over(down), F.sum("q").over(whole)), 6).alias("fpr"))
+    r = _running(_by_score(pred, positive))
+    rate = {c: F.round(F.try_divide(F.col(f"{c}_all") - F.col(f"{c}_below"), f"{c}_all"), 6) for c in "pq"}
+    return r.select(F.col("score").alias("threshold"), rate["p"].alias("tpr"), rate["q"].alias("fpr"))
 
 
 def auc(pred: DataFrame, positive: str) -> DataFrame:
     """Area under the ROC curve by trapezoids over distinct scores."""
-    yes = (F.col("actual") == positive).cast("long")
-    by = pred.groupBy("score").agg(F.sum(yes).alias("p"), F.sum(1 - yes).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = by.select(((below + F.col("q") / 2) * F.col("p")).alias("area"), "p", "q")
+    part = _running(_by_score(pred, positive)).select(((F.col("q_below") + F.col("q") / 2) * F.col("p")).alias("area"), "p", "q")
     return part.agg(F.round(F.try_divide(F.sum("area"), (F.sum("p") * F.sum("q")).cast("double")), 6).alias("auc"))

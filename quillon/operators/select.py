@@ -17,6 +17,8 @@ from quillon.functions import kernels
 from quillon.operators.matrix import sample_rows, vectors
 from quillon.operators.resample import split_plan
 
+#: Parts that a repeat's features are first ranked in.
+PARTS = 32
 #: Trees of a block.
 BLOCK = 50
 WEIGHTS = {"top20": 0.35, "top50": 0.25, "l1": 0.30, "gini": 0.10}
@@ -148,3 +150,32 @@ def union_of(lists: list[tuple[str, DataFrame]], n: int = 50) -> DataFrame:
         every = own if every is None else every.unionByName(own)
     first = every.groupBy("feature_id").agg(F.min(F.struct("i", "rank", "source")).alias("m"))
     return first.orderBy("m.i", "m.rank").limit(n).select("feature_id", F.col("m.source").alias("source"))
+
+
+def training_plan(samples: DataFrame, repeats: int, share: float = 0.8, seed: int = 123) -> DataFrame:
+    """(repeat, sample) of the samples that a repeat trains on."""
+    plan = split_plan(samples.select(F.col("sample").alias("id"), F.col("grp").alias("y")), repeats, share, seed)
+    return plan.filter("part = 'train'").select("repeat", F.col("id").alias("sample"))
+
+
+def top_in_training(filtered: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """(repeat, feature_id, variance, fill): the n features that vary most among a repeat's training samples, and their medians there. Features are ranked in parts first, so no task holds them all."""
+    cells = filtered.join(F.broadcast(plan), "sample")
+    own = cells.groupBy("repeat", "feature_id").agg(F.round(F.var_samp("x"), 9).alias("variance"), F.round(F.median("x"), 6).alias("fill")).filter("variance is not null")
+    order = [F.desc("variance"), F.asc("feature_id")]
+    own = own.withColumn("part_", F.pmod(F.hash("feature_id"), F.lit(PARTS)))
+    for keys in (["repeat", "part_"], ["repeat"]):
+        own = own.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("n_") <= n)
+    return own.select("repeat", "feature_id", "variance", "fill")
+
+
+def with_source(summary: DataFrame, forest: DataFrame, regression: DataFrame) -> DataFrame:
+    """summary with the importance and coefficient of its features and what selected them: RF, L1 or both."""
+    out = summary.join(forest.select("feature_id", "importance"), "feature_id", "left").join(regression.select("feature_id", "coefficient"), "feature_id", "left")
+    f, r = F.col("importance").isNotNull(), F.col("coefficient").isNotNull()
+    return out.withColumn("source", F.when(f & r, "RF+L1").when(f, "RF").when(r, "L1"))
+
+
+def coefficient_sums(coefficients: DataFrame) -> DataFrame:
+    """(feature_id, total, classes) of (class, feature_id, coefficient): sums of sizes, and the classes where it isn't 0."""
+    return coefficients.groupBy("feature_id").agg(F.sum(F.abs("coefficient")).alias("total"), F.count_if(F.col("coefficient") != 0).alias("classes")).filter("classes > 0")

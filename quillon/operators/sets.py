@@ -27,10 +27,10 @@ def check_groups(sizes: dict[str, int], most: int | None = None) -> None:
     """Sets that a comparison can't use are refused."""
     full = sum(n > 0 for n in sizes.values())
     if not full:
-        raise ValueError("All group-level protein sets are empty")
+        raise ValueError("no group has proteins")
     if full < 2:
         raise ValueError("At least two groups need proteins")
-    if most is not None and len(sizes) > most:
+    if most is not None and full > most:
         raise ValueError(f"At most {most} groups can be drawn")
 
 

@@ -15,7 +15,7 @@ from quillon.operators import reduce as rd
 from quillon.operators import resample as rs
 from quillon.operators import select as sl
 from quillon.operators import sets as st
-from quillon.sources import bridge
+from quillon.sources import bridge, vendor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -299,28 +299,26 @@ def heatmap_zscore_topvar(s, d):
 @query("""with r as (select *, row_number() over (partition by o_custkey order by case when o_orderpriority = '1-URGENT' then 0 else 1 end, o_orderkey) as n from orders) select o_custkey, o_orderkey, o_orderpriority from r where n = 1""")
 def representative_row(s, d):
     """The first marked row of each group, else its first."""
-    w = Window.partitionBy("o_custkey").orderBy(F.desc(F.col("o_orderpriority") == "1-URGENT"), "o_orderkey")
-    return bridge.table(s, d, "orders").withColumn("n", F.row_number().over(w)).filter("n = 1").select("o_custkey", "o_orderkey", "o_orderpriority")
+    orders = bridge.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    return vendor.representative(orders, "o_custkey", F.col("o_orderpriority") == "1-URGENT", "o_orderkey")
 
 
 @query("select l_orderkey, l_linenumber, cast(l_partkey as varchar) || case when n > 0 then '.' || n else '' end as analysis_id from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) - 1 as n from lineitem)")
 def unique_suffix(s, d):
     """Repeated identifiers made unique by a running number."""
-    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")) - 1
-    t = bridge.table(s, d, "lineitem").withColumn("n", n)
-    return t.select("l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.when(F.col("n") > 0, F.concat(F.lit("."), F.col("n").cast("string"))).otherwise("")).alias("analysis_id"))
+    t = bridge.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("id"))
+    return text.unique_ids(t, "id", ["l_orderkey", "l_linenumber"], "analysis_id").drop("id")
 
 
 @query(f"with {SAMPLES_SQL} select sample, lower(substr(grp, 1, 3)) || '-' || row_number() over (partition by grp order by sample_ord) as short_name from samples")
 def short_sample_names(s, d):
-    n = F.row_number().over(Window.partitionBy("grp").orderBy("sample_ord"))
-    return bridge.samples(s, d).select("sample", F.concat(F.lower(F.substring("grp", 1, 3)), F.lit("-"), n.cast("string")).alias("short_name"))
+    return text.short_names(bridge.samples(s, d), F.lower(F.substring("grp", 1, 3)), ["sample_ord"]).select("sample", "short_name")
 
 
 @query("select l_returnflag, count(*) as rows from lineitem where coalesce(trim(l_returnflag), '') not in ('R', '+', 'TRUE', 'True', 'true', '1') group by all")
 def contaminant_filter(s, d):
-    keep = ~F.coalesce(F.trim("l_returnflag"), F.lit("")).isin("R", "+", "TRUE", "True", "true", "1")
-    return bridge.table(s, d, "lineitem").filter(keep).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
+    lines = bridge.table(s, d, "lineitem").filter(F.col("l_returnflag") != "R").filter(vendor.unmarked("l_returnflag"))
+    return lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("""with i as (select c_custkey, 'sp|Q' || lpad(cast(c_custkey as varchar), 6, '0') || '|' || upper(c_mktsegment) || '_X extra;other' as raw from customer)
@@ -481,3 +479,128 @@ def combined_score(s, d):
 def feature_union(s, d):
     t = _stability(s, d)
     return sl.union_of([("rf", sl.ranked(t, "forest_score")), ("l1", sl.ranked(t, "l1_frequency")), ("rfl1", sl.ranked(t, "combined_score"))])
+
+
+_VOLCANO = """, v as (select s.feature_id, mean_a, mean_b, raw_a, raw_b, mean_b - mean_a as fc, round(1 / (1 + abs(t) * sqrt(df)), 9) as sig from s left join t using (feature_id))"""
+
+
+@query(_WELCH + _VOLCANO + " select feature_id, round(mean_a, 6) as mean_a, round(log2(raw_b), 6) as log2_raw_b, round(fc, 6) as log2fc, round(-log10(sig), 6) as minus_log10, case when sig < 0.2 and fc >= 0.1 then 'Up' when sig < 0.2 and fc <= -0.1 then 'Down' else 'NotSig' end as regulation from v")
+def volcano_regulation(s, d):
+    """Labels by a stand-in p that both engines can state."""
+    g = diff.two_groups(quant(s, d), A, B)
+    w = diff.welch(g).select("feature_id", F.round(1 / (1 + F.abs("t") * F.sqrt("df")), 9).alias("sig"))
+    v = g.join(w, "feature_id", "left").withColumn("fc", F.col("mean_b") - F.col("mean_a"))
+    return v.select("feature_id", F.round("mean_a", 6).alias("mean_a"), F.round(F.log2("raw_b"), 6).alias("log2_raw_b"), F.round("fc", 6).alias("log2fc"), F.round(diff.minus_log10("sig"), 6).alias("minus_log10"), diff.regulation(F.col("fc"), F.col("sig"), 0.2, 0.1).alias("regulation"))
+
+
+@query()
+def volcano_table(s, d):
+    """All columns of the volcano result; its p-values need the t distribution."""
+    v = diff.volcano(quant(s, d), A, B, metric="adj_p")
+    return v.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in v.columns])
+
+
+@query(_TWO + """, m as (select *, n_a + n_b - 2 as dd, ((n_a - 1) * coalesce(var_a, 0) + (n_b - 1) * coalesce(var_b, 0)) / (n_a + n_b - 2) as s2 from s where n_a >= 1 and n_b >= 1 and n_a + n_b > 2)
+select feature_id, round((mean_b - mean_a) / sqrt((4.0 * 0.05 + dd * s2) / (4.0 + dd) * (1.0 / n_a + 1.0 / n_b)), 6) as t, cast(dd + 4.0 as double) as df from m""")
+def moderated_statistic(s, d):
+    """With a given prior of 4 degrees of freedom and a variance of 0.05."""
+    return diff.moderated_statistic(diff.two_groups(quant(s, d), A, B), 4.0, 0.05).select("feature_id", F.round("t", 6).alias("t"), "df")
+
+
+@query(_PRED + ", f as (select vec_id % 5 as fold, * from pr), r as (select fold, actual, avg(case when actual = predicted then 1.0 else 0 end) as recall from f group by all) select fold, round(avg(recall), 6) as balanced_accuracy from r group by fold")
+def balanced_accuracy(s, d):
+    return rs.balanced_accuracy(predictions(s, d).withColumn("fold", F.col("vec_id") % 5), "fold")
+
+
+@query("select vec_id, case list_position(l, list_max(l)) when 1 then 'A' when 2 then 'B' else 'C' end as class from (select vec_id, [round(cast(embedding[i] as double), 1) for i in [1, 2, 3]] as l from embeddings)")
+def argmax_class(s, d):
+    """The first of the largest of three scores, rounded so that some are equal."""
+    scores = F.array(*[F.round(F.col("embedding")[i].cast("double"), 1) for i in range(3)])
+    return bridge.table(s, d, "embeddings").select("vec_id", rs.likeliest(scores, ["A", "B", "C"]).alias("class"))
+
+
+@query(f"with {SAMPLES_SQL}, o as (select grp, row_number() over (order by group_ord, sample_ord) as place from samples), g as (select place as gap, grp, lead(grp) over (order by place) as nxt from o) select gap from g where nxt <> grp")
+def group_gaps(s, d):
+    """Where a drawing of samples in group order is cut."""
+    return pf.gaps(bridge.samples(s, d).withColumn("place", F.struct("group_ord", "sample_ord")), "grp", "place")
+
+
+@query(QUANT_SQL + ", c as (select sample, grp, count(value) as quantified_protein_count from q group by all), m as (select sample, grp, sample_ord from samples where sample_ord % 3 > 0) select c.sample, c.grp, quantified_protein_count, sample_ord from c left join m on m.sample = c.sample and m.grp = c.grp")
+def counts_with_metadata(s, d):
+    metadata = bridge.samples(s, d).filter("sample_ord % 3 > 0").select("sample", "grp", "sample_ord")
+    return vendor.with_metadata(pf.sample_counts(quant(s, d)).drop("identified_protein_count"), metadata)
+
+
+@query(QUANT_SQL + ", m as (select sample, 'S' || sample_ord as shown from samples where sample_ord < 15) select feature_id, shown as sample, value from q join m using (sample)")
+def display_names(s, d):
+    names = bridge.samples(s, d).filter("sample_ord < 15").select("sample", F.concat(F.lit("S"), F.col("sample_ord").cast("string")).alias("display_name"))
+    return vendor.displayed(quant(s, d), names).select("feature_id", "sample", "value")
+
+
+_TRAIN = DENSE_SQL + """,
+k as (select *, count(x) over (partition by feature_id) as have, count(*) over (partition by feature_id) as n from d), fx as (select feature_id, sample, x from k where have >= greatest(1, ceil(n * 0.5))),
+rep as (select *, cast(unnest(generate_series(1, 5)) as integer) as repeat from samples),
+pl as (select repeat, sample, row_number() over (partition by repeat, grp order by md5((repeat + 122) || '|' || sample), sample) as place, count(*) over (partition by repeat, grp) as n from rep),
+tv as (select repeat, feature_id, round(var_samp(x), 9) as variance, round(median(x), 6) as fill from fx join pl using (sample) where place <= least(n - 1, ceil(n * 0.8)) group by all having var_samp(x) is not null),
+top as (select *, row_number() over (partition by repeat order by variance desc, feature_id) as place from tv)"""
+
+
+def top_in_training(s, d):
+    own = bridge.samples(s, d)
+    return sl.top_in_training(mx.filtered(dense(s, d), 0.5), sl.training_plan(own, 5), 50)
+
+
+@query(_TRAIN + " select repeat, feature_id, round(variance, 6) as variance from top where place <= 50")
+def train_variance_topn(s, d):
+    return top_in_training(s, d).select("repeat", "feature_id", F.round("variance", 6).alias("variance"))
+
+
+@query(_TRAIN + " select repeat, feature_id, fill from top where place <= 50")
+def train_median_impute(s, d):
+    return top_in_training(s, d).select("repeat", "feature_id", "fill")
+
+
+_FITS = """with f as (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as feature_id, repeat, row_number() over (partition by repeat order by md5(repeat || '|' || p_partkey), p_partkey) as gini_rank
+  from part, (select cast(unnest(generate_series(1, 5)) as integer) as repeat)), r as (select *, round(1.0 / gini_rank, 9) as gini from f where gini_rank <= 200),
+p as (select feature_id, count(*) filter (where gini_rank <= 20) / 5.0 as t20, count(*) filter (where gini_rank <= 50) / 5.0 as t50, sum(cast(gini as decimal(18,9))) / 5.0 as mg, count(*) filter (where gini_rank % 7 = 0) / 5.0 as l1 from r group by feature_id),
+a as (select u.feature_id, coalesce(t20, 0) as t20, coalesce(t50, 0) as t50, cast(coalesce(mg, 0) as double) as mg, coalesce(l1, 0) as l1 from (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as feature_id from part) u left join p using (feature_id)),
+z as (select *, (mg - min(mg) over ()) / nullif(max(mg) over () - min(mg) over (), 0) as g from a)"""
+
+
+def rule_fits(s, d):
+    """Ranks that a hash gives, in the place of fitted ones."""
+    each = bridge.table(s, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("repeat"))
+    each = each.withColumn("h", F.md5(F.concat_ws("|", "repeat", "p_partkey"))).withColumn("part_", F.pmod(F.hash("p_partkey"), F.lit(sl.PARTS)))
+    for keys in (["repeat", "part_"], ["repeat"]):
+        each = each.withColumn("gini_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "p_partkey"))).filter("gini_rank <= 200")
+    return each.select(bridge.feature_id("p_partkey").alias("feature_id"), "repeat", "gini_rank", F.round(1 / F.col("gini_rank"), 9).alias("gini"), (F.col("gini_rank") % 7 == 0).cast("double").alias("l1"))
+
+
+def rule_scores(s, d):
+    return sl.stability(rule_fits(s, d), bridge.table(s, d, "part").select(bridge.feature_id("p_partkey").alias("feature_id")), 5)
+
+
+@query(_FITS + " select feature_id, round(t20, 6) as top20_frequency, round(t50, 6) as top50_frequency, round(l1, 6) as l1_frequency, round(g, 6) as gini_scaled, round(0.35 * t20 + 0.25 * t50 + 0.30 * l1 + 0.10 * g, 6) as combined_score from z")
+def score_arithmetic(s, d):
+    return rule_scores(s, d).select("feature_id", *(F.round(c, 6).alias(c) for c in ("top20_frequency", "top50_frequency", "l1_frequency", "gini_scaled", "combined_score")))
+
+
+_SPLIT = """with q as (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as feature_id, translate(md5(cast(p_partkey as varchar)), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') as sequence from part)"""
+
+
+@query(_SPLIT + " select feature_id, cast(length(sequence) as integer) as length, round(cast((" + " + ".join(f"{v} * (length(sequence) - length(replace(sequence, '{k}', '')))" for k, v in text.HYDROPATHY.items()) + ") as double) / length(sequence), 6) as gravy, round(cast(" + " + ".join(f"{v} * (length(sequence) - length(replace(sequence, '{k}', '')))" for k, v in text.MASS.items()) + f" + {text.WATER} as double), 4) as mw from q")
+def protein_properties(s, d):
+    """Length, hydropathy and mass of sequences that a hash of the part gives."""
+    seq = F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), "0123456789abcdef", "ACDEFGHIKLMNPQRS")
+    q = bridge.table(s, d, "part").select(bridge.feature_id("p_partkey").alias("feature_id"), seq.alias("sequence"))
+    return q.select("feature_id", F.length(text.clean_sequence(F.col("sequence"))).alias("length"), F.round(text.gravy(F.col("sequence")), 6).alias("gravy"), F.round(text.molecular_weight(F.col("sequence")), 4).alias("mw"))
+
+
+@query(prepared_sql(0.5) + """, c as (select feature_id, round(x, 9) as x, cast(sample_ord as double) as t from p join samples using (sample)),
+r as (select feature_id, x, cast(rank() over (partition by feature_id order by x) + (count(*) over (partition by feature_id, x) - 1) / 2.0 as double) as rx,
+  cast(rank() over (partition by feature_id order by t) + (count(*) over (partition by feature_id, t) - 1) / 2.0 as double) as rt from c),
+o as (select feature_id, round(corr(rx, rt), 6) as rho from r group by feature_id having count(distinct x) > 2 and not isnan(corr(rx, rt)))
+select feature_id, rho from o order by round(1 - abs(rho), 1), abs(rho) desc, feature_id limit 100""")
+def association_order(s, d):
+    """The features most associated with a given order, by a stand-in q that both engines can state."""
+    return rd.by_association(order_spearman(s, d).withColumn("q", F.round(1 - F.abs("rho"), 1)), 100).select("feature_id", "rho")

@@ -1,4 +1,4 @@
-"""Running a named analysis to files, with a manifest of what ran."""
+"""Running named analyses to files, with a manifest of what ran or of what failed."""
 
 from __future__ import annotations
 
@@ -8,9 +8,20 @@ from quillon.plans.registry import QUERIES
 from quillon.sources.sinks import write_manifest, write_table
 
 
-def run(spark: SparkSession, name: str, sf_dir: str, out: str, fmt: str = "parquet", note: str = "") -> dict:
-    """Writes the query's rows under out and returns the manifest. An unknown name is refused."""
-    if name not in QUERIES:
-        raise KeyError(f"no analysis {name}")
-    path = write_table(QUERIES[name](spark, sf_dir), f"{out}/{name}", fmt)
-    return write_manifest(spark, f"{out}/{name}_manifest", name, {"input": sf_dir, "format": fmt}, [path], note)
+def run(spark: SparkSession, name: str | list[str], sf_dir: str, out: str, fmt: str = "parquet", note: str = "", export: bool = True) -> dict:
+    """Writes the rows of a query, or of several, under out and returns the manifest; without export, the manifest alone is written. An unknown name is refused. A query that fails leaves a manifest with its error, which is raised again."""
+    names = [name] if isinstance(name, str) else name
+    for n in names:
+        if n not in QUERIES:
+            raise KeyError(f"no analysis {n}")
+    title, done = "+".join(names), []
+    place, parameters = f"{out}/{title}_manifest", {"input": sf_dir, "format": fmt}
+    try:
+        for n in names:
+            df = QUERIES[n](spark, sf_dir)
+            if export:
+                done.append(write_table(df, f"{out}/{n}", fmt))
+    except Exception as e:
+        write_manifest(spark, place, title, parameters | {"status": "failed"}, done, f"{note} {type(e).__name__}: {e}".strip())
+        raise
+    return write_manifest(spark, place, title, parameters | {"status": "finished"}, done, note)

@@ -8,8 +8,10 @@ import time
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.operators.matrix import wide
+from quillon.operators.policy import slug
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -35,3 +37,31 @@ def write_manifest(spark: SparkSession, path: str, analysis: str, parameters: di
     _write_text(spark, text, f"{path}/analysis_manifest.json")
     _write_text(spark, f"<html><body><h1>{html.escape(analysis)}</h1><pre>{html.escape(text)}</pre></body></html>", f"{path}/analysis_summary.html")
     return out
+
+
+def write_settings(spark: SparkSession, folder: str, settings: dict) -> str:
+    """(Setting, Value) of an analysis, under its name."""
+    rows = spark.createDataFrame([(k, "" if v is None else str(v)) for k, v in settings.items()], "Setting string, Value string")
+    return write_table(rows.coalesce(1), f"{folder}/{slug(settings.get('Analysis', 'ml'))}_ml_settings.csv", "csv")
+
+
+def write_lineages(spark: SparkSession, folder: str, paths: DataFrame) -> str:
+    """A line for each lineage, few."""
+    _write_text(spark, "\n".join(f"Lineage{r.lineage}: {r.path}" for r in paths.orderBy("lineage").collect()), f"{folder}/lineages.txt")
+    return f"{folder}/lineages.txt"
+
+
+def write_loaded(spark: SparkSession, folder: str, d, samples: list[str]) -> list[str]:
+    """What loading a table gives: its matrices, the features' and samples' tables and the counts of cells."""
+    kinds = {"analysis_matrix": "value", "raw_matrix": "raw_value"} if "raw_value" in d.cells.columns else {"quantity": "value", "qualitative": "ident"}
+    out = [write_matrix(d.cells, samples, f"{folder}/{name}", column) for name, column in kinds.items()]
+    if "is_missing" in d.cells.columns:
+        out.append(write_matrix(d.cells, samples, f"{folder}/missingness_matrix", "is_missing"))
+    counts = d.cells.groupBy("sample").agg(F.count("value").alias("quantified"), F.count("ident").alias("identified"))
+    return [*out, write_table(d.meta, f"{folder}/metadata", "csv"), write_table(counts, f"{folder}/counts", "csv")]
+
+
+def outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, kilobytes, modified) of the files under a folder; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.round(F.col("length") / 1024, 1).alias("kilobytes"), F.col("modificationTime").alias("modified"))

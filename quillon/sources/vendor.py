@@ -46,6 +46,10 @@ class Dataset:
     cells: DataFrame
     meta: DataFrame
     note: str = ""
+    evidence: str = ""
+    first_column: str = ""
+    mode: str = ""
+    ending: str = ""
 
 
 def delimiter(header: str) -> str:
@@ -53,12 +57,17 @@ def delimiter(header: str) -> str:
 
 
 def unique_names(names: list[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        k = seen.get(n, 0)
-        seen[n] = k + 1
-        out.append(n if not k else f"{n}.{k}")
+    """A repeated name takes the next number that no other name has."""
+    taken, used, out = set(names), {}, []
+    for i, n in enumerate(names):
+        if n in names[:i]:
+            k = used.get(n, 0) + 1
+            while f"{n}.{k}" in taken:
+                k += 1
+            used[n] = k
+            n = f"{n}.{k}"
+            taken.add(n)
+        out.append(n)
     return out
 
 
@@ -88,8 +97,22 @@ def _suffix(pattern: str, flags: int = 0) -> Callable[[list[str]], list[tuple[st
 def clean_sample(name: str) -> str:
     """A run's name without its counter, folder and vendor suffix."""
     name = re.sub(r"^\[[0-9]+\]\s*", "", name).replace("\\", "/").rsplit("/", 1)[-1]
-    name = re.sub(r"\.(d|raw|wiff)$", "", re.sub(r"\.PG\.(Quantity|IBAQ)$", "", name))
-    return re.sub(r"^F[0-9]+:\s*", "", name).strip()
+    name = re.sub(r"\.(d|raw|wiff)$", "", re.sub(r"\.PG\.(Quantity|IBAQ)$", "", name, flags=re.I), flags=re.I)
+    return re.sub(r"^F[0-9]+\s*:\s*", "", name).strip()
+
+
+# Columns of DIA-NN that describe proteins.
+DIANN_DESCRIPTIONS = ("Protein.Group", "Protein.Ids", "Protein.Names", "Genes", "First.Protein.Description", "N.Sequences", "N.Proteotypic.Sequences", "Genes.Quantity", "Genes.Normalised", "Protein.Q.Value", "PG.Q.Value", "Global.Q.Value", "Q.Value")
+
+
+def diann_columns(raw: DataFrame, names: list[str]) -> list[tuple[str, str]]:
+    """Quantity columns of a table without vendor suffixes: those behind the last description (or all others) that hold a number."""
+    last = max((i for i, n in enumerate(names) if n in DIANN_DESCRIPTIONS), default=len(names) - 1)
+    some = names[last + 1 :] or [n for n in names if n not in DIANN_DESCRIPTIONS]
+    if not some or not any(n in DIANN_DESCRIPTIONS[:4] for n in names):
+        return []
+    held = raw.agg(*[F.count(text.number(F.col(text.quoted(n)))).alias(f"c{i}") for i, n in enumerate(some)]).first()
+    return [(n, clean_sample(n)) for n, k in zip(some, held, strict=True) if k]
 
 
 def _spectral(names: list[str]) -> list[tuple[str, str]]:
@@ -97,21 +120,24 @@ def _spectral(names: list[str]) -> list[tuple[str, str]]:
 
 
 def _peaks_lfq(names: list[str]) -> list[tuple[str, str]]:
-    return [(n, clean_sample(m[1])) for n in names if (m := re.match(r"(.+)\s+Area$", n)) and not re.match(r"Group [0-9]+ Area$", n)]
+    return [(n, clean_sample(m[1])) for n in names if (m := re.match(r"(.+)\s+Area$", n, re.I)) and not re.match(r"Group\s+[0-9]+\s+Area$", n, re.I)]
 
 
+# The columns that identify a protein, by format, in order of preference, and marks of a PEAKS LFQ table.
 FORMATS = {
     f.name: f
     for f in (
-        Format("diann", {"accession": ("Protein.Ids", "Protein.Group"), "protein_name": ("Protein.Names",), "gene_name": ("Genes",)}, _suffix(r"^(.+\.(?:d|raw|wiff))$"), None, False),
-        Format("spectronaut", {"accession": ("PG.ProteinAccessions", "PG.ProteinGroups"), "protein_name": ("PG.ProteinNames",), "gene_name": ("PG.Genes",)}, _suffix(r"^(.+\.PG\.Quantity)$"), _suffix(r"^(.+\.PG\.IBAQ)$"), False),
-        Format("fragpipe", {"accession": ("Protein ID", "Protein"), "protein_name": ("Entry Name",), "gene_name": ("Gene",)}, _suffix(r"^(.+) MaxLFQ Intensity$"), _spectral, True),
-        Format("peaks_db", {"accession": ("Accession",), "protein_name": ("Accession",), "gene_name": ()}, _suffix(r"^Area\s+(.+)$"), _suffix(r"^Coverage\(%\)\s+(.+)$"), True),
-        Format("peaks_lfq", {"accession": ("Accession",), "protein_name": ("Accession",), "gene_name": ()}, _peaks_lfq, None, True, ident_available=False),
-        Format("maxquant", {"accession": ("Protein IDs", "Majority protein IDs"), "protein_name": ("Fasta headers",), "gene_name": ("Gene names",)}, _suffix(r"^LFQ intensity (.+)$"), None, True),
-        Format("proteome_discoverer", {"accession": ("Accession",), "protein_name": ("Description",), "gene_name": ("Gene Symbol",)}, _suffix(r"^Abundance(?:s)?[ :]+(.+)$"), None, False),
+        Format("diann", {"accession": ("Protein.Group", "Protein.Ids"), "protein_name": ("Protein.Names",), "gene_name": ("Genes",)}, _suffix(r"^(.+\.(?:d|raw|wiff))$", re.I), None, False),
+        Format("spectronaut", {"accession": ("PG.ProteinAccessions", "PG.ProteinGroups"), "protein_name": ("PG.ProteinNames",), "gene_name": ("PG.Genes",)}, _suffix(r"^(.+\.PG\.Quantity)$", re.I), _suffix(r"^(.+\.PG\.IBAQ)$", re.I), False),
+        Format("fragpipe", {"accession": ("Protein ID", "Protein", "Entry Name"), "protein_name": ("Entry Name", "Protein", "Protein ID", "Description"), "gene_name": ("Gene", "Gene Name", "Mapped Genes")}, _suffix(r"^(.+?) MaxLFQ (?:Unique )?Intensity$", re.I), _spectral, True),
+        Format("peaks_db", {"accession": ("Accession", "Protein ID", "Protein Group"), "protein_name": ("Accession", "Description", "Protein ID"), "gene_name": ("Gene", "Gene Name")}, _suffix(r"^Area\s+(.+)$", re.I), _suffix(r"^Coverage\(%\)\s+(.+)$", re.I), True),
+        Format("peaks_lfq", {"accession": ("Accession", "Protein ID", "Protein Group"), "protein_name": ("Accession", "Description", "Protein ID"), "gene_name": ("Gene", "Gene Name")}, _peaks_lfq, None, True, ident_available=False),
+        Format("maxquant", {"accession": ("Protein IDs", "Majority protein IDs"), "protein_name": ("Fasta headers", "Fasta Headers"), "gene_name": ("Gene names", "Gene Names")}, _suffix(r"^LFQ intensity (.+)$", re.I), None, True),
+        Format("proteome_discoverer", {"accession": ("Accession", "Master Protein Accessions"), "protein_name": ("Description", "Protein Description", "Accession"), "gene_name": ("Gene Symbol", "Gene", "Gene ID")}, _suffix(r"^Abundance(?:s)?\s*:?\s+(.+)$", re.I), None, False),
     )
 }
+PEAKS_LFQ_MARKS = ("Sample Profile (Ratio)", "Group Profile (Ratio)", "Significance")
+LABELS = {"diann": "DIA-NN", "spectronaut": "Spectronaut", "fragpipe": "FragPipe", "peaks_db": "PEAKS DB protein result", "peaks_lfq": "PEAKS LFQ protein result", "maxquant": "MaxQuant", "proteome_discoverer": "Proteome Discoverer", "standard": "Standard matrix"}
 #: Formats that detection tries, by family, in order; the last above is only read when asked for.
 FAMILIES = {"dia": ("diann", "spectronaut"), "dda": ("fragpipe", "peaks_db", "peaks_lfq", "maxquant")}
 
@@ -125,7 +151,7 @@ def detect(names: list[str], family: str) -> tuple[str | None, list[str]]:
         if key.startswith("peaks"):
             ok = ok and {"Protein Group", "Top", "Accession"} <= set(names)
         if key == "peaks_lfq":
-            ok = ok and "peaks_db" not in fits and any("Profile" in n for n in names)
+            ok = ok and "peaks_db" not in fits and (any(m in names for m in PEAKS_LFQ_MARKS) or any(re.match(r"Group\s+[0-9]+\s+Area$", n, re.I) for n in names))
         if ok:
             fits.append(key)
     return (fits[0] if fits else None), fits
@@ -134,17 +160,27 @@ def detect(names: list[str], family: str) -> tuple[str | None, list[str]]:
 _YES = ("+", "TRUE", "True", "true", "1")
 
 
+def unmarked(column: str) -> Column:
+    """Rows that a column of marks doesn't mark."""
+    return ~F.coalesce(F.trim(F.col(column)), F.lit("")).isin(*_YES)
+
+
+def representative(df: DataFrame, key: Column | str, marked: Column, order: str) -> DataFrame:
+    """The first marked row of each key, else its first."""
+    own = Window.partitionBy(key).orderBy(F.desc(F.coalesce(marked, F.lit(False))), order)
+    return df.withColumn("n_", F.row_number().over(own)).filter("n_ = 1").drop("n_")
+
+
 def _keep(f: Format, raw: DataFrame) -> DataFrame:
     """Rows that the vendor doesn't mark as contaminants, one for each group of proteins."""
     if f.name == "maxquant":
         for c in ("Reverse", "Potential contaminant", "Only identified by site"):
             if c in raw.columns:
-                raw = raw.filter(~F.coalesce(F.trim(F.col(text.quoted(c))), F.lit("")).isin(*_YES))
+                raw = raw.filter(unmarked(text.quoted(c)))
     if f.name.startswith("peaks"):
         group = F.trim(F.col("`Protein Group`"))
         key = F.when(F.coalesce(group, F.lit("")) != "", group).otherwise(F.concat(F.lit("__missing_group_"), F.col("row_idx").cast("string")))
-        top = F.coalesce(F.upper(F.trim("Top")).isin("TRUE", "T", "YES", "Y", "1"), F.lit(False))
-        raw = raw.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(top), "row_idx"))).filter("n_ = 1").drop("n_")
+        raw = representative(raw, key, F.upper(F.trim("Top")).isin("TRUE", "T", "YES", "Y", "1"), "row_idx")
     return raw
 
 
@@ -165,11 +201,13 @@ def load(spark: SparkSession, path: str, family: str | None = None, fmt: str | N
     note = ""
     if fmt is None:
         fmt, fits = detect(names, family or "dia")
+        if fmt is None and (family or "dia") == "dia" and diann_columns(raw, names):
+            fmt, fits = "diann", ["diann"]
         if fmt is None:
             raise MatrixError("No format of this family fits the header")
         note = f"also fits: {', '.join(fits[1:])}" if len(fits) > 1 else ""
     f = FORMATS[fmt]
-    quantity = f.quantity(names)
+    quantity = f.quantity(names) or (diann_columns(raw, names) if fmt == "diann" else [])
     if not quantity:
         raise MatrixError(f"{fmt}: no quantity columns")
     evidence = dict((s, c) for c, s in f.ident(names)) if f.ident else None
@@ -179,12 +217,16 @@ def load(spark: SparkSession, path: str, family: str | None = None, fmt: str | N
         quantity = [(c, s) for c, s in quantity if s in evidence]
     shown = unique_names([s or f"Sample{i + 1}" for i, (_, s) in enumerate(quantity)])
     raw = _keep(f, raw)
+    if not any(c in names for c in f.ids["accession"]):
+        raise MatrixError(f"{LABELS[fmt]}: no column identifies proteins")
+    if fmt == "maxquant" and not any(c in names for c in f.ids["protein_name"]):
+        raise MatrixError("MaxQuant: no column of Fasta headers, which name the entries")
     protein = text.entry_name if fmt in ("maxquant", "peaks_db", "peaks_lfq") else text.take_first
     raw = raw.withColumns({"accession_": _first(raw, f.ids["accession"], text.clean_accession), "protein_name_": _first(raw, f.ids["protein_name"], protein), "gene_name_": _first(raw, f.ids["gene_name"], text.take_first)})
-    key = F.coalesce(F.col(f"{row_id}_"), F.col("accession_"))
-    raw = raw.withColumn("row_id_", key).filter("row_id_ is not null and row_id_ <> ''")
-    again = F.row_number().over(Window.partitionBy("row_id_").orderBy("row_idx")) - 1
-    raw = raw.withColumn("feature_id", F.concat("row_id_", F.when(again > 0, F.concat(F.lit("."), again.cast("string"))).otherwise("")))
+    if fmt == "maxquant":  # entries that the header doesn't name
+        raw = raw.withColumn("protein_name_", F.coalesce("protein_name_", _first(raw, ("Protein names", "Protein Names"), text.take_first), "accession_"))
+    raw = raw.withColumn("row_id_", F.col(f"{row_id}_")).filter("row_id_ is not null and row_id_ <> ''")
+    raw = text.unique_ids(raw, "row_id_", ["row_idx"], "feature_id")
     cells = []
     for (c, s), label in zip(quantity, shown, strict=True):
         v = _numbers(c, f.zero_is_missing)
@@ -192,7 +234,8 @@ def load(spark: SparkSession, path: str, family: str | None = None, fmt: str | N
         cells.append(F.struct(F.lit(label).alias("sample"), v.alias("value"), i.alias("ident")))
     long = raw.select("feature_id", F.explode(F.array(*cells)).alias("c")).select("feature_id", "c.sample", "c.value", "c.ident")
     meta = raw.select("row_idx", F.col("row_id_").alias("row_id"), "feature_id", F.col("accession_").alias("accession"), F.col("protein_name_").alias("protein_name"), F.col("gene_name_").alias("gene_name"))
-    return Dataset(fmt, long, meta, note)
+    found = f"{LABELS[fmt]}: {len(quantity)} quantity columns" + (f", {len(evidence)} of identification" if evidence is not None else "")
+    return Dataset(fmt, long, meta, note, found, names[0])
 
 
 def load_matrix(spark: SparkSession, path: str, zero_mode: ZeroMode) -> Dataset:
@@ -238,7 +281,75 @@ def load_matrix(spark: SparkSession, path: str, zero_mode: ZeroMode) -> Dataset:
         if not r.n:
             raise MatrixError(f"sample {r.sample} has no values")
     out = long.select("feature_id", "sample", "raw_value", "value", F.col("value").isNull().alias("is_missing"), "is_explicit_missing", F.lit(None).cast("double").alias("ident"))
-    return Dataset("standard", out, long.select("row_idx", "feature_id").distinct())
+    return Dataset("standard", out, long.select("row_idx", "feature_id").distinct(), "", "identifiers and a column for each sample", names[0], zero_mode.value, ending)
+
+
+def load_dataset(spark: SparkSession, path: str, family: str, zero_mode: ZeroMode | None = None, fmt: str | None = None, row_id: str = "accession") -> Dataset:
+    """A table of family dia or dda, or a user-prepared matrix of family standard."""
+    if family == "standard":
+        return load_matrix(spark, path, zero_mode)
+    if family not in FAMILIES:
+        raise MatrixError(f"no family {family}")
+    return load(spark, path, family, fmt, row_id)
+
+
+def counters(cells: DataFrame) -> DataFrame:
+    """(cells, features, samples, raw_zeros, explicit_missing, missing, available) of load_matrix's cells."""
+    n = F.count(F.lit(1))
+    return cells.agg(
+        n.alias("cells"), F.count_distinct("feature_id").alias("features"), F.count_distinct("sample").alias("samples"), F.count_if(F.col("raw_value") == 0).alias("raw_zeros"),
+        F.count_if("is_explicit_missing").alias("explicit_missing"), (n - F.count("value")).alias("missing"), F.count("value").alias("available"),
+    )
+
+
+def _metrics(one: DataFrame, rows: list[tuple[str, Column]]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("Metric"), v.cast("string").alias("Value")) for i, (k, v) in enumerate(rows)])
+    return one.select(F.explode(pairs).alias("m")).select("m.*").orderBy("place").select("Metric", "Value")
+
+
+def input_summary(d: Dataset) -> DataFrame:
+    """(Metric, Value) of a user-prepared matrix. Repeated features and samples without values have been refused on loading."""
+    share = F.coalesce(F.format_string("%.2f%%", 100 * F.try_divide("available", "cells")), F.lit("NA"))
+    what = {"zero_is_value": "zeros are measured", "zero_is_missing": "zeros are missing"}.get(d.mode, "")
+    c = F.col
+    return _metrics(counters(d.cells), [
+        ("File type", F.lit(d.ending.upper())), ("First column name", F.lit(d.first_column)), ("Feature count", c("features")), ("Sample count", c("samples")), ("Zero handling mode", F.lit(f"{d.mode} - {what}")),
+        ("Original zero cell count", c("raw_zeros")), ("Explicit missing value count", c("explicit_missing")), ("Total missing value count after selected mode", c("missing")),
+        ("Number of available quantitative values", c("available")), ("Available quantitative value proportion", share), ("Duplicate features present", F.lit("No")), ("All-missing sample columns present", F.lit("No")),
+    ])
+
+
+def format_summary(d: Dataset, family: str) -> DataFrame:
+    """(Metric, Value) of a vendor's table."""
+    one = d.cells.agg(F.count_distinct("feature_id").alias("features"), F.count_distinct("sample").alias("samples"))
+    return _metrics(one, [("Input category", F.lit(family)), ("Detected/selected format", F.lit(LABELS[d.format])), ("Data level", F.lit("protein")), ("Feature count", F.col("features")), ("Sample count", F.col("samples")), ("Format evidence", F.lit(d.evidence or "chosen by hand"))])
+
+
+ANNOTATION_SCHEMA = {"Accession": "string", "GRAVY": "double", "TM_helices": "int", "Subcellular_class": "string", "MW": "double", "pI": "double", "Length": "int"}
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """An annotation table (.csv with a header): the required columns by name and type, any others as strings."""
+    df = spark.read.csv(path, header=True, quote='"', escape='"')
+    if gone := [c for c in ANNOTATION_SCHEMA if c not in df.columns]:
+        raise MatrixError(f"the annotation table lacks {', '.join(gone)}")
+    return df.select(*[F.trim(text.quoted(c)).try_cast(ANNOTATION_SCHEMA[c]).alias(c) if c in ANNOTATION_SCHEMA else F.col(text.quoted(c)) for c in df.columns])
+
+
+def accessions_of(meta: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (feature_id) with accession, of the first row of meta that has the id; null where none has."""
+    first = meta.groupBy("feature_id").agg(F.min_by("accession", "row_idx").alias("accession"))
+    return ids.join(first, "feature_id", "left")
+
+
+def displayed(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """cells of the samples in names (sample, display_name), by their display names."""
+    return cells.join(F.broadcast(names), "sample").withColumn("sample", F.col("display_name")).drop("display_name")
+
+
+def with_metadata(counts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """counts with the metadata of the same sample and group."""
+    return counts.join(F.broadcast(metadata), ["sample", "grp"], "left")
 
 
 def with_groups(cells: DataFrame, groups: dict[str, str]) -> DataFrame:

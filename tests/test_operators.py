@@ -46,7 +46,7 @@ def test_sets(spark):
     q, _ = matrix(spark, [[1, 1, float("nan")], [1, float("nan"), 1]], ["A", "B", "C"])
     s = st.group_sets(q)
     assert {(r.combo, r.proteins) for r in st.intersections(s, ["A", "B", "C"]).collect()} == {("110", 1), ("101", 1)}
-    with pytest.raises(ValueError, match="All group-level"):
+    with pytest.raises(ValueError, match="no group has proteins"):
         st.check_groups({"A": 0, "B": 0})
 
 
@@ -197,3 +197,65 @@ def test_stream_counts(spark, tmp_path):
     q = drop_folder.counts(drop_folder.cells(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("drops").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert [(r.sample, r.identified, r.quantified) for r in spark.table("drops").collect()] == [("s", 0, 1)]
+
+
+def test_policies():
+    from quillon.operators import policy as po
+
+    assert po.auto_integer(" Auto ", 7) == 7 and po.auto_integer("3") == 3 and po.auto_integer(None) is None
+    for bad in ("0", "-1", "x"):
+        with pytest.raises(po.PolicyError):
+            po.auto_integer(bad)
+    assert po.l1_folds({"a": 12, "b": 12}) == (5, True) and po.l1_folds({"a": 12, "b": 12}, 7) == (7, True) and po.l1_folds({"a": 4, "b": 5}, small=True) == (4, False)
+    with pytest.raises(po.PolicyError):
+        po.l1_folds({"a": 3, "b": 9})
+    assert po.training({"a": 8, "b": 9}).split and "b (n=7)" in po.training({"a": 8, "b": 7}).note and not po.training({"a": 99, "b": 99}, "Cross-validation only").split
+    with pytest.raises(po.PolicyError):
+        po.training({"a": 8, "b": 7}, "train test split")
+    with pytest.raises(po.PolicyError, match="6 samples"):
+        po.check_samples({"a": 5, "b": 6}, "forest")
+    po.check_samples({"a": 5, "b": 6}, "forest", small=True)
+    assert po.sample_name_problem(["a", "b"]) == "" and "twice" in po.sample_name_problem(["a", "a"]) and po.sample_name_problem(["", "a"])
+    assert po.cluster_count("9", 4, "k") == 4 and po.cluster_labels(9, 2) == ["Cluster 1", "Cluster 2"]
+    with pytest.raises(po.PolicyError):
+        po.check_trajectory(10, ["a", "b"], 6, "c")
+
+
+def test_properties_and_classes(spark):
+    from quillon.functions import text
+
+    seqs = ["ACDEFGHIKLMNPQRSTVWY", "KKKKKK", "DDDD", "GGG", ""]
+    rows = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", text.isoelectric_point(F.col("s")).alias("p")).collect()
+    got = {r.s: r.p for r in rows}
+
+    def charge(s, ph):
+        plus = 1 / (1 + 10 ** (ph - 8.6)) + sum(s.count(k) / (1 + 10 ** (ph - v)) for k, v in {"H": 6.5, "K": 10.8, "R": 12.5}.items())
+        return plus - 1 / (1 + 10 ** (3.6 - ph)) - sum(s.count(k) / (1 + 10 ** (v - ph)) for k, v in {"D": 3.9, "E": 4.1, "C": 8.5, "Y": 10.1}.items())
+
+    assert got[""] is None and all(abs(charge(s, got[s])) < 1e-6 for s in seqs[:4]) and got["KKKKKK"] > 11 and got["DDDD"] < 4
+    places = [("Mitochondrion", 0, "Mitochondria"), ("nucleotide pool", 0, "Other/Unknown"), ("Nuclear pore", 0, "Nucleus"), (None, 2, "Membrane"), ("cytosol", 3, "Cytoplasm")]
+    df = spark.createDataFrame(places, "c string, tm int, want string")
+    assert all(r.got == r.want for r in df.select("want", text.subcellular_class(F.col("c"), F.col("tm")).alias("got")).collect())
+
+
+def test_volcano_contract(spark):
+    from quillon.operators import differential as diff
+
+    rows = [(f"F{i}", f"{g}{k}", g, 100.0 * (1 + (4 if g == "B" and i == 0 else 0)) + 3 * k + i) for i in range(12) for g in "AB" for k in range(4)]
+    q = spark.createDataFrame(rows, "feature_id string, sample string, grp string, value double")
+    for test in ("limma", "t_test"):
+        v = diff.volcano(q, "A", "B", test=test, metric="adj_p")
+        assert len(v.columns) == 15
+        assert {r.ProteinID: r.Regulation for r in v.collect()} == {f"F{i}": "Up" if i == 0 else "NotSig" for i in range(12)}
+    with pytest.raises(ValueError):
+        diff.volcano(q.filter("sample <> 'A1' and sample <> 'A2' and sample <> 'A3'"), "A", "B")
+
+
+def test_trajectory_tables(spark):
+    from quillon.operators import reduce as rd
+
+    order = spark.createDataFrame([("a", "G1", 1, 0.5), ("b", "G1", 1, 0.1), ("c", "G2", 1, 2.0)], "sample string, grp string, lineage int, pseudotime double")
+    assert [r.sample for r in rd.in_pseudotime(order).orderBy("place").collect()] == ["b", "a", "c"]
+    assert rd.lineage_paths(order).first().path == "G1 -> G2"
+    xy = spark.createDataFrame([("a", 1.0), ("z", 2.0)], "sample string, umap1 double")
+    assert {r.sample: r.pseudotime for r in rd.with_pseudotime(xy, order).collect()} == {"a": 0.5, "z": None}

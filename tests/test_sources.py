@@ -2,6 +2,7 @@
 
 import pytest
 
+from quillon.plans.run import run
 from quillon.sources import sinks, vendor
 from quillon.sources.vendor import MatrixError, ZeroMode
 
@@ -97,3 +98,65 @@ def test_run_writes_rows_and_manifest(spark, tmp_path):
     assert spark.read.parquet(m["outputs"][0]).count() > 0
     with pytest.raises(KeyError):
         run(spark, "none", "x", "y")
+
+
+def lines(tmp_path, name, *rows):
+    f = tmp_path / name
+    f.write_text("\n".join("\t".join(r) for r in rows))
+    return str(f)
+
+
+def test_diann_without_vendor_suffixes(spark, tmp_path):
+    path = lines(tmp_path, "a.tsv", ["Protein.Group", "Genes", "Note", "s1", "s2"], ["P1", "G1", "x", "1.5", ""], ["", "G2", "y", "3", "4"], ["P1", "G3", "z", "5", "6"], ["P1.1", "G4", "z", "7", "8"])
+    d = vendor.load(spark, path, "dia")
+    assert d.format == "diann" and "2 quantity" in d.evidence
+    got = {(r.feature_id, r.sample): r.value for r in d.cells.collect()}
+    assert got == {("P1", "s1"): 1.5, ("P1", "s2"): None, ("P1.2", "s1"): 5, ("P1.2", "s2"): 6, ("P1.1", "s1"): 7, ("P1.1", "s2"): 8}  # the blank accession is dropped, a taken number skipped
+    upper = vendor.load(spark, lines(tmp_path, "b.tsv", ["Protein.Group", "run.RAW"], ["P1", "2"]), "dia")
+    assert [r.sample for r in upper.cells.collect()] == ["run"]
+
+
+def test_maxquant_needs_headers_and_falls_back(spark, tmp_path):
+    with pytest.raises(vendor.MatrixError):
+        vendor.load(spark, lines(tmp_path, "a.tsv", ["Protein IDs", "LFQ intensity a"], ["P1", "1"]), "dda", "maxquant")
+    d = vendor.load(spark, lines(tmp_path, "b.tsv", ["Protein IDs", "Fasta headers", "Protein names", "LFQ intensity a"], ["P1", "sp|P1|ONE_X", "One", "1"], ["P2", "", "Two", "1"], ["P3", "", "", "1"]), "dda")
+    assert {r.row_id: r.protein_name for r in d.meta.collect()} == {"P1": "ONE_X", "P2": "Two", "P3": "P3"}
+
+
+def test_peaks_marks():
+    names = ["Protein Group", "Top", "Accession", "a Area", "My Profile"]
+    assert vendor.detect(names, "dda")[0] is None
+    assert vendor.detect([*names, "Significance"], "dda")[0] == "peaks_lfq" and vendor.detect([*names, "Group 1 Area"], "dda")[0] == "peaks_lfq"
+
+
+def test_unique_names():
+    assert vendor.unique_names(["x", "x", "x.1", "x", "y"]) == ["x", "x.2", "x.1", "x.3", "y"]
+
+
+def test_summaries_and_exports(spark, tmp_path):
+    f = tmp_path / "m.csv"
+    f.write_text("id,a,b\nP,0,1\nQ,NA,2\nR,3,4")
+    d = vendor.load_dataset(spark, str(f), "standard", vendor.ZeroMode.MISSING)
+    got = {r.Metric: r.Value for r in vendor.input_summary(d).collect()}
+    assert len(got) == 12 and got["Original zero cell count"] == "1" and got["Explicit missing value count"] == "1" and got["Available quantitative value proportion"] == "66.67%" and got["File type"] == "CSV"
+    paths = sinks.write_loaded(spark, str(tmp_path / "out"), d, ["a", "b"])
+    assert len(paths) == 5 and sinks.outputs(spark, str(tmp_path / "out")).count() >= 5
+    assert [r.Metric for r in vendor.format_summary(d, "standard").collect()][1] == "Detected/selected format"
+    assert sinks.write_settings(spark, str(tmp_path), {"Analysis": "Random forest!", "Trees": 500}).endswith("/random_forest_ml_settings.csv")
+
+
+def test_annotations(spark, tmp_path):
+    f = tmp_path / "a.csv"
+    f.write_text("Accession,GRAVY,TM_helices,Subcellular_class,MW,pI,Length,More\nP1,-0.5,2,Membrane,10.5,7.1,90,x\nP2,,none,,,,,")
+    rows = vendor.read_annotations(spark, str(f)).collect()
+    assert rows[0].TM_helices == 2 and rows[0].pI == 7.1 and rows[1].TM_helices is None and rows[0].More == "x"
+    f.write_text("Accession,GRAVY\nP1,1")
+    with pytest.raises(vendor.MatrixError, match="TM_helices, Subcellular_class"):
+        vendor.read_annotations(spark, str(f))
+
+
+def test_failed_run_leaves_a_manifest(spark, tmp_path):
+    with pytest.raises(Exception):
+        run(spark, "qc_sample_summary", "/nowhere", str(tmp_path))
+    m = spark.read.text(str(tmp_path / "qc_sample_summary_manifest" / "analysis_manifest.json")).collect()
+    assert "failed" in " ".join(r.value for r in m)
