@@ -23,7 +23,7 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import regions
@@ -196,13 +196,13 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes that share a projection with another, sorted projections once, a class of each)."""
+    """(classes that share a projection with another, for each that they share; sorted projections once, a class of each)."""
     order = np.lexsort((cls, sig))
     cls, sig = cls[order], sig[order]
     head = np.append(True, sig[1:] != sig[:-1])
     first = np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))
     other = cls != cls[first]
-    return np.unique(np.concatenate([cls[other], cls[first[other]]])), sig[head], cls[head]
+    return np.concatenate([cls[other], np.unique(cls[first[other]])]), sig[head], cls[head]
 
 
 def _company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -212,6 +212,7 @@ def _company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def step(cls: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         met, sig, cls = _met(sig, cls)
+        met = np.unique(met)
         yield pa.RecordBatch.from_arrays([pa.array((mix64(met.view(np.uint64)) % np.uint64(parts)).astype(np.int32)), pa.nulls(len(met), pa.binary()), pa.array(met)], schema=arrow)
         bucket = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
         edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
@@ -302,9 +303,9 @@ def _placed(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _shared(cells: DataFrame) -> DataFrame:
-    """Members of cells with more than one class; the counts are combined before the shuffle."""
-    several = cells.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("sig")
-    return cells.join(several, "sig", "left_semi")
+    """Members of cells with more than one class, in one shuffle; a cell's rows pass through a window, which spills."""
+    cell = Window.partitionBy("sig")
+    return cells.withColumn("differ", F.min("cls").over(cell) != F.max("cls").over(cell)).filter("differ").drop("differ")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -354,7 +355,7 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
             sets = steps.cut(_sets(texts, k), "sets")
             if sets.count() > n_wanted:  # a repeated row repeats its set
                 sets = steps.cut(sets.dropDuplicates(["cls"]), "sets")
-            comp = _links(steps.cut(_shared(steps.cut(_placed(sets, num, den), "cells")), "members"), sets, num, den)
+            comp = _links(steps.cut(_shared(_placed(sets, num, den)), "members"), sets, num, den)
             cls = cls.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
             low = cls.groupBy("comp").agg(F.min("low").alias("low"))
             cls = cls.select("cls", "comp").join(low, "comp").select("cls", "comp", "low")
