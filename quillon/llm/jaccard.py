@@ -32,7 +32,7 @@ from quillon.llm.common import Scratch, cut_lineage, remove, map_arrow, map_batc
 #: Sizes of neighbouring regions, at least: a window then never reaches beyond the next region.
 LADDER = 1.4
 #: Projections that one map step combines.
-STEP_ROWS = 1_000_000
+STEP_ROWS = 300_000
 #: Cells of the table of counts that shingles are ordered by.
 ORDER_CELLS = 1 << 20
 
