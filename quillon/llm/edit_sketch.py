@@ -295,7 +295,7 @@ def near_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
         cells = own.select("cls", F.explode(F.array(*twice)).alias("sig"))
         several = cells.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("sig")
         members = steps.cut(cells.join(several, "sig", "left_semi").distinct(), "bands")
-        comp = regions.linked(members, own.select("cls", F.col("fingerprint").alias("value")), lambda x, y: (1 - likeness(x, y), likeness(x, y) >= threshold), 1 - threshold + 1e-9, by_degree=False)
+        comp = regions.linked(members, lambda ids: own.join(regions.few(ids), "cls", "left_semi").select("cls", "fingerprint"), lambda x, y: (1 - likeness(x, y), likeness(x, y) >= threshold), 1 - threshold + 1e-9, by_degree=False)
         own_comp = own.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         low = own_comp.groupBy("comp").agg(F.min("low").alias("near_id"))
         out = cut_lineage(own_comp.join(low, "comp").select("fingerprint", "near_id"), "near")

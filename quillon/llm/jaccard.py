@@ -17,7 +17,7 @@ Defined cases: null and empty texts have no shingles and are linked with nothing
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, exp, sqrt
 
 import numpy as np
@@ -323,8 +323,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs, run, "cls long, value array<long>")
 
 
-def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(cls, comp) of every class of members (sig, cls, pos, size), cells with at least two classes."""
+def _links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(cls, comp) of every class of members (sig, cls, pos, size), cells with at least two classes. sets: (cls, value) of given classes."""
 
     def may(m: str, p: str) -> F.Column:
         size, other = F.col(f"{m}.size"), F.col(f"{p}.size")
@@ -350,12 +350,16 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
         wanted = steps.cut(company.join(cls, "cls").select("row", "cls"), "wanted")
         n_wanted = wanted.count()
         if n_wanted:
-            small = n_wanted <= regions.BROADCAST_IDS
-            texts = keyed.join(F.broadcast(wanted) if small else wanted, "row").select("cls", "text")
-            sets = steps.cut(_sets(texts, k), "sets")
-            if sets.count() > n_wanted:  # a repeated row repeats its set
-                sets = steps.cut(sets.dropDuplicates(["cls"]), "sets")
-            comp = _links(steps.cut(_shared(_placed(sets, num, den)), "members"), sets, num, den)
+            repeated = base.join(wanted, "row", "left_semi").count() > n_wanted
+
+            def sets(ids: DataFrame) -> DataFrame:
+                """Made of the texts again whenever they are read: written, they would take more room than the texts."""
+                rows = regions.few(wanted.join(regions.few(ids), "cls", "left_semi"))
+                out = _sets(keyed.join(rows, "row").select("cls", "text"), k)
+                return out.dropDuplicates(["cls"]) if repeated else out
+
+            members = steps.cut(_shared(_placed(sets(wanted.select("cls")), num, den)), "members")
+            comp = _links(members, sets, num, den)
             cls = cls.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
             low = cls.groupBy("comp").agg(F.min("low").alias("low"))
             cls = cls.select("cls", "comp").join(low, "comp").select("cls", "comp", "low")

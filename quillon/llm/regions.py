@@ -42,15 +42,13 @@ def contract(edges: DataFrame) -> DataFrame:
         return cut_lineage(roots, "roots")
 
 
-def _only(values: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """Values of the classes in one column of pairs: what isn't needed isn't shuffled. Few ids are broadcast, many joined by shuffle."""
-    ids = pairs.select(F.col(column).alias("cls")).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    return values.join(F.broadcast(ids) if small else ids, "cls", "left_semi").withColumnRenamed("cls", column)
+def few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if a count finds few; many are joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def linked(members: DataFrame, values: DataFrame, measure: Callable[[str, str], tuple[Column, Column]], radius: float, may: Callable[[str, str], Column] = lambda m, p: F.lit(True), by_degree: bool = True) -> DataFrame:
-    """(cls, comp) of every class of members (sig, cls, ...), cells with at least two classes. values: (cls, value); measure: of two value columns, their distance and whether they are linked; may: whether two rows of members, by alias, can be linked. Pivots are those with most neighbours, or any."""
+def linked(members: DataFrame, values: Callable[[DataFrame], DataFrame], measure: Callable[[str, str], tuple[Column, Column]], radius: float, may: Callable[[str, str], Column] = lambda m, p: F.lit(True), by_degree: bool = True) -> DataFrame:
+    """(cls, comp) of every class of members (sig, cls, ...), cells with at least two classes. values: (cls, value) of the classes of a table (cls), called with those that a pass needs, so that no other is made or shuffled; measure: of two value columns, their distance and whether they are linked; may: whether two rows of members, by alias, can be linked. Pivots are those with most neighbours, or any."""
     columns = members.columns
     if by_degree:
         degree = members.groupBy("sig").agg(F.count("*").alias("n")).join(members, "sig").groupBy("cls").agg(F.sum("n").alias("degree"))
@@ -76,7 +74,8 @@ def linked(members: DataFrame, values: DataFrame, measure: Callable[[str, str],
             near = F.col("m.dist").isNull() | F.col("p.dist").isNull() | (F.abs(F.col("m.dist") - F.col("p.dist")) <= radius)
             pairs = m.alias("m").join(p.alias("p"), (F.col("m.sig") == F.col("p.sig")) & (F.col("p.cls") != F.col("m.cls")) & (F.col("m.comp") != F.col("p.comp")) & near & may("m", "p"))
             pairs = steps.cut(pairs.select(F.col("p.cls").alias("p_cls"), F.col("m.cls").alias("cls"), F.col("p.comp").alias("p_comp"), F.col("m.comp").alias("comp")).distinct(), "pairs")
-            x, y = _only(values, pairs, "p_cls").withColumnRenamed("value", "x"), _only(values, pairs, "cls").withColumnRenamed("value", "y")
+            x = values(pairs.select(F.col("p_cls").alias("cls")).distinct()).toDF("p_cls", "x")
+            y = values(pairs.select("cls").distinct()).toDF("cls", "y")
             d, link = measure("x", "y")
             tried = cut_lineage(pairs.join(x, "p_cls").join(y, "cls").select("p_cls", "cls", "p_comp", "comp", d.alias("d"), link.alias("link")), "tried")
             roots = contract(tried.filter("link").select(F.least("comp", "p_comp").alias("a"), F.greatest("comp", "p_comp").alias("b")))
