@@ -205,6 +205,20 @@ def _met(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate([cls[other], np.unique(cls[first[other]])]), sig[head], cls[head]
 
 
+def _met_by_ranges(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """_met's classes of all pairs of (sorted projections, classes), one range of hashes after another: what is sorted at once is about STEP_ROWS."""
+    if not held:
+        return
+    low, high = min(int(s[0]) for s, _ in held), max(int(s[-1]) for s, _ in held)
+    ranges = sum(len(s) for s, _ in held) // STEP_ROWS + 1
+    cuts = np.array([low + (high - low) * i // ranges for i in range(1, ranges)], np.uint64)
+    at = [[0, *np.searchsorted(s, cuts).tolist(), len(s)] for s, _ in held]
+    for r in range(ranges):
+        sig, cls = (np.concatenate([pair[x][a[r] : a[r + 1]] for pair, a in zip(held, at, strict=True)]) for x in (0, 1))
+        if len(sig):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_met(sig, cls)[0]))], ["cls"])
+
+
 def _company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(cls) of the texts that share a projection with another text. Those that share one inside a map step are known at once and only the first of them travels, so no projection has more rows than there are steps; a step's projections travel packed, a range of hashes to each bucket."""
     parts = parallelism(docs.sparkSession)
@@ -243,33 +257,38 @@ def _company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for i, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if blob is None:
                     continue
-                if i != bucket and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(_met(*map(np.concatenate, zip(*held, strict=True)))[0])], ["cls"])
+                if i != bucket:
+                    yield from _met_by_ranges(held)
                     held = []
                 bucket = i
                 held.append(_unpacked(blob))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(_met(*map(np.concatenate, zip(*held, strict=True)))[0])], ["cls"])
+        yield from _met_by_ranges(held)
 
     packed = map_arrow(docs.select("text"), deal, "bucket int, blob binary, cls long")
     return map_arrow(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), meet, "cls long").distinct()
 
 
-def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, first of each row and the end) of lists of hashes."""
-    at = np.asarray(col.offsets).astype(np.int64)
-    return np.asarray(col.values)[at[0] : at[-1]].view(np.uint64), at - at[0]
+def _true_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cls, shingles text by text, first of each text and the end), run by run, of rows (cls, text) whose set it is: rows that only share a row key with one drop out."""
+    for b in batches:
+        want = np.asarray(b.column(0))
+        for i, j, data, off in text_chunks(b.column(1)):
+            h, first, _, _ = words(data, off, lower=True)
+            g, at = shingle_sets(h, first, k)
+            own, n = set_hash(g, at) == want[i:j], np.diff(at)
+            if own.any():
+                yield want[i:j][own], g[np.repeat(own, n)], np.concatenate([[0], np.cumsum(n[own])])
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
+def _rarity(texts: DataFrame, k: int) -> np.ndarray:
     """Counts of all sets' shingles in ORDER_CELLS cells: one table a task, summed block by block."""
     blocks = 64
     wide = ORDER_CELLS // blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_CELLS, np.int64)
-        for b in batches:
-            total += np.bincount((_flat(b.column(0))[0] % np.uint64(ORDER_CELLS)).astype(np.int64), minlength=ORDER_CELLS)
+        for _, g, _ in _true_sets(batches, k):
+            np.add.at(total, (g % np.uint64(ORDER_CELLS)).astype(np.int64), 1)
         if total.any():
             rows = [x.tobytes() for x in total.astype(np.int32).reshape(blocks, wide)]
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
@@ -280,24 +299,24 @@ def _rarity(sets: DataFrame) -> np.ndarray:
             total += np.frombuffer(row, np.int32)
         return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    rows = map_arrow(sets.select("value"), count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    rows = map_arrow(texts, count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     out = np.zeros((blocks, wide), np.int32)
     for r in rows:
         out[r.block] = np.frombuffer(r.counts, np.int32)
     return out.ravel()
 
 
-def _placed(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(cls, size, pos, sig): the shingle cells of each set, in its own region and in the one below."""
-    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))  # 4 bytes a cell, 4 MB
+def _placed(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(cls, size, pos, sig): the shingle cells of each set of (cls, text), in its own region and in the one below."""
+    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts, k))  # 4 bytes a cell, 4 MB
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        g, at = _flat(b.column(1))
-        rank = rarity.value[(g % np.uint64(ORDER_CELLS)).astype(np.int64)]
-        keys = [_lists(key, np.concatenate([[0], np.cumsum(count)])) for key, count in first_cells(g, at, rank, num, den)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), *keys], ["cls", "size", "own", "low"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cls, g, at in _true_sets(batches, k):
+            rank = rarity.value[(g % np.uint64(ORDER_CELLS)).astype(np.int64)]
+            keys = [_lists(key, np.concatenate([[0], np.cumsum(count)])) for key, count in first_cells(g, at, rank, num, den)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.diff(at), pa.int64()), *keys], ["cls", "size", "own", "low"])
 
-    cells = map_batches(sets.select("cls", "value"), run, "cls long, size long, own array<long>, low array<long>")
+    cells = map_arrow(texts, run, "cls long, size long, own array<long>, low array<long>")
     cells = cells.select("cls", "size", F.explode(F.array("own", "low")).alias("keys"))
     return cells.select("cls", "size", F.posexplode("keys").alias("pos", "sig"))
 
@@ -308,19 +327,14 @@ def _shared(cells: DataFrame) -> DataFrame:
     return cells.withColumn("differ", F.min("cls").over(cell) != F.max("cls").over(cell)).filter("differ").drop("differ")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(cls, value) of each row of (cls, text) whose set it is: rows that only share a row key with one drop out."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(cls, value) of each row of (cls, text)."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out, cls = [], []
-        for _, _, data, off in text_chunks(b.column(1)):
-            h, first, _, _ = words(data, off, lower=True)
-            g, at = shingle_sets(h, first, k)
-            out.append(_lists(g, at))
-            cls.append(set_hash(g, at))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays(out)], ["cls", "value"]).filter(pa.array(np.concatenate(cls) == np.asarray(b.column(0))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cls, g, at in _true_sets(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(cls), _lists(g, at)], ["cls", "value"])
 
-    return map_batches(docs, run, "cls long, value array<long>")
+    return map_arrow(texts, run, "cls long, value array<long>")
 
 
 def _links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
@@ -352,14 +366,14 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
         if n_wanted:
             repeated = base.join(wanted, "row", "left_semi").count() > n_wanted
 
-            def sets(ids: DataFrame) -> DataFrame:
-                """Made of the texts again whenever they are read: written, they would take more room than the texts."""
+            def texts(ids: DataFrame) -> DataFrame:
                 rows = regions.few(wanted.join(regions.few(ids), "cls", "left_semi"))
-                out = _sets(keyed.join(rows, "row").select("cls", "text"), k)
-                return out.dropDuplicates(["cls"]) if repeated else out
+                out = keyed.join(rows, "row").select("cls", "text")
+                return out.dropDuplicates() if repeated else out
 
-            members = steps.cut(_shared(_placed(sets(wanted.select("cls")), num, den)), "members")
-            comp = _links(members, sets, num, den)
+            # sets are made of the texts again whenever they are read: written, they would take more room than the texts
+            members = steps.cut(_shared(_placed(texts(wanted.select("cls")), k, num, den)), "members")
+            comp = _links(members, lambda ids: _sets(texts(ids), k), num, den)
             cls = cls.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
             low = cls.groupBy("comp").agg(F.min("low").alias("low"))
             cls = cls.select("cls", "comp").join(low, "comp").select("cls", "comp", "low")
