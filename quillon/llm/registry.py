@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from quillon.llm import sql
 from quillon.llm.edit_sketch import op6_edit_embedding
+from quillon.llm.exact import op11_exact_dedup
 from quillon.llm.html_text import op3_host_suffix_array
 from quillon.llm.jaccard import op4_jaccard_metric_join
 from quillon.llm.media import op1_lossless_webp
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_super_kmer_dedup,
         op9_pu_quality,
         op10_pii_anchor_expansion,
+        op11_exact_dedup,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

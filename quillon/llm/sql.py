@@ -28,4 +28,9 @@ kept as (select e.doc_id, count(*) filter (where g.i is not null) as n_removed,
   from every e left join gone g on g.doc_id = e.doc_id and g.i = e.i group by e.doc_id)
 select w.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)"""
 
-SQL = {"op4_jaccard_metric_join": JACCARD, "op5_hierarchical_mixing": mixing.oracle(), "op8_super_kmer_dedup": SUBSTRING}
+EXACT = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+k as (select *, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last) as place from d)
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(t) as text_sha256 from k"""
+
+SQL = {"op4_jaccard_metric_join": JACCARD, "op5_hierarchical_mixing": mixing.oracle(), "op8_super_kmer_dedup": SUBSTRING, "op11_exact_dedup": EXACT}
