@@ -16,6 +16,7 @@ from quillon.llm.media import op1_lossless_webp
 from quillon.llm.mixing import op5_hierarchical_mixing
 from quillon.llm.packing import op2_best_fit_packing
 from quillon.llm.pii import op10_pii_anchor_expansion
+from quillon.llm.prefix_trie import op12_prefix_trie
 from quillon.llm.quality import op9_pu_quality
 from quillon.llm.substring import op8_super_kmer_dedup
 from quillon.llm.token_count import op7_token_counts
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pu_quality,
         op10_pii_anchor_expansion,
         op11_exact_dedup,
+        op12_prefix_trie,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
