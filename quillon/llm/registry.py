@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from quillon.llm import sql
+from quillon.llm.collocation import op13_collocations
 from quillon.llm.edit_sketch import op6_edit_embedding
 from quillon.llm.exact import op11_exact_dedup
 from quillon.llm.html_text import op3_host_suffix_array
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pii_anchor_expansion,
         op11_exact_dedup,
         op12_prefix_trie,
+        op13_collocations,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -33,4 +33,20 @@ with d as (select doc_id, coalesce(text, '') as t from documents),
 k as (select *, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last) as place from d)
 select doc_id, keep_id, group_size, place = 1 as kept, sha256(t) as text_sha256 from k"""
 
-SQL = {"op4_jaccard_metric_join": JACCARD, "op5_hierarchical_mixing": mixing.oracle(), "op8_super_kmer_dedup": SUBSTRING, "op11_exact_dedup": EXACT}
+COLLOCATIONS = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from d),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+g as (select lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as g from w, (values (1), (2), (3)) s(k) where len(w) >= k),
+f as (select lang, g, count(*) as f from g group by all),
+n as (select lang, cast(sum(f) as bigint) as n from f where len(g) = 1 group by lang),
+c as (select lang, g, f as a from f where len(g) > 1 and f >= 10),
+k as (select *, unnest(range(1, len(g))) as k from c),
+s as (select k.*, x.f as l, y.f as r, cast(1000000::hugeint * a * a // (x.f::hugeint * y.f) as bigint) as score from k join f x on x.lang = k.lang and x.g = k.g[1:k] join f y on y.lang = k.lang and y.g = k.g[k + 1:]),
+b as (select *, row_number() over (partition by lang, g order by score, k) as place from s),
+j as (select lang, part, max(a) as longest from (select lang, a, unnest([g[1:2], g[2:3]]) as part from c where len(g) = 3) group by all),
+o as (select b.lang, array_to_string(b.g, ' ') as phrase, a, l, r, score from b left join j on j.lang = b.lang and j.part = b.g where place = 1 and not coalesce(100 * longest >= 50 * a, false)),
+q as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
+select lang, rank, phrase, a, l, r, n, score from q join n using (lang) where rank <= 2000"""
+
+SQL = {"op4_jaccard_metric_join": JACCARD, "op5_hierarchical_mixing": mixing.oracle(), "op8_super_kmer_dedup": SUBSTRING, "op11_exact_dedup": EXACT, "op13_collocations": COLLOCATIONS}
