@@ -2,7 +2,7 @@
 
 A conversation is a sequence of turns (role, text); each distinct sequence of first d turns is a node of depth d. A node is known by 120 bits: the exclusive or, over its turns, of hashes of depth, role and text. Such keys can be carried from one slice of a conversation to the next, so no conversation has to lie in one task. Texts are read once, for their hashes and lengths.
 
-A node whose members have more than SHARD turns below it is heavy. The others form subtrees of at most SHARD nodes under heavy parents: each is a shard. In a shard nodes are sorted by reverse level order, outside memory where need be (Spark's sort), and each node's totals wait for its parent in a priority queue that spills. Shard roots send theirs, summed by parent, to the heavy nodes.
+A node whose members have more turns below it than a bound is heavy; the bound is the turns of all conversations by the number of shards wanted. The other nodes form subtrees no larger than the bound under heavy parents: each is a shard. In a shard nodes are sorted by reverse level order, outside memory where need be (Spark's sort), and each node's totals wait for its parent in a priority queue that spills. Shard roots send theirs, summed by parent, to the heavy nodes.
 
 Heavy nodes with one smallest member lie on one path, a chain. Chains are at most as many as there are shards' worth of turns, and they are processed forward in time in the same way, the latest first: each passes its total to the chain that it hangs on. The nodes of a chain then add up by running sums over slices, so long chains are no load on one task.
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Scratch, cut_lineage, map_arrow, parallelism, table
 from quillon.operators import places
 
-#: Turns that the members of a shard's root may have below it, and so nodes of a shard.
-SHARD = 1 << 16
+#: Least number of turns below a heavy node. With more turns it is such that a shuffle partition gets SHARDS shards, and chains number no more than shards.
+SHARD, SHARDS = 512, 16
 #: Messages that a queue holds in memory.
 QUEUE = 1 << 15
 #: conv_ids that are joined to one piece before a node's are hashed.
@@ -248,13 +248,16 @@ def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(s, pa.string())], [*KEY, "ends_sha256"])
 
 
-def trie(conversations: DataFrame, shard: int = SHARD) -> DataFrame:
+def trie(conversations: DataFrame, shard: int | None = None) -> DataFrame:
     """A row a node: its smallest member, depth, key and parent's key, members, children, leaves, what sharing it and its subtree saves, and the hash of the conversations that end there."""
     with Scratch(conversations.sparkSession) as scratch:
         cut = scratch.cut
         sizes, prefixes = rebuilt(conversations, cut)
         prefixes = cut(prefixes, "prefixes")
         nodes = cut(_members(sizes, prefixes), "nodes")
+        if shard is None:
+            root = nodes.filter("depth = 0").first()
+            shard = max(SHARD, (root.below if root else 0) // (SHARDS * parallelism(conversations.sparkSession)))
         is_heavy = (F.col("below") > shard) | (F.col("depth") == 0)
         heavy = cut(nodes.filter(is_heavy).drop("below"), "heavy")
         light = nodes.filter(~is_heavy).drop("below")
