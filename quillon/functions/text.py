@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +131,9 @@ def short_names(samples: DataFrame, suffix: Column, order: list[str]) -> DataFra
     samples = samples.withColumn("suffix_", F.when(s == "", "1").otherwise(s))
     n = F.row_number().over(Window.partitionBy("suffix_").orderBy(*order))
     return samples.withColumn("short_name", F.concat("suffix_", F.lit("-"), n.cast("string"))).drop("suffix_")
+
+
+def safe_name(name: str) -> str:
+    """A name for a column: dots for what isn't a letter, digit, dot or underscore, X before a name that doesn't begin with a letter, or with a dot and no digit."""
+    name = re.sub(r"[^\w.]", ".", name)
+    return name if re.match(r"[^\W\d_]|\.(?![0-9])", name) else f"X{name}"

@@ -86,15 +86,20 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "p
     return running(df, keys, order, {name: F.lit(1).cast("long")}, slices=slices, slice_=slice_)
 
 
-def medians(df: DataFrame, keys: list[str], value: str, name: str = "median", slices: int = SLICES) -> DataFrame:
-    """(keys, name): exact medians of the values that aren't null. Counts by slice find the slices that hold a key's middle, only their values are counted one by one. Keys are few: samples or groups."""
-    rows, _ = sliced(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_")), keys, [F.col("v_")], slices)
-    rows = rows.select(*keys, "v_", "slice_")
+def magnitude(value: Column) -> Column:
+    """A whole number that rises with value, one for each 64th of a doubling: ranges of values that need no sample."""
+    size = F.floor(F.log2(F.abs(value)) * 64) + 100_000
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): exact medians of the values that aren't null. Counts by range find the ranges that hold a key's middle, only their values are counted one by one. Keys are few: samples or groups."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_")).withColumn("slice_", magnitude(F.col("v_")))
     own = Window.partitionBy(*keys)
-    per = rows.groupBy("slice_", *keys).agg(F.count(F.lit(1)).alias("n_"))  # a row for each slice and key
+    per = rows.groupBy("slice_", *keys).agg(F.count(F.lit(1)).alias("n_"))  # a row for each range and key
     per = per.withColumn("all_", F.sum("n_").over(own)).withColumn("ahead_", F.sum("n_").over(own.orderBy("slice_").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_"))
     per = per.withColumn("low_", F.expr("(all_ + 1) div 2")).withColumn("high_", F.expr("all_ div 2 + 1"))
-    middle = per.filter("ahead_ < high_ and ahead_ + n_ >= low_")  # two slices a key at most
+    middle = per.filter("ahead_ < high_ and ahead_ + n_ >= low_").drop("n_", "all_")  # two ranges a key at most
     some = _joined(rows, middle, ["slice_", *keys], "inner")
     each = some.groupBy("slice_", *keys, "v_", "ahead_", "low_", "high_").agg(F.count(F.lit(1)).alias("m_"))
     upto = F.col("ahead_") + F.sum("m_").over(Window.partitionBy("slice_", *keys).orderBy("v_").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -7,6 +7,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import safe_name
+from quillon.operators import places
 from quillon.operators.matrix import feature, log2_1p, vectors
 
 
@@ -15,12 +17,14 @@ def pct(a, b) -> F.Column:
 
 
 def qc_samples(d: DataFrame) -> DataFrame:
-    x = log2_1p(F.col("value"))
+    """A row a sample. Its median is found by ranges, as a sample has as many values as there are features."""
+    d = d.withColumn("x_", log2_1p(F.col("value")))
     n, have = F.count(F.lit(1)), F.count("value")
-    return d.groupBy("sample", "grp").agg(
-        n.alias("total_proteins"), have.alias("quantified_proteins"), (n - have).alias("missing_values"), pct(n - have, n).alias("missing_percent"),
-        F.round(F.median(x), 6).alias("median_log2_abundance"), F.round(F.avg(x), 6).alias("mean_log2_abundance"),
+    per = d.groupBy("sample", "grp").agg(
+        n.alias("total_proteins"), have.alias("quantified_proteins"), (n - have).alias("missing_values"), pct(n - have, n).alias("missing_percent"), F.round(F.avg("x_"), 6).alias("mean_log2_abundance"),
     )
+    middle = places.medians(d, ["sample"], "x_").select("sample", F.round("median", 6).alias("median_log2_abundance"))
+    return per.join(F.broadcast(middle), "sample", "left")  # a row a sample
 
 
 def qc_features(d: DataFrame) -> DataFrame:
@@ -37,6 +41,21 @@ def qc_feature_groups(d: DataFrame) -> DataFrame:
     return d.groupBy("feature_id", "grp").agg(have.alias("quantified_n"), n.alias("total_n"), pct(have, n).alias("quantified_percent"))
 
 
+def _distinct(names: list[str]) -> list[str]:
+    """Names, repeated ones with a running number."""
+    return [n if n not in names[:i] else f"{n}.{names[:i].count(n)}" for i, n in enumerate(names)]
+
+
+def qc_features_wide(d: DataFrame, groups: list[str]) -> DataFrame:
+    """qc_features with, for each group, how many of its samples quantify the feature, of how many, and the percentage, in columns that begin with the group's safe name."""
+    own = []
+    for g, key in zip(groups, _distinct([safe_name(g) for g in groups]), strict=True):
+        of = F.col("grp") == g
+        n, have = F.count_if(of), F.count_if(of & F.col("value").isNotNull())
+        own += [have.alias(f"{key}_Quantified_N"), n.alias(f"{key}_Total_N"), pct(have, n).alias(f"{key}_Quantified_Percent")]
+    return qc_features(d).join(d.groupBy("feature_id").agg(*own), "feature_id")
+
+
 def qc_histogram(d: DataFrame) -> DataFrame:
     """Features by number of missing samples, every number from 0 to all."""
     per = d.groupBy("feature_id").agg((F.count(F.lit(1)) - F.count("value")).alias("missing_samples"), F.count(F.lit(1)).alias("n"))
@@ -65,8 +84,8 @@ def rank_abundance(q: DataFrame, transform: str = "log10") -> DataFrame:
     """Place of each value in its sample, largest first (ties by feature_id), and its transform."""
     value = F.col("value")
     shown = (F.log10 if transform == "log10" else F.log2)(value + 1)
-    place = F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("value"), "feature_id"))
-    return q.filter("value is not null and not isnan(value)").select("feature_id", "sample", "grp", "value", place.alias("rank"), F.round(shown, 6).alias("transformed"))
+    ranked = places.numbered(q.filter("value is not null and not isnan(value)").select("feature_id", "sample", "grp", "value"), ["sample"], [-value, F.col("feature_id")], "rank")
+    return ranked.withColumn("transformed", F.round(shown, 6))
 
 
 def variation(q: DataFrame, most: float | None = None) -> DataFrame:
@@ -77,7 +96,7 @@ def variation(q: DataFrame, most: float | None = None) -> DataFrame:
 
 
 def median_variation(q: DataFrame, most: float = 60.0) -> DataFrame:
-    return variation(q, most).groupBy("grp").agg(F.round(F.median("cv"), 6).alias("median_cv"))
+    return places.medians(variation(q, most), ["grp"], "cv").select("grp", F.round("median", 6).alias("median_cv"))
 
 
 def correlation(p: DataFrame, samples: DataFrame, method: str = "pearson") -> DataFrame:

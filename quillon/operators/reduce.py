@@ -8,13 +8,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillon.functions import kernels
-from quillon.operators.differential import adjusted, p_value
-from quillon.operators.matrix import feature, sample_rows, vectors, z_scores
+from quillon.functions.stats import rank_correlation_p
+from quillon.operators import policy
+from quillon.operators.differential import adjusted
+from quillon.operators.matrix import feature, sample_rows, top_variance, vectors, z_scores
+
+
+#: Features that coordinates need at least.
+VARYING = 2
 
 
 def gram(vec: DataFrame) -> np.ndarray:
@@ -41,8 +49,10 @@ def gram(vec: DataFrame) -> np.ndarray:
 def sample_space(p: DataFrame, samples: DataFrame) -> tuple[list, np.ndarray]:
     """(samples by name, inner products of their standardised, centred profiles); features that don't vary drop out."""
     rows = sorted(sample_rows(samples), key=lambda r: r.sample)
-    z = z_scores(p.withColumn("s_", F.stddev_samp("x").over(feature())).filter("s_ > 0"))
-    return rows, gram(vectors(z, "z"))
+    z = vectors(z_scores(p.withColumn("s_", F.stddev_samp("x").over(feature())).filter("s_ > 0")), "z")
+    if len(z.limit(VARYING).collect()) < VARYING:
+        raise ValueError(f"{VARYING} features that vary are needed")
+    return rows, gram(z)
 
 
 def _frame(p: DataFrame, rows: list, cols: dict[str, np.ndarray]) -> DataFrame:
@@ -101,26 +111,60 @@ def correlation_clusters(corr: DataFrame, k: int = 4) -> DataFrame:
     return corr.sparkSession.createDataFrame([(n, label[i], place[i]) for i, n in enumerate(names)], "sample string, cluster int, place int")
 
 
-def feature_kmeans(p: DataFrame, k: int = 4, seed: int = 123) -> DataFrame:
-    """(feature_id, cluster) of features by their z-scores, with Spark's own K-means."""
+def _clusters(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """(key, cluster) of rows (key, v) by Spark's K-means, clusters from 1 in the order of their first row's key."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = vectors(z_scores(p), "z").select("feature_id", array_to_vector("v").alias("features"))
-    return KMeans(k=k, seed=seed).fit(v).transform(v).select("feature_id", F.col("prediction").alias("cluster"))
+    v = rows.select(key, array_to_vector("v").alias("features"))
+    got = KMeans(k=k, seed=seed).fit(v).transform(v).select(key, F.col("prediction").alias("p_"))
+    first = got.groupBy("p_").agg(F.min(key).alias("first_"))
+    order = first.select("p_", F.row_number().over(Window.orderBy("first_")).alias("cluster"))  # a row a cluster
+    return got.join(F.broadcast(order), "p_").select(key, "cluster")
 
 
-def pseudotime(p: DataFrame, samples: DataFrame, start: str) -> DataFrame:
-    """(sample, grp, lineage, pseudotime): groups are the clusters; lineages run from the start group along the tree of their centres."""
+def feature_kmeans(p: DataFrame, k: int = 4, seed: int = 123) -> DataFrame:
+    """(feature_id, cluster) of features by their z-scores."""
+    return _clusters(vectors(z_scores(p), "z"), "feature_id", k, seed)
+
+
+def heatmap(p: DataFrame, samples: DataFrame, top: int = 100, rows: str = "none", columns: str = "none", row_k: int = 4, column_k: int = 4, seed: int = 123) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The z-scores of the features that vary most, and the order of both sides: (row_order, feature_id, sample, z), (row_order, feature_id, kmeans_cluster), (col_order, sample, grp, kmeans_cluster). rows and columns are none or kmeans. Sides are ordered by cluster, then as in the source: features by feature_id, samples by sample_ord. top features at most lie in one row."""
+    if {rows, columns} - {"none", "kmeans"}:
+        raise ValueError("rows and columns are none or kmeans")
+    z = z_scores(top_variance(p, top))
+    size = z.agg(F.count_distinct("feature_id").alias("features"), F.count_distinct("sample").alias("samples")).first()
+    if size.features < VARYING or size.samples < 2:
+        raise ValueError("a heatmap needs two features and two samples")
+    none = F.lit(None).cast("int")
+    features = z.select("feature_id").distinct()
+    side = features.join(_clusters(vectors(z, "z"), "feature_id", policy.clusters(row_k, size.features), seed), "feature_id") if rows == "kmeans" else features.withColumn("cluster", none)
+    place = F.row_number().over(Window.orderBy("cluster", "feature_id"))  # of top features
+    row_order = side.select(place.alias("row_order"), "feature_id", F.col("cluster").alias("kmeans_cluster"))
+    own = samples.select("sample", "grp", "sample_ord")
+    if columns == "kmeans":
+        v = z.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "z"))), lambda c: c["z"]).alias("v"))
+        own = own.join(_clusters(v, "sample", policy.clusters(column_k, size.samples), seed), "sample")
+    else:
+        own = own.withColumn("cluster", none)
+    at = F.row_number().over(Window.orderBy("cluster", "sample_ord", "sample"))  # of the samples
+    col_order = own.select(at.alias("col_order"), "sample", "grp", F.col("cluster").alias("kmeans_cluster"))
+    values = z.join(F.broadcast(row_order.select("row_order", "feature_id")), "feature_id").select("row_order", "feature_id", "sample", "z")
+    return values, row_order, col_order
+
+
+def pseudotime(p: DataFrame, samples: DataFrame, start: str, end: str | None = None) -> DataFrame:
+    """(sample, grp, lineage, pseudotime): groups are the clusters; lineages run from the start group along the tree of their centres, with end only those that end there. policy refuses what a trajectory can't use."""
+    rows = sorted(sample_rows(samples), key=lambda r: r.sample)
+    policy.trajectory(rows, len(p.select("feature_id").distinct().limit(policy.TRAJECTORY["proteins"]).collect()), start, end)
     rows, g = sample_space(p, samples)
     names = sorted({r.grp for r in rows})
-    if start not in names or len(names) < 2 or len(rows) < 4:
-        raise ValueError("a trajectory needs two groups, four samples and a known start")
     y = kernels.components_of(g)[0]
     of = np.array([names.index(r.grp) for r in rows])
     centres = np.stack([y[of == i].mean(0) for i in range(len(names))])
     out = []
-    for k, path in enumerate(kernels.lineages(centres, names.index(start)), 1):
+    paths = [x for x in kernels.lineages(centres, names.index(start)) if end is None or names[x[-1]] == end]
+    for k, path in enumerate(paths, 1):
         own = np.flatnonzero(np.isin(of, path))
         t = kernels.along(y[own], centres[path]) if len(path) > 1 else np.zeros(len(own))
         out += [(rows[i].sample, rows[i].grp, k, round(float(v), 6)) for i, v in zip(own, t, strict=True)]
@@ -128,17 +172,21 @@ def pseudotime(p: DataFrame, samples: DataFrame, start: str) -> DataFrame:
 
 
 def rank_correlation(p: DataFrame, order: DataFrame) -> DataFrame:
-    """(feature_id, rho, p, q) of each feature's x with order (sample, t): correlation of average ranks, p by t."""
+    """(feature_id, rho, p, ties, q) of each feature's x with order (sample, t): correlation of average ranks. p is exact for few values without ties, by the Edgeworth series for more, by t with ties."""
     def average_rank(column: str, by) -> F.Column:
         same = Window.partitionBy(*by, column)
         return (F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count(F.lit(1)).over(same) - 1) / 2).cast("double")
 
     cells = p.select("feature_id", "sample", F.round("x", 9).alias("x")).join(F.broadcast(order.select("sample", "t")), "sample")
     ranked = cells.withColumn("rx", average_rank("x", ["feature_id"])).withColumn("rt", average_rank("t", ["feature_id"]))
-    r = ranked.groupBy("feature_id").agg(F.corr("rx", "rt").alias("rho"), F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("u")).filter("u > 2 and n > 2 and rho is not null and not isnan(rho)")
-    df = (F.col("n") - 2).cast("double")
-    r = r.withColumn("p", p_value(F.col("rho") * F.sqrt(df / F.greatest(1 - F.col("rho") ** 2, F.lit(1e-12))), df))
-    return adjusted(r.select("feature_id", "rho", "p"))
+    r = ranked.groupBy("feature_id").agg(F.corr("rx", "rt").alias("rho"), F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("u"), F.count_distinct("t").alias("v")).withColumn("ties", (F.col("u") < F.col("n")) | (F.col("v") < F.col("n"))).filter("u > 2 and v > 2 and n > 2 and rho is not null and not isnan(rho)")
+    r = r.withColumn("p", _rank_p("rho", "n", "ties"))
+    return adjusted(r.select("feature_id", "rho", "p", "ties"))
+
+
+@F.pandas_udf(DoubleType())
+def _rank_p(rho: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series(rank_correlation_p(rho.to_numpy(float), n.to_numpy(), ties.to_numpy(bool)))
 
 
 def by_association(table: DataFrame, n: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import places
+
 #: Ranges that scores are dealt into.
 SLICES = 64
 
@@ -14,29 +16,34 @@ def shuffled(seed: int, *keys: str) -> F.Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def _dealt(labels: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """labels with each row's place_ in its class, by a shuffled order, and the class's size n_. The order is a hash, whose first digits deal a class into slices."""
+    h = labels.withColumn("h_", order)
+    placed = places.numbered(h, keys, [F.col("h_"), F.col("id")], "place_", slice_=F.conv(F.substring("h_", 1, 2), 16, 10).cast("int"))
+    sizes = labels.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.count(F.lit(1)).alias("n_"))  # a row a class
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return placed.join(F.broadcast(sizes), same)
+
+
 def folds(labels: DataFrame, k: int, seed: int = 123) -> DataFrame:
     """(id, y, fold): each class dealt in turn."""
-    place = F.row_number().over(Window.partitionBy("y").orderBy(shuffled(seed, "id"), "id"))
-    return labels.select("id", "y", ((place - 1) % k + 1).alias("fold"))
+    return _dealt(labels.select("id", "y"), ["y"], shuffled(seed, "id")).select("id", "y", ((F.col("place_") - 1) % k + 1).alias("fold"))
 
 
 def train_test(labels: DataFrame, share: float = 0.7, seed: int = 123, min_train: int = 1, min_test: int = 1) -> DataFrame:
     """(id, y, part): ceil(n * share) of each class train, at least min_train, leaving min_test."""
-    own = Window.partitionBy("y")
-    n = F.count(F.lit(1)).over(own)
-    want = F.greatest(F.lit(min_train), F.least(n - min_test, F.ceil(n * F.lit(share))))
-    place = F.row_number().over(own.orderBy(shuffled(seed, "id"), "id"))
-    return labels.select("id", "y", F.when(place <= want, "train").otherwise("test").alias("part"))
+    want = F.greatest(F.lit(min_train), F.least(F.col("n_") - min_test, F.ceil(F.col("n_") * F.lit(share))))
+    return _dealt(labels.select("id", "y"), ["y"], shuffled(seed, "id")).select("id", "y", F.when(F.col("place_") <= want, "train").otherwise("test").alias("part"))
 
 
 def split_plan(labels: DataFrame, repeats: int, share: float = 0.8, seed: int = 123) -> DataFrame:
     """train_test of each repeat, seeded one further each time."""
     each = labels.select("id", "y", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    own = Window.partitionBy("repeat", "y")
-    n = F.count(F.lit(1)).over(own)
     key = F.md5(F.concat_ws("|", (F.col("repeat") + (seed - 1)).cast("string"), F.col("id").cast("string")))
-    place = F.row_number().over(own.orderBy(key, "id"))
-    return each.select("repeat", "id", "y", F.when(place <= F.least(n - 1, F.ceil(n * F.lit(share))), "train").otherwise("test").alias("part"))
+    dealt = _dealt(each, ["repeat", "y"], key)
+    return dealt.select("repeat", "id", "y", F.when(F.col("place_") <= F.least(F.col("n_") - 1, F.ceil(F.col("n_") * F.lit(share))), "train").otherwise("test").alias("part"))
 
 
 def confusion(pred: DataFrame) -> DataFrame:

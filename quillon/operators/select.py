@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels
-from quillon.operators.matrix import sample_rows, vectors
+from quillon.operators import policy
+from quillon.operators.matrix import sample_rows, vectors, z_scores
 from quillon.operators.resample import split_plan
 
 #: Parts that a repeat's features are first ranked in.
@@ -24,12 +25,13 @@ BLOCK = 50
 WEIGHTS = {"top20": 0.35, "top50": 0.25, "l1": 0.30, "gini": 0.10}
 
 
-def plan_of(samples: DataFrame, repeats: int, share: float, seed: int) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
-    """(samples by name, class of each, classes, repeats by samples: trained on)."""
+def plan_of(samples: DataFrame, repeats: int, share: float, seed: int, exploratory: bool = False) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """(samples by name, class of each, classes, repeats by samples: trained on), if policy lets forests and regressions be fitted."""
+    labels = samples.select(F.col("grp").alias("y"))
+    for analysis in ("forest", "sparse"):
+        policy.demanded(labels, analysis, exploratory=exploratory)
     rows = sorted(sample_rows(samples), key=lambda r: r.sample)
     classes = sorted({r.grp for r in rows})
-    if len(classes) < 2:
-        raise ValueError("selection needs two groups")
     names = [r.sample for r in rows]
     train = np.zeros((repeats, len(rows)), bool)
     at = {n: i for i, n in enumerate(names)}
@@ -64,9 +66,12 @@ def candidates(filtered: DataFrame, train: np.ndarray, top_var: int) -> DataFram
     return rows.withColumn("n", place).filter(F.col("n") <= top_var).select("repeat", "feature_id", "v")
 
 
-def fits(filtered: DataFrame, samples: DataFrame, repeats: int = 50, share: float = 0.8, top_var: int = 200, trees: int = 500, seed: int = 123, folds: int = 5) -> DataFrame:
-    """(repeat, feature_id, gini, gini_rank, l1, forest_accuracy, l1_accuracy) of every candidate. The penalty is chosen by so many folds, or as many as the smallest class has training samples."""
-    _, y, classes, train = plan_of(samples, repeats, share, seed)
+def fits(filtered: DataFrame, samples: DataFrame, repeats: int = 50, share: float = 0.8, top_var: int = 200, trees: int = 500, seed: int = 123, folds: object = "Auto", exploratory: bool = False) -> DataFrame:
+    """(repeat, feature_id, gini, gini_rank, l1, forest_accuracy, l1_accuracy) of every candidate. The penalty is chosen by five folds, or as many as asked, or as the smallest class has training samples; fewer than four are refused. Samples without a group take no part."""
+    samples = samples.filter("grp is not null")
+    filtered = filtered.join(F.broadcast(samples.select("sample")), "sample", "left_semi")
+    _, y, classes, train = plan_of(samples, repeats, share, seed, exploratory)
+    k = policy.inner_folds(int(min(np.bincount(y[t], minlength=len(classes)).min() for t in train)), folds)
     blocks = -(-trees // BLOCK)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +92,6 @@ def fits(filtered: DataFrame, samples: DataFrame, repeats: int = 50, share: floa
             scale = x[tr].std(0)
             z = (x - x[tr].mean(0)) / np.where(scale > 0, scale, 1)
             fold = np.zeros(len(y), int)
-            k = max(2, min(folds, np.bincount(y[tr], minlength=len(classes)).min()))
             for c in range(len(classes)):
                 own = np.flatnonzero((y == c) & tr)
                 fold[own] = np.arange(len(own)) % k
@@ -142,14 +146,26 @@ def ranked(s: DataFrame, score: str, n: int = 50) -> DataFrame:
 
 def union_of(lists: list[tuple[str, DataFrame]], n: int = 50) -> DataFrame:
     """(feature_id, source): lists in order, each feature where it comes first."""
+    return placed_union(lists, n).drop("place")
+
+
+def placed_union(lists: list[tuple[str, DataFrame]], n: int = 50) -> DataFrame:
+    """union_of with each feature's place."""
     if not lists:
         raise ValueError("no selected features")
     every = None
     for i, (name, df) in enumerate(lists):
         own = df.select("feature_id", "rank", F.lit(i).alias("i"), F.lit(name).alias("source"))
         every = own if every is None else every.unionByName(own)
+    return _first_places(every, n)
+
+
+def _first_places(every: DataFrame, n: int) -> DataFrame:
+    """(feature_id, source, place): the n features that come first in the lists, each where it comes first."""
     first = every.groupBy("feature_id").agg(F.min(F.struct("i", "rank", "source")).alias("m"))
-    return first.orderBy("m.i", "m.rank").limit(n).select("feature_id", F.col("m.source").alias("source"))
+    best = first.orderBy("m.i", "m.rank", "feature_id").limit(n)
+    place = F.row_number().over(Window.orderBy("m.i", "m.rank", "feature_id"))  # of n rows
+    return best.select("feature_id", F.col("m.source").alias("source"), place.alias("place"))
 
 
 def training_plan(samples: DataFrame, repeats: int, share: float = 0.8, seed: int = 123) -> DataFrame:
@@ -179,3 +195,27 @@ def with_source(summary: DataFrame, forest: DataFrame, regression: DataFrame) ->
 def coefficient_sums(coefficients: DataFrame) -> DataFrame:
     """(feature_id, total, classes) of (class, feature_id, coefficient): sums of sizes, and the classes where it isn't 0."""
     return coefficients.groupBy("feature_id").agg(F.sum(F.abs("coefficient")).alias("total"), F.count_if(F.col("coefficient") != 0).alias("classes")).filter("classes > 0")
+
+
+def by_importance(table: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """The n rows, or all, of the largest column first, ties by feature_id, with their rank from 1."""
+    from quillon.operators import places
+
+    if n is None:
+        return places.numbered(table, [], [-F.round(column, 9), F.col("feature_id")], "rank")
+    best = table.orderBy(F.desc(F.round(column, 9)), "feature_id").limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round(column, 9)), "feature_id")).cast("long"))  # of n rows
+
+
+def selected(p: DataFrame, lists: list[tuple[str, DataFrame]], n: int = 50) -> DataFrame:
+    """The cells of a prepared matrix of the features that lists select (placed_union), with place and source; two features at least must be there."""
+    chosen = placed_union(lists, n)
+    out = p.join(F.broadcast(chosen), "feature_id")  # n rows
+    if out.select("feature_id").distinct().limit(2).count() < 2:
+        raise ValueError("two selected features are needed in the matrix")
+    return out
+
+
+def selected_scores(p: DataFrame, lists: list[tuple[str, DataFrame]], n: int = 50) -> DataFrame:
+    """selected with z, the cells' scores, as a heatmap of the selected features shows them."""
+    return z_scores(selected(p, lists, n))

@@ -34,6 +34,12 @@ def check_groups(sizes: dict[str, int], most: int | None = None) -> None:
         raise ValueError(f"At most {most} groups can be drawn")
 
 
+def compared(sets: DataFrame, groups: list[str], most: int | None = None) -> DataFrame:
+    """intersections of sets that a comparison can use."""
+    check_groups({r.grp: r.n for r in sets.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}, most)  # a row a group
+    return intersections(sets, groups)
+
+
 def annotated(sets: DataFrame, annotations: DataFrame) -> DataFrame:
     return sets.select("grp", F.col("feature_id").alias("accession")).join(annotations, "accession", "left")
 
@@ -51,7 +57,9 @@ def tm_category(column: str) -> F.Column:
 
 
 def tm_proportions(long: DataFrame) -> DataFrame:
-    """Every category in every group, 0 where none."""
+    """Every category in every group, 0 where none. Proteins whose annotation_status says that no entry was found don't count."""
+    if "annotation_status" in long.columns:
+        long = long.filter(~F.coalesce(F.col("annotation_status") == "not_found_in_uniprot", F.lit(False)))
     n = long.filter("tm_helices is not null").groupBy("grp").agg(*[F.count_if(tm_category("tm_helices") == k).alias(k) for k in ("0", "1", "2", ">=3")])
     flat = n.unpivot("grp", ["0", "1", "2", ">=3"], "tm_category", "protein_count")
     total = F.sum("protein_count").over(Window.partitionBy("grp"))

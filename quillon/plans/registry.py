@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text
 from quillon.operators import differential as diff
+from quillon.operators import fitted, policy
 from quillon.operators import matrix as mx
 from quillon.operators import profile as pf
 from quillon.operators import reduce as rd
@@ -82,16 +83,16 @@ def zero_as_missing(s, d):
     sup = bridge.table(s, d, "supplier").select("s_suppkey", "s_nationkey")
     nation = bridge.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("sample"))
     v = F.sum(F.when(F.col("l_discount") == 0, F.lit(0)).otherwise(F.col("l_extendedprice").cast("decimal(18,2)")))
-    z = lines.join(sup, lines.l_suppkey == sup.s_suppkey).groupBy("l_partkey", "s_nationkey").agg(v.alias("v")).join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-    return z.groupBy("sample").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("v") == 0).alias("raw_zeros"), F.count(F.nullif("v", F.lit(0))).alias("available"))
+    z = lines.join(sup, lines.l_suppkey == sup.s_suppkey).groupBy("l_partkey", "s_nationkey").agg(v.alias("raw_value")).join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    cells = z.select(F.col("l_partkey").alias("feature_id"), "sample", "raw_value", vendor.without_zeros(F.col("raw_value"), vendor.ZeroMode.MISSING).alias("value"), F.lit(False).alias("is_explicit_missing"))
+    return vendor.counters(cells, "sample").select("sample", "cells", "raw_zeros", "available")
 
 
 @query(DENSE_SQL + " select count(distinct feature_id) as features, count(distinct sample) as samples, count(distinct grp) as groups, count(*) as cells, count(value) as available, count(*) - count(value) as missing, count(*) filter (where value = 0) as zeros from d")
 def input_summary(s, d):
-    per = dense(s, d).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("v"), F.count_if(F.col("value") == 0).alias("z"))
-    own = bridge.samples(s, d).agg(F.count_distinct("sample").alias("samples"), F.count_distinct("grp").alias("groups"))
-    total = per.agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("cells"), F.sum("v").alias("available"), F.sum(F.col("n") - F.col("v")).alias("missing"), F.sum("z").alias("zeros"))
-    return total.join(F.broadcast(own)).select("features", "samples", "groups", "cells", "available", "missing", "zeros")
+    cells = dense(s, d).select("feature_id", "sample", F.col("value").alias("raw_value"), "value", F.lit(False).alias("is_explicit_missing"))
+    groups = bridge.samples(s, d).agg(F.count_distinct("grp").alias("groups"))
+    return vendor.counters(cells).join(F.broadcast(groups)).select("features", "samples", "groups", "cells", "available", "missing", F.col("raw_zeros").alias("zeros"))
 
 
 @query(prepared_sql(0.3) + " select feature_id, sample, round(x, 6) as x from p")
@@ -218,7 +219,7 @@ def set_membership(s, d):
 
 @query(_SETS + ", c as (select feature_id, " + " || ".join(f"cast({_FLAG.format(g=g)} as varchar)" for g in GROUPS) + " as combo from g group by feature_id) select combo, count(*) as proteins from c group by combo")
 def set_intersections(s, d):
-    return st.intersections(sets(s, d), GROUPS)
+    return st.compared(sets(s, d), GROUPS)
 
 
 _ANN = _SETS + ", a as (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as accession, cast(p_size as integer) as length, p_retailprice as mw, p_type as subcellular_class, cast(p_size % 5 as integer) as tm_helices from part where p_partkey % 10 <> 0), l as (select g.grp, g.feature_id as accession, a.* exclude (accession) from g left join a on a.accession = g.feature_id)"
@@ -317,7 +318,7 @@ def short_sample_names(s, d):
 
 @query("select l_returnflag, count(*) as rows from lineitem where coalesce(trim(l_returnflag), '') not in ('R', '+', 'TRUE', 'True', 'true', '1') group by all")
 def contaminant_filter(s, d):
-    lines = bridge.table(s, d, "lineitem").filter(F.col("l_returnflag") != "R").filter(vendor.unmarked("l_returnflag"))
+    lines = bridge.table(s, d, "lineitem").filter(vendor.unmarked("l_returnflag", ("R", *vendor._YES)))
     return lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -456,8 +457,13 @@ def pseudotime_spearman(s, d):
 
 
 def _stability(s, d, repeats=50):
+    """Five samples a group are enough for an exploratory selection; with fewer there are no rows."""
     f = mx.filtered(dense(s, d), 0.5)
-    return sl.stability(sl.fits(f, bridge.samples(s, d), repeats), f, repeats)
+    try:
+        fits = sl.fits(f, bridge.samples(s, d), repeats, exploratory=True)
+    except policy.PolicyError:
+        fits = s.createDataFrame([], "repeat int, feature_id string, gini double, gini_rank long, l1 double, forest_accuracy double, l1_accuracy double")
+    return sl.stability(fits, f, repeats)
 
 
 @query()
@@ -604,3 +610,219 @@ select feature_id, rho from o order by round(1 - abs(rho), 1), abs(rho) desc, fe
 def association_order(s, d):
     """The features most associated with a given order, by a stand-in q that both engines can state."""
     return rd.by_association(order_spearman(s, d).withColumn("q", F.round(1 - F.abs("rho"), 1)), 100).select("feature_id", "rho")
+
+
+@query(DENSE_SQL + " select feature_id, sample, value is null as is_missing, count(value) over (partition by feature_id) as valid from d")
+def missing_cells(s, d):
+    return pf.missing_cells(dense(s, d))
+
+
+@query(DENSE_SQL + " select feature_id, " + _QC.format(n="total_samples", q="quantified_samples", m="missing_samples") + ", " + ", ".join(f"""count(value) filter (where grp = '{g}') as "{g.replace(' ', '.')}_Quantified_N", count(*) filter (where grp = '{g}') as "{g.replace(' ', '.')}_Total_N", round(count(value) filter (where grp = '{g}') * 100.0 / nullif(count(*) filter (where grp = '{g}'), 0), 6) as "{g.replace(' ', '.')}_Quantified_Percent" """ for g in GROUPS) + " from d group by feature_id")
+def qc_protein_wide(s, d):
+    """A row a protein, with the counts and percentage of each group in columns."""
+    return pf.qc_features_wide(dense(s, d), GROUPS)
+
+
+def vectors_of(s, d):
+    """(id, y, features) of the embeddings, in two classes."""
+    e = bridge.table(s, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("string").alias("y"), fitted.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+
+
+def vector_places(s, d):
+    """(feature_id, i): names of the embeddings' dimensions."""
+    one = bridge.table(s, d, "embeddings").agg(F.max(F.size("embedding")).alias("n")).filter("n > 0")
+    return one.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("i")).select(F.concat(F.lit("E"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("feature_id"), "i")
+
+
+@query(f"""with {SAMPLES_SQL}, c as (select 'samples' as labels, grp as y, count(*) as n from samples group by all union all select 'vectors', cast(label % 2 as varchar), count(*) from embeddings group by all),
+t as (select labels, count(*) as classes, min(n) as smallest_n, cast(sum(n) as bigint) as total from c group by labels),
+r as (select *, least(5, greatest(smallest_n, case when analysis = 'forest' then 2 else 0 end)) as k, case when exploratory then small else 6 end as need, case when analysis = 'forest' then 2 else 4 end as few
+  from t, (values ('forest', 2), ('sparse', 5)) a(analysis, small), (values (false), (true)) e(exploratory)),
+o as (select *, classes >= 2 and smallest_n >= need and k >= few as accepted from r)
+select labels, analysis, exploratory, classes, smallest_n, cast(k as integer) as folds, not exploratory and total // k >= 3 as grouped, accepted and not exploratory and smallest_n >= 8 as holds_out, accepted from o""")
+def selection_policy(s, d):
+    """What is decided of the samples and of the embeddings before a fit."""
+    every = None
+    for name, labels in (("samples", bridge.samples(s, d).select(F.col("grp").alias("y"))), ("vectors", vectors_of(s, d).select("y"))):
+        for analysis in ("forest", "sparse"):
+            for exploratory in (False, True):
+                row = policy.decision(labels, analysis, exploratory=exploratory).select(F.lit(name).alias("labels"), "analysis", F.lit(exploratory).alias("exploratory"), "classes", "smallest_n", "folds", "grouped", "holds_out", "accepted")
+                every = row if every is None else every.unionByName(row)
+    return every
+
+
+def _shown(pred, classes):
+    p = [F.round(F.col("probabilities")[i], 6).alias(f"p_{c.lower().replace(' ', '_')}") for i, c in enumerate(classes)]
+    return pred.select("id", "part", "fold", "actual", "predicted", *p)
+
+
+def _or_none(s, make, schema):
+    """What a policy refuses has no rows."""
+    try:
+        return make()
+    except policy.PolicyError:
+        return s.createDataFrame([], schema)
+
+
+_PREDICTED = "id {0}, part string, fold int, actual string, predicted string, probabilities array<double>"
+
+
+@query()
+def forest_predictions(s, d):
+    """Out-of-fold predictions of the samples' groups. Five samples a group: exploratory."""
+    p, own = half_prepared(s, d)
+    return _shown(_or_none(s, lambda: fitted.forest_predictions(fitted.frame_of(p, own), exploratory=True), _PREDICTED.format("string")), GROUPS)
+
+
+@query()
+def forest_importance(s, d):
+    """Features by their importance in a forest of all samples."""
+    p, own = half_prepared(s, d)
+    table = _or_none(s, lambda: fitted.forest_importance(fitted.frame_of(p, own), fitted.feature_places(p), exploratory=True), "feature_id string, importance double")
+    return sl.by_importance(table, "importance", 50).select("rank", "feature_id", F.round("importance", 9).alias("importance"))
+
+
+@query()
+def sparse_coefficients(s, d):
+    return fitted.sparse_coefficients(vectors_of(s, d), vector_places(s, d), rule="min").select("feature_id", "class", F.round("coefficient", 6).alias("coefficient"))
+
+
+@query()
+def sparse_scores(s, d):
+    """Features by the sizes of their coefficients."""
+    c = fitted.sparse_coefficients(vectors_of(s, d), vector_places(s, d), rule="min")
+    return sl.by_importance(sl.coefficient_sums(c), "total").select("rank", "feature_id", F.round("total", 6).alias("total"), "classes")
+
+
+@query()
+def sparse_predictions(s, d):
+    """Nested cross-validation and a test part."""
+    return _shown(fitted.sparse_predictions(vectors_of(s, d)), ["0", "1"])
+
+
+_EVAL = """with e as (select vec_id, cast(label % 2 as varchar) as actual, round(abs(cast(embedding[2] as double)) - floor(abs(cast(embedding[2] as double))), 3) as p from embeddings),
+pr as (select *, case when p > 0.5 then '1' else '0' end as predicted from e),
+c as (select distinct actual as class from pr union select distinct predicted from pr),
+m as (select class, count(*) filter (where actual = class and predicted = class) as tp, count(*) filter (where actual <> class and predicted = class) as fp, count(*) filter (where actual <> class and predicted <> class) as tn, count(*) filter (where actual = class and predicted <> class) as fn from c cross join pr group by class),
+r as (select round(tp / nullif(tp + fn, 0), 6) as sensitivity, round(tn / nullif(tn + fp, 0), 6) as specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1 from m),
+b as (select p, count(*) filter (where actual = '1') as y, count(*) filter (where actual <> '1') as q from pr group by p),
+a as (select *, coalesce(sum(q) over (order by p rows between unbounded preceding and 1 preceding), 0) as below from b)
+"""
+
+
+@query(_EVAL + """select 'Accuracy' as "Metric", round(avg(case when actual = predicted then 1.0 else 0 end), 6) as "Value" from pr union all select 'Macro sensitivity', round(avg(sensitivity), 6) from r union all select 'Macro specificity', round(avg(specificity), 6) from r
+union all select 'Macro F1', round(avg(f1), 6) from r union all select 'AUC', round(sum((below + q / 2.0) * y) / cast(sum(y) * sum(q) as double), 6) from a""")
+def prediction_evaluation(s, d):
+    """The summary of predictions, as the fitted models' is made, of a rule's probabilities that both engines can state."""
+    e = bridge.table(s, d, "embeddings")
+    x = F.abs(F.col("embedding")[1].cast("double"))
+    p = F.round(x - F.floor(x), 3)
+    pred = e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("string").alias("actual"), F.array(F.round(1 - p, 3), p).alias("probabilities"))
+    return fitted.evaluation(pred.withColumn("predicted", rs.likeliest(F.col("probabilities"), ["0", "1"])), ["0", "1"])["summary_metrics"]
+
+
+@query(prepared_sql(0.5).replace("with samples", "with recursive samples", 1) + """, o as (select * from samples where sample_ord < 8), n as (select count(*) as n, (count(*) ** 3 - count(*)) / 3 as most from o),
+c as (select feature_id, round(x, 9) as x, sample_ord as t from p join o using (sample)),
+kk as (select feature_id, rank() over (partition by feature_id order by x) as rx, rank() over (partition by feature_id order by t) as rt, count(*) over (partition by feature_id, x) as same from c),
+f as (select feature_id, cast(sum((rx - rt) ** 2) as bigint) as dd, round(corr(rx, rt), 6) as rho from kk group by feature_id having max(same) = 1 and count(*) > 2),
+w(i, mask, dd) as (select 0, 0, 0 union all select i + 1, mask | (1 << j), dd + (i - j) * (i - j) from w, generate_series(0, 7) g(j), n where i < n.n and j < n.n and (mask & (1 << j)) = 0),
+z as (select dd, count(*) as ways from w, n where i = n.n group by dd),
+u as (select dd, sum(ways) over (order by dd desc) / sum(ways) over () as up, sum(ways) over (order by dd) / sum(ways) over () as down from z)
+select f.feature_id, f.rho, round(least(1, 2 * case when f.dd > most / 2 then up else down end), 9) as p from f join u using (dd), n""")
+def order_spearman_exact(s, d):
+    """Features along the first eight samples, where no two values are equal: exact p."""
+    order = bridge.samples(s, d).filter("sample_ord < 8").select("sample", F.col("sample_ord").cast("double").alias("t"))
+    return rd.rank_correlation(prepared(s, d, 0.5), order).filter("not ties").select("feature_id", F.round("rho", 6).alias("rho"), F.round("p", 9).alias("p"))
+
+
+_HEAT = prepared_sql(0.5) + ", v as (select feature_id, round(var_samp(x), 9) as variance from p group by feature_id), b as (select feature_id, row_number() over (order by feature_id) as row_order from (select * from v order by variance desc, feature_id limit 100))"
+
+
+def _heatmap(s, d, **how):
+    p, own = half_prepared(s, d)
+    return rd.heatmap(p, own, **how)
+
+
+@query(_HEAT + " select cast(row_order as integer) as row_order, p.feature_id, p.sample, round(coalesce((x - avg(x) over f) / nullif(stddev_samp(x) over f, 0), 0), 6) as z from p join b using (feature_id) window f as (partition by p.feature_id)")
+def heatmap_values(s, d):
+    return _heatmap(s, d)[0].withColumn("z", F.round("z", 6))
+
+
+@query(_HEAT + " select cast(row_order as integer) as row_order, feature_id from b")
+def heatmap_row_order(s, d):
+    return _heatmap(s, d)[1].drop("kmeans_cluster")
+
+
+@query(f"with {SAMPLES_SQL} select cast(row_number() over (order by sample_ord, sample) as integer) as col_order, sample, grp from samples")
+def heatmap_col_order(s, d):
+    return _heatmap(s, d)[2].drop("kmeans_cluster")
+
+
+@query()
+def heatmap_kmeans_rows(s, d):
+    """Features of the heatmap in the order of their clusters."""
+    return _heatmap(s, d, rows="kmeans")[1]
+
+
+@query()
+def heatmap_kmeans_columns(s, d):
+    """Samples of the heatmap in the order of their clusters."""
+    return _heatmap(s, d, columns="kmeans")[2]
+
+
+def rule_lists(s, d):
+    """Three ranked lists, of 30 features each."""
+    f = rule_fits(s, d).filter("gini_rank <= 30")
+    return [(name, f.filter(F.col("repeat") == i).select("feature_id", F.col("gini_rank").alias("rank"))) for i, name in ((1, "rf"), (2, "l1"), (3, "rfl1"))]
+
+
+@query(prepared_sql(0.5) + ", " + _FITS[len("with ") : _FITS.index(", r as (")] + """, m as (select *, row_number() over (partition by feature_id order by repeat) as n from f where repeat <= 3 and gini_rank <= 30),
+u as (select feature_id, repeat, row_number() over (order by repeat, gini_rank, feature_id) as place from m where n = 1)
+select p.feature_id, p.sample, ['rf', 'l1', 'rfl1'][repeat] as source, cast(place as integer) as place, round(x, 6) as x, round(coalesce((x - avg(x) over w) / nullif(stddev_samp(x) over w, 0), 0), 6) as z from p join u on u.feature_id = p.feature_id and place <= 50 window w as (partition by p.feature_id)""")
+def selected_feature_matrix(s, d):
+    """Values and scores of the features that ranked lists select, in the lists' order."""
+    z = sl.selected_scores(prepared(s, d, 0.5), rule_lists(s, d))
+    return z.select("feature_id", "sample", "source", "place", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
+
+
+@query(_FITS[: _FITS.index(", r as (")] + """, b as (select * from f where gini_rank <= 60) select a.feature_id, round(1.0 / r.gini_rank, 6) as importance, round(1.0 / l.gini_rank, 6) as coefficient, case when r.repeat is not null and l.repeat is not null then 'RF+L1' when r.repeat is not null then 'RF' when l.repeat is not null then 'L1' end as source
+from b a left join b r on r.feature_id = a.feature_id and r.repeat = 2 left join b l on l.feature_id = a.feature_id and l.repeat = 3 where a.repeat = 1""")
+def combined_sources(s, d):
+    """What selected each feature of a combined list."""
+    f = rule_fits(s, d).filter("gini_rank <= 60")
+    of = [f.filter(F.col("repeat") == i) for i in (1, 2, 3)]
+    out = sl.with_source(of[0].select("feature_id"), of[1].select("feature_id", F.col("gini").alias("importance")), of[2].select("feature_id", F.col("gini").alias("coefficient")))
+    return out.select("feature_id", F.round("importance", 6).alias("importance"), F.round("coefficient", 6).alias("coefficient"), "source")
+
+
+@query(_FITS[: _FITS.index(", r as (")] + " select feature_id, round(sum(1.0 / gini_rank), 6) as total, count(*) as classes from f where gini_rank <= 200 and gini_rank % 3 > 0 group by feature_id")
+def coefficient_sums(s, d):
+    """Sizes of coefficients over classes, of coefficients that a rule gives."""
+    sign = F.when(F.col("gini_rank") % 3 == 0, 0).when(F.col("gini_rank") % 3 == 1, 1).otherwise(-1)
+    c = rule_fits(s, d).select("feature_id", F.col("repeat").cast("string").alias("class"), (sign / F.col("gini_rank")).alias("coefficient"))
+    return sl.coefficient_sums(c).withColumn("total", F.round("total", 6))
+
+
+_TIMES = f"with {SAMPLES_SQL}, o as (select sample, grp, 1 + group_ord % 2 as lineage, cast((sample_ord * 7) % 10 as double) as pseudotime from samples)"
+
+
+def rule_pseudotime(s, d):
+    """Pseudotimes that a rule gives."""
+    return bridge.samples(s, d).select("sample", "grp", (1 + F.col("group_ord") % 2).alias("lineage"), ((F.col("sample_ord") * 7) % 10).cast("double").alias("pseudotime"))
+
+
+@query(_TIMES + " select lineage, cast(row_number() over (partition by lineage order by pseudotime, sample) as integer) as place, sample, pseudotime from o")
+def samples_in_pseudotime(s, d):
+    return rd.in_pseudotime(rule_pseudotime(s, d))
+
+
+@query(_TIMES + " select s.sample, cast(s.sample_ord as double) as x, lineage, pseudotime from samples s left join (select * from o where lineage = 1) o using (sample)")
+def coordinates_with_pseudotime(s, d):
+    """Coordinates of all samples with the pseudotimes of one lineage."""
+    return rd.with_pseudotime(bridge.samples(s, d).select("sample", F.col("sample_ord").cast("double").alias("x")), rule_pseudotime(s, d).filter("lineage = 1"))
+
+
+@query(_TIMES + ", m as (select lineage, grp, avg(pseudotime) as t from o group by all) select lineage, string_agg(grp, ' -> ' order by t, grp) as path from m group by lineage")
+def lineage_paths(s, d):
+    return rd.lineage_paths(rule_pseudotime(s, d))

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from quillon.operators.reduce import lineage_paths
 from quillon.plans.registry import QUERIES
-from quillon.sources.sinks import write_manifest, write_table
+from quillon.sources import bridge
+from quillon.sources.sinks import sample_metadata, write_contract, write_lineages, write_manifest, write_table
+
+#: Least share of samples with a value that an analysis keeps features by.
+SHARES = {"correlation_pearson": 0.3, "correlation_spearman": 0.3, "pca_scores": 0.5, "tsne_coordinates": 0.5, "umap_coordinates": 0.5, "heatmap_zscore_topvar": 0.5, "pseudotime": 0.5, "rf_stability": 0.5, "l1_stability": 0.5, "combined_score": 0.5}
 
 
 def run(spark: SparkSession, name: str | list[str], sf_dir: str, out: str, fmt: str = "parquet", note: str = "", export: bool = True) -> dict:
@@ -16,12 +21,19 @@ def run(spark: SparkSession, name: str | list[str], sf_dir: str, out: str, fmt:
             raise KeyError(f"no analysis {n}")
     title, done = "+".join(names), []
     place, parameters = f"{out}/{title}_manifest", {"input": sf_dir, "format": fmt}
+    samples = None
+    how = {"transform": "log2(x + 1)", "imputation": "median of the feature", "least_share_of_values": {n: SHARES[n] for n in names if n in SHARES}}
     try:
+        samples = bridge.samples(spark, sf_dir)
         for n in names:
             df = QUERIES[n](spark, sf_dir)
             if export:
                 done.append(write_table(df, f"{out}/{n}", fmt))
+                if n == "pseudotime":
+                    done.append(write_lineages(spark, out, lineage_paths(df)))
+        if export:
+            done.append(write_contract(sample_metadata(samples), out, "sample_metadata"))
     except Exception as e:
-        write_manifest(spark, place, title, parameters | {"status": "failed"}, done, f"{note} {type(e).__name__}: {e}".strip())
+        write_manifest(spark, place, title, parameters | {"status": "failed"}, done, f"{note} {type(e).__name__}: {e}".strip(), samples, how)
         raise
-    return write_manifest(spark, place, title, parameters | {"status": "finished"}, done, note)
+    return write_manifest(spark, place, title, parameters | {"status": "finished"}, done, note, samples, how)

@@ -6,6 +6,7 @@ A format is found by its header. Every format gives (feature_id, sample, grp, va
 from __future__ import annotations
 
 import csv
+import itertools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text
+from quillon.operators import policy
 
 
 class ZeroMode(Enum):
@@ -91,7 +93,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def _suffix(pattern: str, flags: int = 0) -> Callable[[list[str]], list[tuple[str, str]]]:
     """Columns that match, their sample in the pattern's first group."""
     p = re.compile(pattern, flags)
-    return lambda names: [(n, clean_sample(m[1])) for n in names if (m := p.search(n))]
+    return lambda names: _named([(n, clean_sample(m[1])) for n in names if (m := p.search(n))])
+
+
+def _named(columns: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Columns whose sample has no name left, or no other than Area, are numbered."""
+    count = itertools.count(1)
+    return [(n, s if s and s != "Area" else f"Sample{next(count)}") for n, s in columns]
 
 
 def clean_sample(name: str) -> str:
@@ -127,13 +135,13 @@ def _peaks_lfq(names: list[str]) -> list[tuple[str, str]]:
 FORMATS = {
     f.name: f
     for f in (
-        Format("diann", {"accession": ("Protein.Group", "Protein.Ids"), "protein_name": ("Protein.Names",), "gene_name": ("Genes",)}, _suffix(r"^(.+\.(?:d|raw|wiff))$", re.I), None, False),
+        Format("diann", {"accession": ("Protein.Group", "Protein.Ids", "Protein.Names", "Genes"), "protein_name": ("Protein.Names",), "gene_name": ("Genes",)}, _suffix(r"^(.+\.(?:d|raw|wiff))$", re.I), None, False),
         Format("spectronaut", {"accession": ("PG.ProteinAccessions", "PG.ProteinGroups"), "protein_name": ("PG.ProteinNames",), "gene_name": ("PG.Genes",)}, _suffix(r"^(.+\.PG\.Quantity)$", re.I), _suffix(r"^(.+\.PG\.IBAQ)$", re.I), False),
         Format("fragpipe", {"accession": ("Protein ID", "Protein", "Entry Name"), "protein_name": ("Entry Name", "Protein", "Protein ID", "Description"), "gene_name": ("Gene", "Gene Name", "Mapped Genes")}, _suffix(r"^(.+?) MaxLFQ (?:Unique )?Intensity$", re.I), _spectral, True),
-        Format("peaks_db", {"accession": ("Accession", "Protein ID", "Protein Group"), "protein_name": ("Accession", "Description", "Protein ID"), "gene_name": ("Gene", "Gene Name")}, _suffix(r"^Area\s+(.+)$", re.I), _suffix(r"^Coverage\(%\)\s+(.+)$", re.I), True),
+        Format("peaks_db", {"accession": ("Accession", "Protein ID", "Protein Group"), "protein_name": ("Accession", "Description", "Protein ID"), "gene_name": ("Gene", "Gene Name")}, _suffix(r"^Area\s+:?\s*(.+)$", re.I), _suffix(r"^Coverage\(%\)\s+(.+)$", re.I), True),
         Format("peaks_lfq", {"accession": ("Accession", "Protein ID", "Protein Group"), "protein_name": ("Accession", "Description", "Protein ID"), "gene_name": ("Gene", "Gene Name")}, _peaks_lfq, None, True, ident_available=False),
         Format("maxquant", {"accession": ("Protein IDs", "Majority protein IDs"), "protein_name": ("Fasta headers", "Fasta Headers"), "gene_name": ("Gene names", "Gene Names")}, _suffix(r"^LFQ intensity (.+)$", re.I), None, True),
-        Format("proteome_discoverer", {"accession": ("Accession", "Master Protein Accessions"), "protein_name": ("Description", "Protein Description", "Accession"), "gene_name": ("Gene Symbol", "Gene", "Gene ID")}, _suffix(r"^Abundance(?:s)?\s*:?\s+(.+)$", re.I), None, False),
+        Format("proteome_discoverer", {"accession": ("Accession", "Master Protein Accessions"), "protein_name": ("Description", "Protein Description", "Accession"), "gene_name": ("Gene Symbol", "Gene", "Gene ID")}, _suffix(r"^Abundances?\s*:?\s*(?:Ratio\s*:?\s*)?(.*)$", re.I), None, False),
     )
 }
 PEAKS_LFQ_MARKS = ("Sample Profile (Ratio)", "Group Profile (Ratio)", "Significance")
@@ -160,9 +168,14 @@ def detect(names: list[str], family: str) -> tuple[str | None, list[str]]:
 _YES = ("+", "TRUE", "True", "true", "1")
 
 
-def unmarked(column: str) -> Column:
+def unmarked(column: str, marks: tuple[str, ...] = _YES) -> Column:
     """Rows that a column of marks doesn't mark."""
-    return ~F.coalesce(F.trim(F.col(column)), F.lit("")).isin(*_YES)
+    return ~F.coalesce(F.trim(F.col(column)), F.lit("")).isin(*marks)
+
+
+def without_zeros(value: Column, mode: ZeroMode) -> Column:
+    """value, null at 0 where zeros mean missing."""
+    return F.when(value != 0, value) if mode is ZeroMode.MISSING else value
 
 
 def representative(df: DataFrame, key: Column | str, marked: Column, order: str) -> DataFrame:
@@ -191,7 +204,7 @@ def _first(raw: DataFrame, candidates: tuple[str, ...], how: Callable[[Column],
 
 def _numbers(column: str, zero_is_missing: bool) -> Column:
     v = text.number(F.col(text.quoted(column)))
-    return F.when(v != 0, v) if zero_is_missing else v
+    return without_zeros(v, ZeroMode.MISSING if zero_is_missing else ZeroMode.VALUE)
 
 
 def load(spark: SparkSession, path: str, family: str | None = None, fmt: str | None = None, row_id: str = "accession") -> Dataset:
@@ -261,8 +274,7 @@ def load_matrix(spark: SparkSession, path: str, zero_mode: ZeroMode) -> Dataset:
     infinite = F.lower("t").rlike(r"^[+-]?inf(inity)?$")
     value = F.when(F.col("t").rlike(text.NUMBER), F.col("t").try_cast("double"))
     long = long.withColumns({"is_explicit_missing": missing, "infinite_": infinite, "raw_value": value}).withColumn("invalid_", ~missing & ~infinite & F.col("raw_value").isNull())
-    kept = F.when(F.col("raw_value") != 0, F.col("raw_value")) if zero_mode is ZeroMode.MISSING else F.col("raw_value")
-    long = long.withColumn("value", kept)
+    long = long.withColumn("value", without_zeros(F.col("raw_value"), zero_mode))
     ids = long.filter(F.col("sample") == own[0]).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
     faults = ids.filter("feature_id = '' or n > 1").limit(1).collect()
     if faults:
@@ -293,10 +305,10 @@ def load_dataset(spark: SparkSession, path: str, family: str, zero_mode: ZeroMod
     return load(spark, path, family, fmt, row_id)
 
 
-def counters(cells: DataFrame) -> DataFrame:
-    """(cells, features, samples, raw_zeros, explicit_missing, missing, available) of load_matrix's cells."""
+def counters(cells: DataFrame, *by: str) -> DataFrame:
+    """(by, cells, features, samples, raw_zeros, explicit_missing, missing, available) of load_matrix's cells."""
     n = F.count(F.lit(1))
-    return cells.agg(
+    return cells.groupBy(*by).agg(
         n.alias("cells"), F.count_distinct("feature_id").alias("features"), F.count_distinct("sample").alias("samples"), F.count_if(F.col("raw_value") == 0).alias("raw_zeros"),
         F.count_if("is_explicit_missing").alias("explicit_missing"), (n - F.count("value")).alias("missing"), F.count("value").alias("available"),
     )
@@ -344,6 +356,7 @@ def accessions_of(meta: DataFrame, ids: DataFrame) -> DataFrame:
 
 def displayed(cells: DataFrame, names: DataFrame) -> DataFrame:
     """cells of the samples in names (sample, display_name), by their display names."""
+    names = policy.display_names(names)
     return cells.join(F.broadcast(names), "sample").withColumn("sample", F.col("display_name")).drop("display_name")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import kernels, stats, text
 from quillon.operators import differential as diff
 from quillon.operators import matrix as mx
+from quillon.operators import policy as po
 from quillon.operators import profile as pf
 from quillon.operators import reduce as rd
 from quillon.operators import select as sl
@@ -154,7 +155,7 @@ def test_selection_does_the_whole_job(spark, monkeypatch):
     assert len(rows) == 2 * 150
     assert len({r.feature_id for r in rows if r.gini_rank <= 10} & {f"P{i + 1:03d}" for i in range(10)}) >= 6
     default = {k: v.default for k, v in inspect.signature(sl.fits).parameters.items()}
-    assert (default["repeats"], default["top_var"], default["trees"], default["folds"]) == (50, 200, 500, 5)
+    assert (default["repeats"], default["top_var"], default["trees"], default["folds"]) == (50, 200, 500, "Auto")
     asked = []
     monkeypatch.setattr(registry.bridge, "samples", lambda *_: s)
     monkeypatch.setattr(registry.mx, "filtered", lambda *_: f)
@@ -199,26 +200,131 @@ def test_stream_counts(spark, tmp_path):
     assert [(r.sample, r.identified, r.quantified) for r in spark.table("drops").collect()] == [("s", 0, 1)]
 
 
-def test_policies():
-    from quillon.operators import policy as po
+def counts(spark, **n):
+    return spark.createDataFrame([(k,) for k, m in n.items() for _ in range(m)] + [(None,)], "y string")
+
+
+def test_decisions(spark):
+    def decide(analysis, how=None, **n):
+        return po.decision(counts(spark, **n), analysis, **(how or {})).first()
+
+    d = decide("forest", a=8, b=9)
+    assert (d.classes, d.smallest, d.smallest_n, d.folds, d.grouped, d.holds_out, d.accepted, d.reason) == (2, "a", 8, 5, True, True, True, None)
+    d = decide("forest", a=8, b=7)
+    assert d.accepted and not d.holds_out and "b has 7" in d.reason
+    d = decide("forest", {"mode": "train test split"}, a=8, b=7)
+    assert not d.accepted and "8 samples" in d.reason
+    d = decide("forest", {"mode": "Cross-validation only"}, a=99, b=99)
+    assert d.accepted and not d.holds_out and d.reason is None
+    d = decide("forest", a=5, b=6)
+    assert not d.accepted and "6 samples" in d.reason and "a has 5" in d.reason
+    d = decide("forest", {"exploratory": True}, a=2, b=6)
+    assert d.accepted and d.folds == 2 and not d.holds_out and not d.grouped
+    assert not decide("forest", {"exploratory": True}, a=9).accepted
+    assert not decide("sparse", {"exploratory": True}, a=4, b=9).accepted
+    d = decide("sparse", {"exploratory": True}, a=5, b=9)
+    assert d.accepted and d.folds == 5
+    assert decide("sparse", {"folds": "7"}, a=12, b=12).folds == 7
+    assert "folds" in decide("sparse", {"folds": 3}, a=12, b=12).reason
+    assert not po.decision(spark.createDataFrame([], "y string"), "sparse").first().accepted
+    with pytest.raises(po.PolicyError):
+        po.decision(counts(spark, a=9, b=9), "forest", mode="halves")
+    with pytest.raises(po.PolicyError, match="6 samples"):
+        po.demanded(counts(spark, a=5, b=6), "forest")
+
 
-    assert po.auto_integer(" Auto ", 7) == 7 and po.auto_integer("3") == 3 and po.auto_integer(None) is None
-    for bad in ("0", "-1", "x"):
+def test_settings_and_names(spark):
+    assert po.setting(" Auto ", 7) == 7 and po.setting("3") == 3 and po.setting(None) is None and po.setting(4.0) == 4
+    for bad in ("0", "-1", "x", "inf"):
         with pytest.raises(po.PolicyError):
-            po.auto_integer(bad)
-    assert po.l1_folds({"a": 12, "b": 12}) == (5, True) and po.l1_folds({"a": 12, "b": 12}, 7) == (7, True) and po.l1_folds({"a": 4, "b": 5}, small=True) == (4, False)
+            po.setting(bad)
+    assert po.inner_folds(9) == 5 and po.inner_folds(4) == 4
     with pytest.raises(po.PolicyError):
-        po.l1_folds({"a": 3, "b": 9})
-    assert po.training({"a": 8, "b": 9}).split and "b (n=7)" in po.training({"a": 8, "b": 7}).note and not po.training({"a": 99, "b": 99}, "Cross-validation only").split
-    with pytest.raises(po.PolicyError):
-        po.training({"a": 8, "b": 7}, "train test split")
+        po.inner_folds(3)
+    assert po.clusters("9", 4) == 4
+    for bad in (None, 0):
+        with pytest.raises(po.PolicyError):
+            po.clusters(bad, 4)
+    ok = spark.createDataFrame([("s1", "a"), ("s2", "b")], "sample string, display_name string")
+    assert po.display_names(ok) is ok
+    for twice in ("a", "", None):
+        with pytest.raises(po.PolicyError, match="2 samples|no name"):
+            po.display_names(spark.createDataFrame([("s1", twice), ("s2", twice)], "sample string, display_name string"))
+    assert po.slug("Random forest (RF)!") == "random_forest_rf" and po.slug("") == "ml"
+
+
+def test_fits_and_trajectories_ask_the_policy(spark):
+    x, _ = planted(20)
+    groups = ["A"] * 3 + ["B"] * 17
+    q, s = matrix(spark, x, groups)
+    f = mx.filtered(mx.dense(q, s), 0.5)
+    with pytest.raises(po.PolicyError, match="A has 3"):
+        sl.fits(f, s, 2, exploratory=True)
+    q, s = matrix(spark, x, ["A" if i < 5 else "B" for i in range(20)])
     with pytest.raises(po.PolicyError, match="6 samples"):
-        po.check_samples({"a": 5, "b": 6}, "forest")
-    po.check_samples({"a": 5, "b": 6}, "forest", small=True)
-    assert po.sample_name_problem(["a", "b"]) == "" and "twice" in po.sample_name_problem(["a", "a"]) and po.sample_name_problem(["", "a"])
-    assert po.cluster_count("9", 4, "k") == 4 and po.cluster_labels(9, 2) == ["Cluster 1", "Cluster 2"]
-    with pytest.raises(po.PolicyError):
-        po.check_trajectory(10, ["a", "b"], 6, "c")
+        sl.fits(mx.filtered(mx.dense(q, s), 0.5), s, 2)
+    with pytest.raises(po.PolicyError, match="3 training"):
+        sl.fits(mx.filtered(mx.dense(q, s), 0.5), s, 2, share=0.5, exploratory=True)
+    p = mx.prepared(mx.dense(q, s), 0.5)
+    for start, end in (("C", None), ("A", "C")):
+        with pytest.raises(po.PolicyError, match="group C"):
+            rd.pseudotime(p, s, start, end)
+    with pytest.raises(po.PolicyError, match="proteins"):
+        rd.pseudotime(p.filter("feature_id < 'P003'"), s, "A")
+    assert {r.grp for r in rd.pseudotime(p, s, "A", "B").collect()} == {"A", "B"}
+    with pytest.raises(ValueError, match="2 features"):
+        rd.pca(p.filter("feature_id = 'P001'"), s)
+
+
+def test_rank_correlation_p():
+    """Against all orders of few values, and against counted distributions where the series takes over."""
+    from itertools import permutations
+
+    for n in (4, 6):
+        ranks = np.arange(n)
+        sums = np.array([((ranks - np.array(o)) ** 2).sum() for o in permutations(range(n))])
+        assert (np.bincount(sums, minlength=(n**3 - n) // 3 + 1) == stats.squared_differences(n)).all()
+        for d in set(sums):
+            rho = 1 - 6 * d / (n**3 - n)
+            want = min(1, 2 * min((sums >= d).mean(), (sums <= d).mean()))
+            assert stats.rank_correlation_p([rho], [n], [False])[0] == pytest.approx(want)
+    ways = stats.squared_differences(10)
+    upper = np.cumsum(ways[::-1])[::-1] / ways.sum()
+    for d in (0, 60, 164, 166, 250, 330):
+        want = min(1, 2 * (upper[d] if d > 165 else 1 - upper[d + 2]))
+        assert stats.rank_correlation_p([1 - 6 * d / 990], [10], [False])[0] == pytest.approx(want, abs=2e-3)
+    t = stats.rank_correlation_p([0.5, 1.0], [12, 12], [True, True])
+    assert t[0] == pytest.approx(stats.t_two_sided(0.5 * math.sqrt(10 / 0.75), 10)) and t[1] == 0
+
+
+def test_heatmap_orders(spark):
+    x, groups = planted(30)
+    q, s = matrix(spark, x, groups)
+    p = mx.prepared(mx.dense(q, s), 0.5)
+    values, rows, cols = rd.heatmap(p, s, 12, "kmeans", "kmeans", 2, 2)
+    r = rows.orderBy("row_order").collect()
+    assert [x.row_order for x in r] == list(range(1, 13)) and [x.kmeans_cluster for x in r] == sorted(x.kmeans_cluster for x in r)
+    for k in (1, 2):
+        own = [x.feature_id for x in r if x.kmeans_cluster == k]
+        assert own == sorted(own)
+    c = cols.orderBy("col_order").collect()
+    assert {x.sample: x.kmeans_cluster for x in c} == {f"S{j + 1:02d}": 1 if j < 10 else 2 for j in range(20)} and [x.sample for x in c] == [f"S{j + 1:02d}" for j in range(20)]
+    assert values.count() == 12 * 20
+    with pytest.raises(ValueError):
+        rd.heatmap(p.filter("feature_id = 'P001'"), s)
+    with pytest.raises(ValueError):
+        rd.heatmap(p, s, rows="tree")
+
+
+def test_selected_features(spark):
+    x, groups = planted(20)
+    q, s = matrix(spark, x, groups)
+    p = mx.prepared(mx.dense(q, s), 0.5)
+    lists = [("rf", spark.createDataFrame([("P003", 1), ("P001", 2), ("gone", 3)], "feature_id string, rank int")), ("l1", spark.createDataFrame([("P001", 1), ("P009", 2)], "feature_id string, rank int"))]
+    got = {(r.feature_id, r.source, r.place) for r in sl.selected(p, lists).collect()}
+    assert got == {("P003", "rf", 1), ("P001", "rf", 2), ("P009", "l1", 4)}
+    with pytest.raises(ValueError, match="two"):
+        sl.selected(p, [("rf", lists[0][1].filter("rank = 1"))])
 
 
 def test_properties_and_classes(spark):

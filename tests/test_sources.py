@@ -160,3 +160,87 @@ def test_failed_run_leaves_a_manifest(spark, tmp_path):
         run(spark, "qc_sample_summary", "/nowhere", str(tmp_path))
     m = spark.read.text(str(tmp_path / "qc_sample_summary_manifest" / "analysis_manifest.json")).collect()
     assert "failed" in " ".join(r.value for r in m)
+
+
+def test_diann_tables_identified_by_names_or_genes(spark, tmp_path):
+    for column in ("Protein.Names", "Genes"):
+        assert vendor.detect([column, "a.raw"], "dia")[0] == "diann"
+        d = vendor.load(spark, lines(tmp_path, f"{column}.tsv", [column, "a.raw"], ["ONE", "1"], ["TWO", "2"]), "dia")
+        assert {(r.feature_id, r.value) for r in d.cells.collect()} == {("ONE", 1.0), ("TWO", 2.0)}
+
+
+def test_proteome_discoverer_and_area_names(spark, tmp_path):
+    assert vendor.FORMATS["proteome_discoverer"].quantity(["Accession", "Abundance: F1: a", "Abundances: b", "Abundance Ratio: c", "Abundance"]) == [("Abundance: F1: a", "a"), ("Abundances: b", "b"), ("Abundance Ratio: c", "c"), ("Abundance", "Sample1")]
+    assert vendor.FORMATS["peaks_lfq"].quantity(["Area Area", "b Area"])[1] == ("b Area", "b")
+    assert vendor.FORMATS["peaks_db"].quantity(["Area Area", "Area : x"]) == [("Area Area", "Sample1"), ("Area : x", "x")]
+    path = lines(tmp_path, "pd.tsv", ["Accession", "Description", "Abundance: F1: a", "Abundance: F2: b"], ["P1", "one", "0", "2.5"])
+    d = vendor.load(spark, path, "dda", "proteome_discoverer")
+    assert {(r.sample, r.value) for r in d.cells.collect()} == {("a", 0.0), ("b", 2.5)}  # zeros stay
+    assert vendor.detect(["Accession", "Abundance: F1: a"], "dda")[0] is None
+
+
+def test_contracts(spark, tmp_path):
+    df = spark.createDataFrame([("A", 20.5)], "grp string, median_cv double")
+    assert sinks.contracted(df, "cv_values_median").columns == ["Group", "MedianCV"]
+    with pytest.raises(ValueError, match="lacks median_cv; has cv"):
+        sinks.contracted(df.withColumnRenamed("median_cv", "cv"), "cv_values_median")
+    wide = spark.createDataFrame([("P1", 1.0, 2.0)], "feature_id string, `s.1` double, s2 double")
+    assert sinks.contracted(wide, "protein_sample_quantity_matrix", ["s.1", "s2"]).columns == ["ProteinID", "s.1", "s2"]
+    for extra in ([], ["s.1"], ["s.1", "s2", "s3"]):
+        with pytest.raises(ValueError):
+            sinks.contracted(wide, "protein_sample_quantity_matrix", extra)
+    rows = spark.createDataFrame([("a", 1.0, 2.0, "A")], "sample string, tsne1 double, tsne2 double, grp string")
+    assert sinks.contracted(rows, "tSNE_coordinates", perplexity=7, max_iter=1000).first().Perplexity == 7
+    path = sinks.write_contract(df, str(tmp_path), "cv_values_median")
+    assert path.endswith("/cv_values_median.csv") and spark.read.csv(path, header=True).columns == ["Group", "MedianCV"]
+
+
+def test_queries_fit_their_contracts(spark):
+    from quillon.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    for query, file, extra, given in [
+        ("qc_sample_summary", "quantitative_qc_sample_summary", [], {}), ("cv_values", "cv_values", [], {}), ("annotation_coverage", "annotation_mapping_coverage", [], {}), ("tm_category_proportions", "TM_helices_category_proportions", [], {}),
+        ("subcellular_proportions", "Subcellular_class_counts", [], {}), ("rank_abundance_log2", "rank_abundance_data", [], {"transform": "log2"}), ("correlation_group_order", "correlation_long", [], {"method": "pearson"}),
+        ("qc_protein_wide", "quantitative_qc_protein_summary", None, {}), ("annotation_long", "detected_proteins_annotations_long", ["length", "mw", "subcellular_class", "tm_helices"], {}),
+    ]:
+        df = registry.QUERIES[query](spark, sf)
+        extra = [c for c in df.columns if "_Quantified_" in c or "_Total_" in c] if extra is None else extra
+        assert sinks.contracted(df, file, extra, **given).columns
+
+
+def test_manifest_says_groups_versions_and_preparation(spark, tmp_path):
+    from quillon.plans.run import run
+
+    m = run(spark, ["correlation_pearson", "lineage_paths"], "/root/testdata/sf0.001", str(tmp_path))
+    assert {"spark", "pyspark", "python", "numpy", "pandas", "pyarrow"} <= set(m["package_versions"])
+    assert sum(len(g["samples"]) for g in m["grouping"]) == 10 and m["preprocessing"]["least_share_of_values"] == {"correlation_pearson": 0.3}
+    names = spark.read.csv(str(tmp_path / "sample_metadata.csv"), header=True)
+    assert names.columns == ["original_name", "display_name", "group_suffix", "group"] and names.count() == 10
+
+
+def test_first_matches_and_lineages(spark, tmp_path):
+    meta = spark.createDataFrame([("a", "P2", 2), ("a", "P1", 1), ("b", "P3", 3)], "feature_id string, accession string, row_idx long")
+    got = vendor.accessions_of(meta, spark.createDataFrame([("a",), ("b",), ("c",)], "feature_id string")).collect()
+    assert {r.feature_id: r.accession for r in got} == {"a": "P1", "b": "P3", "c": None}
+    path = sinks.write_lineages(spark, str(tmp_path), spark.createDataFrame([(2, "A -> C"), (1, "A -> B")], "lineage int, path string"))
+    assert [r.value for r in spark.read.text(path).collect()] == ["Lineage1: A -> B", "Lineage2: A -> C"]
+
+
+def test_names_shown_must_differ(spark):
+    cells = spark.createDataFrame([("f", "s1", 1.0)], "feature_id string, sample string, value double")
+    with pytest.raises(ValueError):
+        vendor.displayed(cells, spark.createDataFrame([("s1", "x"), ("s2", "x")], "sample string, display_name string"))
+
+
+def test_annotations_that_were_not_found_do_not_count(spark):
+    from quillon.operators import sets as st
+
+    long = spark.createDataFrame([("A", 0, "ok"), ("A", 2, "not_found_in_uniprot"), ("A", 3, None)], "grp string, tm_helices int, annotation_status string")
+    assert {r.tm_category: r.protein_count for r in st.tm_proportions(long).collect()} == {"0": 1, "1": 0, "2": 0, ">=3": 1}
+
+
+def test_safe_names():
+    from quillon.functions.text import safe_name
+
+    assert [safe_name(x) for x in ("MIDDLE EAST", "a_b.c", "1st", "_x", ".2", ".x", "é-1")] == ["MIDDLE.EAST", "a_b.c", "X1st", "X_x", "X.2", ".x", "é.1"]
