@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -26,7 +28,7 @@ VARYING = 2
 
 
 def gram(vec: DataFrame) -> np.ndarray:
-    """Sums over rows of v v^T: a partial sum a task, then element by element."""
+    """Sums over rows of v v^T: a partial sum a task, then row by row of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -35,15 +37,11 @@ def gram(vec: DataFrame) -> np.ndarray:
                 x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "g"])
 
-    cells = vec.select("v").mapInArrow(run, "g array<double>").select(F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    rows = cells.collect()
-    n = int(round(len(rows) ** 0.5))
-    out = np.zeros(n * n)
-    for r in rows:
-        out[r.i] = r.x
-    return out.reshape(n, n)
+    parts = vec.select("v").mapInArrow(run, "i int, g array<double>").select("i", array_to_vector("g").alias("g"))
+    rows = parts.groupBy("i").agg(Summarizer.sum(F.col("g")).alias("g")).orderBy("i").collect()  # a row a sample
+    return np.array([r.g.toArray() for r in rows]).reshape(len(rows), -1)
 
 
 def sample_space(p: DataFrame, samples: DataFrame) -> tuple[list, np.ndarray]:
@@ -114,7 +112,6 @@ def correlation_clusters(corr: DataFrame, k: int = 4) -> DataFrame:
 def _clusters(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """(key, cluster) of rows (key, v) by Spark's K-means, clusters from 1 in the order of their first row's key."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
     v = rows.select(key, array_to_vector("v").alias("features"))
     got = KMeans(k=k, seed=seed).fit(v).transform(v).select(key, F.col("prediction").alias("p_"))

@@ -54,6 +54,7 @@ CONTRACTS: dict[str, dict[str, str]] = {
     "PCA_coordinates": {"Sample": "sample", "PC1": "pc1", "PC2": "pc2", "Group": "grp"},
     "UMAP_coordinates": {"Sample": "sample", "UMAP1": "umap1", "UMAP2": "umap2", "Group": "grp"},
     "tSNE_coordinates": {"Sample": "sample", "tSNE1": "tsne1", "tSNE2": "tsne2", "Group": "grp", "Perplexity": "perplexity", "MaxIter": "max_iter"},
+    "volcano": {c: c.replace(".", "_") for c in ("ProteinID", "MeanA_Log2", "MeanB_Log2", "MeanA_Raw", "MeanB_Raw", "log2FC", "P.Value", "BH.Adjusted.P.Value", "FCMethod", "TestMethod", "PValueMethod", "AdjustedPValueMethod", "SignificanceMetric", "SignificanceValue", "Regulation")},
     "expression_heatmap_values": {"ProteinID": "feature_id", "KmeansCluster": "kmeans_cluster", "HierarchicalCluster": "hierarchical_cluster", "*": "*"},
     "expression_heatmap_row_order": {"RowOrder": "row_order", "ProteinID": "feature_id", "KmeansCluster": "kmeans_cluster", "HierarchicalCluster": "hierarchical_cluster"},
     "expression_heatmap_col_order": {"ColOrder": "col_order", "Sample": "sample", "Group": "grp", "KmeansCluster": "kmeans_cluster", "HierarchicalCluster": "hierarchical_cluster"},

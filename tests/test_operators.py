@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import kernels, stats, text
 from quillon.operators import differential as diff
 from quillon.operators import matrix as mx
+from quillon.operators import places
 from quillon.operators import policy as po
 from quillon.operators import profile as pf
 from quillon.operators import reduce as rd
@@ -276,6 +277,19 @@ def test_fits_and_trajectories_ask_the_policy(spark):
         rd.pca(p.filter("feature_id = 'P001'"), s)
 
 
+def test_adjustment_where_half_of_all_p_are_0(spark):
+    rng = np.random.default_rng(4)
+    p = np.where(rng.random(5000) < 0.5, 0.0, rng.random(5000) ** 3)
+    df = spark.createDataFrame([(f"P{i:05d}", float(v)) for i, v in enumerate(p)] + [("none", None)], "feature_id string, p double").repartition(3)
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    want = {f"P{i:05d}": min(1.0, v) for i, v in zip(order.tolist(), q.tolist(), strict=True)}
+    got = {r.feature_id: r.q for r in diff.adjusted(df).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+    s, _ = places.sliced(df.filter("p is not null"), [], [F.col("p"), F.col("feature_id")])
+    assert s.groupBy("slice_").count().agg(F.max("count")).first()[0] < 5000 * 0.06
+
+
 def test_rank_correlation_p():
     """Against all orders of few values, and against counted distributions where the series takes over."""
     from itertools import permutations
@@ -365,3 +379,24 @@ def test_trajectory_tables(spark):
     assert rd.lineage_paths(order).first().path == "G1 -> G2"
     xy = spark.createDataFrame([("a", 1.0), ("z", 2.0)], "sample string, umap1 double")
     assert {r.sample: r.pseudotime for r in rd.with_pseudotime(xy, order).collect()} == {"a": 0.5, "z": None}
+
+
+def test_ranked_lists(spark):
+    """Only features that some component selects, by score, then by frequencies and importance, then by name."""
+    cols = "feature_id string, top20_frequency double, top50_frequency double, l1_frequency double, mean_gini double, score double"
+    rows = [("P5", 0.0, 0.0, 0.0, 0.0, 9.0), ("P4", 0.0, 0.0, 0.2, 0.0, 0.5), ("P3", 0.1, 0.2, 0.0, 0.3, 0.5), ("P2", 0.1, 0.2, 0.0, 0.4, 0.5), ("P1", 0.1, 0.3, 0.0, 0.1, 0.5), ("P0", 0.2, 0.0, 0.0, 0.0, 0.5), ("P6", 0.0, 0.0, 0.2, 0.0, 0.5), ("P7", 0.0, 0.1, 0.0, 0.0, 0.7)]
+    s = spark.createDataFrame(rows, cols)
+    got = sl.ranked(s, "score").orderBy("rank").collect()
+    assert [r.feature_id for r in got] == ["P7", "P0", "P1", "P2", "P3", "P4", "P6"] and [r["rank"] for r in got] == list(range(1, 8))
+    assert [r.feature_id for r in sl.ranked(s, "l1_frequency", 2).orderBy("rank").collect()] == ["P4", "P6"]
+
+
+def test_perplexity():
+    assert [kernels.perplexity_for(n, None) for n in (4, 24, 200)] == [1, 7, 30] and kernels.perplexity_for(24, 5) == 5 and kernels.perplexity_for(24, 50) == 7
+
+
+def test_coordinates_have_their_groups(spark):
+    x, groups = planted(30)
+    q, s = matrix(spark, x, groups)
+    got = rd.pca(mx.prepared(mx.dense(q, s), 0.5), s)
+    assert got.columns == ["sample", "grp", "pc1", "pc2"] and {r.sample: r.grp for r in got.collect()} == {f"S{j + 1:02d}": g for j, g in enumerate(groups)}

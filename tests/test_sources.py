@@ -244,3 +244,19 @@ def test_safe_names():
     from quillon.functions.text import safe_name
 
     assert [safe_name(x) for x in ("MIDDLE EAST", "a_b.c", "1st", "_x", ".2", ".x", "é-1")] == ["MIDDLE.EAST", "a_b.c", "X1st", "X_x", "X.2", ".x", "é.1"]
+
+
+def test_csv_files_have_their_names_and_columns(spark, tmp_path):
+    from quillon.plans.run import run
+
+    m = run(spark, ["sample_counts", "volcano_table", "set_membership", "cv_median"], "/root/testdata/sf0.01", str(tmp_path), "csv")
+    assert [p.rsplit("/", 1)[1] for p in m["outputs"]] == ["identified_protein_counts.csv", "volcano_EUROPE_vs_ASIA.csv", "group_detected_membership.csv", "cv_values_median.csv", "sample_metadata.csv"]
+    read = lambda i: spark.read.csv(m["outputs"][i], header=True)
+    assert read(0).columns == ["Sample", "Identified_Protein_Count", "Quantified_Protein_Count"] and "BH.Adjusted.P.Value" in read(1).columns
+    assert read(2).columns == ["ProteinID", "africa", "america", "asia", "europe", "middle_east"] and read(3).columns == ["Group", "MedianCV"]
+
+
+def test_quantities_and_evidence_name_the_same_samples(spark, tmp_path):
+    head = ["PG.ProteinAccessions", "a.PG.Quantity", "b.PG.Quantity", "a.PG.IBAQ"]
+    with pytest.raises(vendor.MatrixError, match="different samples"):
+        vendor.load(spark, lines(tmp_path, "s.tsv", head, ["P1", "1", "2", "3"]), "dia", "spectronaut")
