@@ -624,9 +624,10 @@ def qc_protein_wide(s, d):
 
 
 def vectors_of(s, d):
-    """(id, y, features) of the embeddings, in two classes."""
+    """(id, y, features) of the embeddings, in two classes that three of the dimensions decide."""
     e = bridge.table(s, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("string").alias("y"), fitted.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    x = [F.col("embedding")[i].cast("double") for i in range(3)]
+    return e.select(F.col("vec_id").alias("id"), F.when(x[0] + x[1] - x[2] > 0, "1").otherwise("0").alias("y"), fitted.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
 def vector_places(s, d):
@@ -635,7 +636,7 @@ def vector_places(s, d):
     return one.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("i")).select(F.concat(F.lit("E"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("feature_id"), "i")
 
 
-@query(f"""with {SAMPLES_SQL}, c as (select 'samples' as labels, grp as y, count(*) as n from samples group by all union all select 'vectors', cast(label % 2 as varchar), count(*) from embeddings group by all),
+@query(f"""with {SAMPLES_SQL}, c as (select 'samples' as labels, grp as y, count(*) as n from samples group by all union all select 'vectors', case when cast(embedding[1] as double) + cast(embedding[2] as double) - cast(embedding[3] as double) > 0 then '1' else '0' end, count(*) from embeddings group by all),
 t as (select labels, count(*) as classes, min(n) as smallest_n, cast(sum(n) as bigint) as total from c group by labels),
 r as (select *, least(5, greatest(smallest_n, case when analysis = 'forest' then 2 else 0 end)) as k, case when exploratory then small else 6 end as need, case when analysis = 'forest' then 2 else 4 end as few
   from t, (values ('forest', 2), ('sparse', 5)) a(analysis, small), (values (false), (true)) e(exploratory)),
