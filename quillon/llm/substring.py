@@ -6,7 +6,7 @@ Super-k-mers that are equal inside one map step are combined before the shuffle:
 
 A minimiser that many contexts share would make its bucket grow with the corpus. Minimisers that are frequent in a sample of SAMPLE documents (those whose texts hash lowest) are heavy: their windows travel one by one, dealt by the window's own hash. All windows with one minimiser are treated alike, so the sample decides about the load alone and never about the result. A text of any length is read in pieces; what one map step holds is bounded but for the longest text.
 
-Defined cases: null and empty texts have no words. Rows are ordered by doc_id (null last), rows with the same id by a hash of their text; rows equal in both are one document and get the same result. Documents shorter than a window keep everything. Other columns are ignored.
+Defined cases: null and empty texts have no words. Rows are ordered by doc_id (null last), rows with the same id by a 64-bit hash of their text, of which it is made sure that it tells them apart; rows equal in id and text are one document and get the same result. Documents shorter than a window keep everything. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import _WS, CHUNK_BYTES, cut_lineage, map_arrow, map_batches, mix64, parallelism, powers, rolling, table, text_chunks, within, words
@@ -29,6 +29,8 @@ SEED = 3
 STEP_WORDS = 2_000_000
 #: Documents that heavy minimisers are sought in, and occurrences there that are too few to count.
 SAMPLE, RARE = 2000, 20
+#: Draws of tags before texts of one id are given up.
+TAGS = 8
 #: Buckets for each shuffle partition; a reducer holds one bucket at a time.
 BUCKETS = 4
 
@@ -93,7 +95,7 @@ class Blob:
         """(doc, tag, start, windows, word hashes)."""
         raw = zstandard.ZstdDecompressor().decompress(blob)
         k, at, place = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-        for kind in (np.int64, np.int32, np.int32, np.int32):
+        for kind in (np.int64, np.int64, np.int32, np.int32):
             place.append(np.frombuffer(raw, kind, k, at))
             at += np.dtype(kind).itemsize * k
         hashes = []
@@ -138,8 +140,8 @@ def heavy_minimisers(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
 
 def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """(bucket, blob) of super-k-mers, and with a null blob (doc, tag, start, n) of runs that the map step found repeated."""
-    schema = "bucket int, blob binary, doc long, tag int, start int, n int"
-    arrow = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
+    schema = "bucket int, blob binary, doc long, tag long, start int, n int"
+    arrow = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_minimisers(docs, width, buckets))
 
@@ -181,7 +183,7 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         for a in range(0, len(blobs), 64):
             some = blobs[a : a + 64]
             no = pa.nulls(len(some), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[a : a + len(some)]]), pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()), no, no, no], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[a : a + len(some)]]), pa.array(some, pa.binary()), *[pa.nulls(len(some), pa.int64())] * 2, no, no], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, docs_, tags, total = [], [], [], 0
@@ -242,7 +244,7 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
     """(doc, tag, start, n): windows start to start + n - 1 of the document occur earlier."""
     parts = parallelism(docs.sparkSession)
     packed = _packed(docs, width, parts * BUCKETS)
-    names, kinds = ["doc", "tag", "start", "n"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names, kinds = ["doc", "tag", "start", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def out(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -263,7 +265,7 @@ def repeated_runs(docs: DataFrame, width: int) -> DataFrame:
         if blobs:
             yield out(bucket_repeats(blobs, width))
 
-    return map_arrow(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), run, "doc long, tag int, start int, n int")
+    return map_arrow(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), run, "doc long, tag long, start int, n int")
 
 
 def _uncovered(col: pa.Array, runs: pa.Array, width: int) -> Iterator[tuple[int, int, bytes]]:
@@ -290,9 +292,22 @@ def _uncovered(col: pa.Array, runs: pa.Array, width: int) -> Iterator[tuple[int,
             yield int(first[row + 1] - first[row]), int(removed[first[row + 1]] - removed[first[row]]), text[a:b][keep[a:b]].tobytes().rstrip(b" ")
 
 
+def _tag(text: Column, unnamed: Column, seed: int) -> Column:
+    """64 bits that tell texts of one id apart."""
+    return F.xxhash64(text, unnamed, F.lit(seed))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    """(doc, tag, text, doc_id): doc and tag are one row's, or those of rows equal in id and text. Where ids repeat or are null, texts that share a tag are looked for; if there are any, the tags are drawn anew."""
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.coalesce(id_, F.lit((1 << 63) - 1)).alias("doc"), text.alias("text"), id_.alias("doc_id"))
+    again = named.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    for seed in range(TAGS):
+        keyed = named.select("doc", _tag(F.col("text"), F.col("doc_id").isNull(), seed).alias("tag"), "text", "doc_id")
+        whole = F.md5(F.col("text").cast("binary"))
+        if not again or not keyed.groupBy("doc", "tag").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).filter("low <> high").limit(1).count():
+            return keyed
+    raise ValueError(f"{TAGS} draws of 64 bits don't tell the texts of an id apart")
 
 
 def _with_runs(docs: DataFrame, width: int) -> DataFrame:

@@ -53,7 +53,7 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
     for i, t in texts.items():
         h, first, start, end = words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
         one = np.array([0])
-        blobs.append(substring.Blob.pack(np.array([i]), np.array([0], np.int32), one, np.array([len(h) - 4]), [t.encode()]))
+        blobs.append(substring.Blob.pack(np.array([i]), np.array([0]), one, np.array([len(h) - 4]), [t.encode()]))
     plain = substring.bucket_repeats(blobs, 5)
     rolling = substring.rolling
     monkeypatch.setattr(substring, "rolling", lambda h, k: rolling(h, k) % np.uint64(8))
@@ -77,3 +77,32 @@ def test_very_long_text(spark):
     text = "some words that come again and again " * 40_000
     out = substring.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string"), 20).collect()[0]
     assert out.n_words == 280_000 and out.n_removed == 280_000 - 7  # all but the first round of words lies in a window that starts earlier too
+
+
+@pytest.mark.parametrize("id_", [None, 7])
+def test_texts_of_one_id_that_share_a_tag(spark, monkeypatch, id_):
+    """With the first draw all tags are equal: the second must tell the texts apart."""
+    tag, drawn = substring._tag, []
+
+    def weak(text, unnamed, seed):
+        drawn.append(seed)
+        return F.lit(5).cast("long") if seed == 0 else tag(text, unnamed, seed)
+
+    monkeypatch.setattr(substring, "_tag", weak)
+    once, twice = (" ".join(f"{k}{i}" for i in range(25)) for k in "ab")
+    rows = [(id_, once), (id_, twice), (3, twice), (id_, None)]
+    got = sorted((r.n_words, r.n_removed) for r in substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (25, 0), (25, 0), (25, 25)] and drawn == [0, 1]
+
+
+def test_ids_that_differ_need_no_tags(spark, monkeypatch):
+    monkeypatch.setattr(substring, "_tag", lambda text, unnamed, seed: F.lit(5).cast("long"))
+    same = " ".join(map(str, range(25)))
+    got = substring.digest(spark.createDataFrame([((1 << 63) - 1, same), (2, same)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {(1 << 63) - 1: 25, 2: 0}
+
+
+def test_the_largest_id_is_not_a_missing_one(spark):
+    same = " ".join(map(str, range(25)))
+    got = substring.digest(spark.createDataFrame([((1 << 63) - 1, same), (None, same)], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 25]
