@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import regions
 from quillon.llm.common import Scratch, cut_lineage, map_arrow, map_batches, mix64, parallelism, remove, table, texts_of
+from quillon.operators.places import numbered
 
 SLOTS = 64
 BANDS = 16
@@ -39,6 +40,8 @@ WALK_CHARS = 12 << 20
 BLOCK = 1000
 #: Rows of a range of ids, about.
 RANGE_ROWS = 20_000
+#: Rows of the sample that a part's end is found in.
+SAMPLED = 32
 
 _state: dict[str, object] = {}
 
@@ -132,32 +135,54 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return np.concatenate(parts)[where]
 
 
+def _before(cut_keys: np.ndarray, cut_hashes: np.ndarray, key: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+    """How many of the cuts (key, hash), ascending, lie before each row."""
+    low, high = np.searchsorted(cut_keys, key, "left"), np.searchsorted(cut_keys, key, "right")
+    tied = np.flatnonzero(low < high)
+    for k in np.unique(key[tied]):  # keys that are cuts
+        own = tied[key[tied] == k]
+        low[own] += np.searchsorted(cut_hashes[low[own[0]] : high[own[0]]], hash_[own], "left")
+    return low
+
+
+def _cuts(docs: DataFrame, parts: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and hashes of about parts - 1 rows that deal docs (key, hash) evenly: every SAMPLED-th of a sample of rows, sorted in slices."""
+    some = cut_lineage(docs.filter(F.pmod(F.xxhash64("key", "hash"), F.lit(max(1, rows // (parts * SAMPLED)))) == 0).select("key", "hash").distinct(), "sample")
+    step = max(1, some.count() // parts)
+    ends = numbered(some, [], [F.col("key"), F.col("hash")]).filter(F.col("place") % step == 0).select("key", "hash").collect()  # a row a part
+    return tuple(np.array(c, np.int64) for c in zip(*sorted((r.key, r.hash) for r in ends), strict=True)) if ends else (np.zeros(0, np.int64),) * 2
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(part, lent, doc_id, text), a part's rows together in order, after them the first row of the part that follows. Two numbers a part, its last key and its largest, go to all tasks."""
+    """(part, lent, doc_id, text), a part's rows together in order, after them the first row of the part that follows. Parts are ranges of id and hash of text, so rows of one id, or without one, lie in as many as they fill. Two rows of numbers a part, its end and its first row, go to all tasks."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = max(parallelism(spark), docs.count() // RANGE_ROWS)
-    cuts = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    ends = spark.sparkContext.broadcast(np.array(sorted(set(cuts)), np.int64))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # descending id, then ascending hash: the reverse of both ascending
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("hash", F.bitwise_not(F.xxhash64("text")))
+    rows = docs.count()
+    parts = max(parallelism(spark), rows // RANGE_ROWS)
+    ends = spark.sparkContext.broadcast(_cuts(docs, parts, rows))
 
     @F.pandas_udf("int")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(ends.value, key.to_numpy(), "left").astype(np.int32))
+    def part_of(key: pd.Series, hash_: pd.Series) -> pd.Series:
+        return pd.Series(_before(*ends.value, key.to_numpy(), hash_.to_numpy()).astype(np.int32))
 
-    tops = docs.select("key").groupBy(part_of("key").alias("part")).agg(F.max("key").alias("top")).orderBy("part").collect()  # a row a part
-    top = spark.sparkContext.broadcast((np.array([r.part for r in tops], np.int32), np.array([r.top for r in tops], np.int64)))
+    tops = docs.select(part_of("key", "hash").alias("part"), "key", "hash").groupBy("part").agg(F.max(F.struct("key", "hash")).alias("top")).orderBy("part").collect()  # a row a part
+    top = spark.sparkContext.broadcast((np.array([r.part for r in tops], np.int32), *(np.array([r.top[c] for r in tops], np.int64) for c in ("key", "hash"))))
 
-    @F.pandas_udf("array<int>")
-    def places(key: pd.Series) -> pd.Series:
-        """The row's part and, where it comes first there, the part before it in descending order."""
-        have, most = top.value
-        part = np.searchsorted(ends.value, key.to_numpy(), "left").astype(np.int32)
+    @F.pandas_udf("struct<part:int,before:int>")
+    def places(key: pd.Series, hash_: pd.Series) -> pd.DataFrame:
+        """The row's part and, where it comes first there, the part before it in descending order, else -1."""
+        have, top_key, top_hash = top.value
+        part = _before(*ends.value, key.to_numpy(), hash_.to_numpy()).astype(np.int32)
         at = np.searchsorted(have, part)
-        lends = most[at] == key.to_numpy()
-        return pd.Series([[p, t] if b else [p] for p, t, b in zip(part.tolist(), have[(at + 1) % len(have)].tolist(), lends.tolist(), strict=True)])
+        lends = (top_key[at] == key.to_numpy()) & (top_hash[at] == hash_.to_numpy())
+        return pd.DataFrame({"part": part, "before": np.where(lends, have[(at + 1) % len(have)], -1).astype(np.int32)})
 
-    rows = docs.select("doc_id", "text", "key", F.posexplode(places("key")).alias("lent", "part")).withColumn("lent", F.col("lent") > 0)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "lent", F.desc("key"), F.xxhash64("text")).select("part", "lent", "doc_id", "text")
+    both = docs.withColumn("p", places("key", "hash"))
+    every = F.when(F.col("p.before") < 0, F.array("p.part")).otherwise(F.array("p.part", "p.before"))
+    dealt = both.select("doc_id", "text", "key", "hash", F.posexplode(every).alias("lent", "part")).withColumn("lent", F.col("lent") > 0)
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "lent", F.desc("key"), F.desc("hash")).select("part", "lent", "doc_id", "text")
 
 
 def _edited(text: str, after: str) -> str:

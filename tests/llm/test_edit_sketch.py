@@ -145,3 +145,24 @@ def test_near_groups_and_their_recall(spark):
     got = {r.fingerprint: r.near_id for r in e.near_groups(spark.createDataFrame([*rows, (5000, rows[0][1])], "doc_id long, fingerprint string")).collect()}
     assert got == want
     assert e.near_groups(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_and_lent_once(spark):
+    rows = [(None, f"text {i} of none") for i in range(3000)] + [(5, f"text {i} of five") for i in range(500)] + [(i, f"t{i}") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = e._in_order(df).collect()
+    parts = {p for p, *_ in got}
+    own = [(r.part, r.doc_id, r.text) for r in got if not r.lent]
+    assert len(own) == len(rows) and sum(r.lent for r in got) == len(parts)
+    sizes = [sum(p == q for q, *_ in own) for p in parts]
+    assert len(parts) > 2 and max(sizes) < len(rows) / len(parts) * 2
+    for r in got:  # a part's lent row is the first of the next part below
+        if r.lent:
+            below = max((p for p in parts if p < r.part), default=max(parts))
+            assert (r.doc_id, r.text) in [(d, t) for p, d, t in own if p == below]
+
+
+def test_places_among_cuts_of_one_key():
+    keys, hashes = np.array([3, 5, 5, 5, 9]), np.array([0, -4, 0, 7, 1])
+    for key, hash_, want in ((2, 0, 0), (3, 0, 0), (3, 1, 1), (5, -9, 1), (5, -4, 1), (5, 1, 3), (5, 8, 4), (6, 0, 4), (9, 1, 4), (9, 2, 5)):
+        assert e._before(keys, hashes, np.array([key, key]), np.array([hash_, hash_])).tolist() == [want, want]
