@@ -27,30 +27,38 @@ from quillon.operators.matrix import feature, sample_rows, top_variance, vectors
 VARYING = 2
 
 
-def gram(vec: DataFrame) -> np.ndarray:
-    """Sums over rows of v v^T: a partial sum a task, then row by row of the result."""
+def gram(vec: DataFrame) -> tuple[np.ndarray, int]:
+    """(sums over rows of v v^T, rows): a partial sum a task, then row by row of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, n = None, 0
         for b in batches:
             if b.num_rows:
                 x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "g"])
+                total, n = x.T @ x if total is None else total + x.T @ x, n + b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()), pa.array([[float(n)], *total], pa.list_(pa.float64()))], ["i", "g"])
 
     parts = vec.select("v").mapInArrow(run, "i int, g array<double>").select("i", array_to_vector("g").alias("g"))
     rows = parts.groupBy("i").agg(Summarizer.sum(F.col("g")).alias("g")).orderBy("i").collect()  # a row a sample
-    return np.array([r.g.toArray() for r in rows]).reshape(len(rows), -1)
+    if not rows:
+        return np.zeros((0, 0)), 0
+    return np.array([r.g.toArray() for r in rows[1:]]), int(rows[0].g[0])
 
 
 def sample_space(p: DataFrame, samples: DataFrame) -> tuple[list, np.ndarray]:
     """(samples by name, inner products of their standardised, centred profiles); features that don't vary drop out."""
-    rows = sorted(sample_rows(samples), key=lambda r: r.sample)
-    z = vectors(z_scores(p.withColumn("s_", F.stddev_samp("x").over(feature())).filter("s_ > 0")), "z")
-    if len(z.limit(VARYING).collect()) < VARYING:
+    rows, g, n = _space(p, samples)
+    if n < VARYING:
         raise ValueError(f"{VARYING} features that vary are needed")
-    return rows, gram(z)
+    return rows, g
+
+
+def _space(p: DataFrame, samples: DataFrame) -> tuple[list, np.ndarray, int]:
+    """sample_space, and how many features vary."""
+    rows = sorted(sample_rows(samples), key=lambda r: r.sample)
+    z = z_scores(p.withColumn("s_", F.stddev_samp("x").over(feature())).filter("s_ > 0"))
+    return rows, *gram(vectors(z, "z"))
 
 
 def _frame(p: DataFrame, rows: list, cols: dict[str, np.ndarray]) -> DataFrame:
@@ -152,9 +160,11 @@ def heatmap(p: DataFrame, samples: DataFrame, top: int = 100, rows: str = "none"
 
 def pseudotime(p: DataFrame, samples: DataFrame, start: str, end: str | None = None) -> DataFrame:
     """(sample, grp, lineage, pseudotime): groups are the clusters; lineages run from the start group along the tree of their centres, with end only those that end there. policy refuses what a trajectory can't use."""
-    rows = sorted(sample_rows(samples), key=lambda r: r.sample)
-    policy.trajectory(rows, len(p.select("feature_id").distinct().limit(policy.TRAJECTORY["proteins"]).collect()), start, end)
-    rows, g = sample_space(p, samples)
+    rows, g, n = _space(p, samples)
+    few = n < policy.TRAJECTORY["proteins"]  # those that don't vary count as well
+    policy.trajectory(rows, p.select("feature_id").distinct().count() if few else n, start, end)
+    if n < VARYING:
+        raise ValueError(f"{VARYING} features that vary are needed")
     names = sorted({r.grp for r in rows})
     y = kernels.components_of(g)[0]
     of = np.array([names.index(r.grp) for r in rows])
