@@ -61,6 +61,15 @@ def _space(p: DataFrame, samples: DataFrame) -> tuple[list, np.ndarray, int]:
     return rows, *gram(vectors(z, "z"))
 
 
+def inner_products(p: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample1, sample2, product) of sample_space."""
+    rows, g = sample_space(p, samples)
+    data = [(r.sample, g[i].tolist()) for i, r in enumerate(rows)]
+    lines = p.sparkSession.createDataFrame(data, "sample1 string, g array<double>").select("sample1", F.posexplode("g").alias("i", "product"))
+    names = F.array(*[F.lit(r.sample) for r in rows])
+    return lines.select("sample1", F.get(names, F.col("i")).alias("sample2"), "product")
+
+
 def _frame(p: DataFrame, rows: list, cols: dict[str, np.ndarray]) -> DataFrame:
     data = [(r.sample, r.grp, *(round(float(c[i]), 6) for c in cols.values())) for i, r in enumerate(rows)]
     return p.sparkSession.createDataFrame(data, "sample string, grp string, " + ", ".join(f"{k} double" for k in cols))

@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 SAMPLES_SQL = """samples as (select distinct n_name as sample, r_name as grp, n_nationkey as sample_ord, r_regionkey as group_ord
   from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
 QUANT_SQL = f"""with {SAMPLES_SQL},
-q as (select 'P' || lpad(cast(l_partkey as varchar), 7, '0') as feature_id, n_name as sample, r_name as grp, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as value,
+q as (select printf('P%07d', l_partkey) as feature_id, n_name as sample, r_name as grp, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as value,
     nullif(count(*) filter (where l_returnflag <> 'R'), 0) as ident
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all)"""
 DENSE_SQL = QUANT_SQL + """,
@@ -222,7 +222,7 @@ def set_intersections(s, d):
     return st.compared(sets(s, d), GROUPS)
 
 
-_ANN = _SETS + ", a as (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as accession, cast(p_size as integer) as length, p_retailprice as mw, p_type as subcellular_class, cast(p_size % 5 as integer) as tm_helices from part where p_partkey % 10 <> 0), l as (select g.grp, g.feature_id as accession, a.* exclude (accession) from g left join a on a.accession = g.feature_id)"
+_ANN = _SETS + ", a as (select printf('P%07d', p_partkey) as accession, cast(p_size as integer) as length, p_retailprice as mw, p_type as subcellular_class, cast(p_size % 5 as integer) as tm_helices from part where p_partkey % 10 <> 0), l as (select g.grp, g.feature_id as accession, a.* exclude (accession) from g left join a on a.accession = g.feature_id)"
 
 
 @query(_ANN + " select * from l")
@@ -566,10 +566,10 @@ def train_median_impute(s, d):
     return top_in_training(s, d).select("repeat", "feature_id", "fill")
 
 
-_FITS = """with f as (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as feature_id, repeat, row_number() over (partition by repeat order by md5(repeat || '|' || p_partkey), p_partkey) as gini_rank
+_FITS = """with f as (select printf('P%07d', p_partkey) as feature_id, repeat, row_number() over (partition by repeat order by md5(repeat || '|' || p_partkey), p_partkey) as gini_rank
   from part, (select cast(unnest(generate_series(1, 5)) as integer) as repeat)), r as (select *, round(1.0 / gini_rank, 9) as gini from f where gini_rank <= 200),
 p as (select feature_id, count(*) filter (where gini_rank <= 20) / 5.0 as t20, count(*) filter (where gini_rank <= 50) / 5.0 as t50, sum(cast(gini as decimal(18,9))) / 5.0 as mg, count(*) filter (where gini_rank % 7 = 0) / 5.0 as l1 from r group by feature_id),
-a as (select u.feature_id, coalesce(t20, 0) as t20, coalesce(t50, 0) as t50, cast(coalesce(mg, 0) as double) as mg, coalesce(l1, 0) as l1 from (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as feature_id from part) u left join p using (feature_id)),
+a as (select u.feature_id, coalesce(t20, 0) as t20, coalesce(t50, 0) as t50, cast(coalesce(mg, 0) as double) as mg, coalesce(l1, 0) as l1 from (select printf('P%07d', p_partkey) as feature_id from part) u left join p using (feature_id)),
 z as (select *, (mg - min(mg) over ()) / nullif(max(mg) over () - min(mg) over (), 0) as g from a)"""
 
 
@@ -591,7 +591,7 @@ def score_arithmetic(s, d):
     return rule_scores(s, d).select("feature_id", *(F.round(c, 6).alias(c) for c in ("top20_frequency", "top50_frequency", "l1_frequency", "gini_scaled", "combined_score")))
 
 
-_SPLIT = """with q as (select 'P' || lpad(cast(p_partkey as varchar), 7, '0') as feature_id, translate(md5(cast(p_partkey as varchar)), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') as sequence from part)"""
+_SPLIT = """with q as (select printf('P%07d', p_partkey) as feature_id, translate(md5(cast(p_partkey as varchar)), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') as sequence from part)"""
 
 
 @query(_SPLIT + " select feature_id, cast(length(sequence) as integer) as length, round(cast((" + " + ".join(f"{v} * (length(sequence) - length(replace(sequence, '{k}', '')))" for k, v in text.HYDROPATHY.items()) + ") as double) / length(sequence), 6) as gravy, round(cast(" + " + ".join(f"{v} * (length(sequence) - length(replace(sequence, '{k}', '')))" for k, v in text.MASS.items()) + f" + {text.WATER} as double), 4) as mw from q")
@@ -827,3 +827,6 @@ def coordinates_with_pseudotime(s, d):
 @query(_TIMES + ", m as (select lineage, grp, avg(pseudotime) as t from o group by all) select lineage, string_agg(grp, ' -> ' order by t, grp) as path from m group by lineage")
 def lineage_paths(s, d):
     return rd.lineage_paths(rule_pseudotime(s, d))
+
+
+from quillon.plans import importing  # noqa: E402, F401 - its queries are registered here as well

@@ -11,7 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def feature_id(column: str) -> F.Column:
-    return F.concat(F.lit("P"), F.lpad(F.col(column).cast("string"), 7, "0"))
+    digits = F.col(column).cast("string")
+    return F.concat(F.lit("P"), F.lpad(digits, F.greatest(F.length(digits), F.lit(7)), "0"))  # lpad cuts what is longer
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

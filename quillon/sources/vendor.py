@@ -209,7 +209,11 @@ def _numbers(column: str, zero_is_missing: bool) -> Column:
 
 def load(spark: SparkSession, path: str, family: str | None = None, fmt: str | None = None, row_id: str = "accession") -> Dataset:
     """A vendor's table; fmt names its format, else the family's detectors decide."""
-    raw = read_table(spark, path)
+    return imported(read_table(spark, path), family, fmt, row_id)
+
+
+def imported(raw: DataFrame, family: str | None = None, fmt: str | None = None, row_id: str = "accession") -> Dataset:
+    """load of a table that has been read: columns of strings under the vendor's names, and row_idx, which rises in source order."""
     names = [c for c in raw.columns if c != "row_idx"]
     note = ""
     if fmt is None:
@@ -266,8 +270,14 @@ def load_matrix(spark: SparkSession, path: str, zero_mode: ZeroMode) -> Dataset:
     own = names[1:]
     if len(set(own)) < len(own) or "" in own:
         raise MatrixError("sample names are blank or repeated")
-    raw = read_table(spark, path)
-    key = F.trim(F.coalesce(F.col(text.quoted(raw.columns[0])), F.lit("")))
+    return matrix_of(read_table(spark, path), zero_mode, ending)
+
+
+def matrix_of(raw: DataFrame, zero_mode: ZeroMode, ending: str = "") -> Dataset:
+    """load_matrix of a table that has been read: strings, identifiers in the first column, a sample in each other, and row_idx."""
+    names = [c for c in raw.columns if c != "row_idx"]
+    own = names[1:]
+    key = F.trim(F.coalesce(F.col(text.quoted(names[0])), F.lit("")))
     cells = F.array(*[F.struct(F.lit(s).alias("sample"), F.trim(F.coalesce(F.col(text.quoted(s)), F.lit(""))).alias("t")) for s in own])
     long = raw.select("row_idx", key.alias("feature_id"), F.explode(cells).alias("c")).select("row_idx", "feature_id", "c.sample", "c.t")
     missing = F.lower("t").isin("", "na", "nan")

@@ -1,9 +1,10 @@
 """Importers on literal tables with exact expectations."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.plans.run import run
-from quillon.sources import sinks, vendor
+from quillon.sources import bridge, sinks, vendor
 from quillon.sources.vendor import MatrixError, ZeroMode
 
 
@@ -260,3 +261,17 @@ def test_quantities_and_evidence_name_the_same_samples(spark, tmp_path):
     head = ["PG.ProteinAccessions", "a.PG.Quantity", "b.PG.Quantity", "a.PG.IBAQ"]
     with pytest.raises(vendor.MatrixError, match="different samples"):
         vendor.load(spark, lines(tmp_path, "s.tsv", head, ["P1", "1", "2", "3"]), "dia", "spectronaut")
+
+
+def test_feature_ids_of_any_length_differ(spark):
+    rows = spark.createDataFrame([(7,), (12345678,), (123456789,), (None,)], "k long").select(bridge.feature_id("k").alias("f")).collect()
+    assert [r.f for r in rows] == ["P0000007", "P12345678", "P123456789", None]
+
+
+def test_a_table_that_has_been_read(spark):
+    raw = spark.createDataFrame([("sp|A1|X", "3", 0), ("sp|A1|X", "0", 1), ("NA", "5", 2), (None, None, 3)], "`Protein IDs` string, `LFQ intensity a` string, row_idx long").withColumn("Fasta headers", F.lit(""))
+    d = vendor.imported(raw, "dda")
+    assert d.format == "maxquant"
+    assert sorted((r.feature_id, r.sample, r.value) for r in d.cells.collect()) == [("A1", "a", 3.0), ("A1.1", "a", None)]
+    m = vendor.matrix_of(spark.createDataFrame([("f", "1", "na", 0), ("g", "0", "2", 1)], "id string, a string, b string, row_idx long"), vendor.ZeroMode.MISSING)
+    assert sorted((r.feature_id, r.sample, r.value) for r in m.cells.collect()) == [("f", "a", 1.0), ("f", "b", None), ("g", "a", None), ("g", "b", 2.0)]
