@@ -4,7 +4,7 @@ A window is a run of WIDTH consecutive words of one document; its minimiser is t
 
 Super-k-mers that are equal inside one map step are combined before the shuffle: only the earliest travels, the windows of the others are repeats already. So a passage that a third of all documents share reaches its bucket once a map step.
 
-A minimiser that many contexts share would make its bucket grow with the corpus. Minimisers that are frequent in a sample of SAMPLE documents (those whose texts hash lowest) are heavy: their windows travel one by one, dealt by the window's own hash. All windows with one minimiser are treated alike, so the sample decides about the load alone and never about the result. A text of any length is read in pieces; what one map step holds is bounded but for the longest text.
+A minimiser that many contexts share would make its bucket grow with the corpus. Minimisers that are frequent in a sample of documents (those whose texts hash lowest) are heavy: their windows travel one by one, dealt by the window's own hash. The sample grows with the buckets, by PER_BUCKET documents each beyond SAMPLE, so that a minimiser with a quarter of a bucket's share of all super-k-mers is expected more than RARE times in it, however many buckets there are. All windows with one minimiser are treated alike, so the sample decides about the load alone and never about the result. A text of any length is read in pieces; what one map step holds is bounded but for the longest text.
 
 Defined cases: null and empty texts have no words. Rows are ordered by doc_id (null last), rows with the same id by a 64-bit hash of their text, of which it is made sure that it tells them apart; rows equal in id and text are one document and get the same result. Documents shorter than a window keep everything. Other columns are ignored.
 """
@@ -27,8 +27,8 @@ from quillon.llm.common import _WS, CHUNK_BYTES, cut_lineage, map_arrow, map_bat
 SEED = 3
 #: Words that one map step combines and packs together.
 STEP_WORDS = 2_000_000
-#: Documents that heavy minimisers are sought in, and occurrences there that are too few to count.
-SAMPLE, RARE = 2000, 20
+#: Documents that heavy minimisers are sought in, and more of them for each bucket; occurrences there that are too few to count.
+SAMPLE, PER_BUCKET, RARE = 2000, 10, 20
 #: Draws of tags before texts of one id are given up.
 TAGS = 8
 #: Buckets for each shuffle partition; a reducer holds one bucket at a time.
@@ -121,9 +121,12 @@ def joined_runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarr
 
 
 def heavy_minimisers(docs: DataFrame, width: int, buckets: int) -> np.ndarray:
-    """The minimisers that have more than a quarter of a bucket's share of the sample's super-k-mers and are no rarity there: 4 a bucket at most."""
+    """The minimisers that have more than a quarter of a bucket's share of the sample's super-k-mers and are no rarity there: 4 a bucket at most. The sample is a share of the range of hashes, so nothing is sorted for it."""
     keyed = docs.select("text", F.xxhash64("text").alias("key"))
-    low = keyed.join(F.broadcast(keyed.select("key").distinct().orderBy("key").limit(SAMPLE)), "key").groupBy("key").agg(F.first("text").alias("text")).select("text")
+    texts = keyed.agg(F.approx_count_distinct("key")).first()[0]
+    if (share := (SAMPLE + PER_BUCKET * buckets) / max(1, texts)) < 1:
+        keyed = keyed.filter(F.col("key") < int(share * 2**64) - 2**63)
+    low = keyed.groupBy("key").agg(F.first("text").alias("text")).select("text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found = []

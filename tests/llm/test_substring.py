@@ -106,3 +106,17 @@ def test_the_largest_id_is_not_a_missing_one(spark):
     same = " ".join(map(str, range(25)))
     got = substring.digest(spark.createDataFrame([((1 << 63) - 1, same), (None, same)], "doc_id long, text string")).collect()
     assert sorted(r.n_removed for r in got) == [0, 25]
+
+
+def test_the_sample_of_heavy_minimisers_grows_with_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SAMPLE", 40)
+    monkeypatch.setattr(substring, "PER_BUCKET", 2)
+    monkeypatch.setattr(substring, "RARE", 5)
+    frame = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, f"own{i} {frame} other{i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert not len(substring.heavy_minimisers(docs.filter("false"), 10, 8))
+    few, many = (substring.heavy_minimisers(docs, 10, b) for b in (8, 400))
+    assert len(many) >= len(few)
+    assert set(few.tolist()) <= set(many.tolist())
+    assert len(many)  # 840 of 1200 texts are looked at, and each holds the frame
