@@ -8,7 +8,7 @@ Two fingerprints of which a share s of the slots agree share a band with probabi
 
 Steps are taken for many texts at once, longest first; a partition's rows are a stream of batches of bounded size.
 
-Defined cases: a null text is the empty text, whose fingerprint is that of nothing. Equal texts have equal fingerprints. The next document follows in descending doc_id, null ids last; rows with the same id follow each other by a hash of their text, equal rows being neighbours; a table of one row is followed by itself. Other columns are ignored.
+Defined cases: a null text is the empty text, whose fingerprint is that of nothing. Equal texts have equal fingerprints. The next document follows in descending doc_id, null ids last; rows with the same id follow each other by a hash of their text, equal rows being neighbours; a table of one row is followed by itself, an empty one gives no rows. Long texts are walked from end to end. Other columns are ignored.
 """
 
 from __future__ import annotations

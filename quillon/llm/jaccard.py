@@ -12,7 +12,7 @@ The order comes from counts of all shingles in a table of ORDER_CELLS cells, wha
 
 Copies (equal sets) are one class from the start. Shingles and sets are told apart by 64-bit hashes. Distances between candidates are exact set intersections.
 
-Defined cases: null and empty texts have no shingles and are linked with nothing. Repeated rows are copies of each other and each gets its row. Rows without an id take part; their component's id is the smallest that is not null, or null. Other columns are ignored.
+Defined cases: null and empty texts have no shingles and are linked with nothing. Repeated rows are copies of each other and each gets its row. Rows without an id take part; their component's id is the smallest that is not null, or null. A text of any length is read whole; its shingles are held by one task. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ Each payload is UTF-8 padded with spaces to a positive multiple of 192 bytes, on
 
 Features of an image: the share of its samples in each of 16 levels, the mean step between neighbouring pixels, and the mean of each channel, all in whole numbers.
 
-Defined cases: a null text is the empty one (192 spaces). Very long texts become animations of frames of 64 rows. Equal texts have equal values. Repeated rows get a row each; other columns are ignored.
+Defined cases: a null text is the empty one (192 spaces). Very long texts become animations of frames of 64 rows. Equal texts have equal values. Repeated rows get a row each, an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

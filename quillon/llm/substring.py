@@ -6,7 +6,7 @@ Super-k-mers that are equal inside one map step are combined before the shuffle:
 
 A minimiser that many contexts share would make its bucket grow with the corpus. Minimisers that are frequent in a sample of documents (those whose texts hash lowest) are heavy: their windows travel one by one, dealt by the window's own hash. The sample grows with the buckets, by PER_BUCKET documents each beyond SAMPLE, so that a minimiser with a quarter of a bucket's share of all super-k-mers is expected more than RARE times in it, however many buckets there are. All windows with one minimiser are treated alike, so the sample decides about the load alone and never about the result. A text of any length is read in pieces; what one map step holds is bounded but for the longest text.
 
-Defined cases: null and empty texts have no words. Rows are ordered by doc_id (null last), rows with the same id by a 64-bit hash of their text, of which it is made sure that it tells them apart; rows equal in id and text are one document and get the same result. Documents shorter than a window keep everything. Other columns are ignored.
+Defined cases: null and empty texts have no words. Rows are ordered by doc_id (null last), rows with the same id by a 64-bit hash of their text, of which it is made sure that it tells them apart; rows equal in id and text are one document and get the same result. Documents shorter than a window keep everything. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -127,3 +127,120 @@ def test_query(spark):
     assert all(hashlib.sha256(bytes(s.media)).hexdigest() == rows[s.doc_id].media_sha256 for s in stored)
     loaded = media.load(media.store(df.filter("doc_id = 2"))).first()
     assert np.array(loaded.pixels, "<u4").tobytes() == padded(b"x")
+
+
+class Bits:
+    """A stream written bit by bit, the lowest of each byte first, by no code of the encoder."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n)]
+        return self
+
+    def one(self, symbol):
+        """A prefix code of one symbol, which takes no bits."""
+        return self.put(1, 1).put(0, 1).put(1, 1).put(symbol, 8)
+
+    def two(self, a, b):
+        """A prefix code of two symbols, a as 0 and b as 1."""
+        return self.put(1, 1).put(1, 1).put(1, 1).put(a, 8).put(b, 8)
+
+    def head(self, w, h):
+        return self.put(0x2F, 8).put(w - 1, 14).put(h - 1, 14).put(1, 1).put(0, 3).put(0, 1)
+
+    def bytes(self):
+        padded = self.bits + [0] * (-len(self.bits) % 8)
+        return bytes(sum(b << i for i, b in enumerate(padded[k : k + 8])) for k in range(0, len(padded), 8))
+
+
+def test_a_stream_with_meta_prefix_codes():
+    rng = random.Random(5)
+    w, h = 8, 6
+    s = Bits().head(w, h).put(0, 1).put(1, 1).put(0, 3)  # no colour cache; blocks of four by four pixels
+    s.put(0, 1).two(0, 1).one(0).one(0).one(255).one(0)  # the image of groups: green is the group
+    groups = [0, 1, 1, 0]
+    for g in groups:
+        s.put(g, 1)
+    s.two(10, 200).one(1).one(2).one(255).one(0)
+    s.two(3, 4).two(7, 9).one(5).two(128, 129).one(0)
+    want = []
+    for y in range(h):
+        for x in range(w):
+            a, b, c = (rng.randrange(2) for _ in range(3))
+            s.put(a, 1)
+            if groups[y // 4 * 2 + x // 4]:
+                s.put(b, 1).put(c, 1)
+                want.append((128, 129)[c] << 24 | (7, 9)[b] << 16 | (3, 4)[a] << 8 | 5)
+            else:
+                want.append(255 << 24 | 1 << 16 | (10, 200)[a] << 8 | 2)
+    ((got_w, got_h, px),) = webp.decode([s.bytes()])
+    assert (got_w, got_h) == (w, h)
+    assert np.asarray(px).ravel().tolist() == want
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_a_stream_with_a_colour_cache(bits):
+    rng = random.Random(bits)
+    colours = [255 << 24 | r << 16 | 10 << 8 | 2 for r in (1, 200)]
+
+    def place(c):
+        return (0x1E35A7BD * c & 0xFFFFFFFF) >> 32 - bits
+
+    cached = place(colours[0])
+    s = Bits().head(64, 1).put(1, 1).put(bits, 4).put(0, 1)
+    # green: the literal 10 and one place of the cache, by lengths of codes: 17 and 18 are runs of zeros
+    s.put(0, 1).put(0, 4)
+    for _ in (17, 18, 0, 1):
+        s.put(2, 3)
+    s.put(0, 1)
+    word = {0: (0, 0), 1: (0, 1), 17: (1, 0), 18: (1, 1)}
+
+    def length(symbol):
+        s.put(word[symbol][0], 1).put(word[symbol][1], 1)
+
+    def zeros(n):
+        while n:
+            k = min(n, 138)
+            if k >= 11:
+                length(18)
+                s.put(k - 11, 7)
+            elif k >= 3:
+                length(17)
+                s.put(k - 3, 3)
+            else:
+                k = 1
+                length(0)
+            n -= k
+
+    zeros(10)
+    length(1)
+    zeros(280 + cached - 11)
+    length(1)
+    zeros((1 << bits) - cached - 1)
+    s.two(1, 200).one(2).one(255).one(0)
+    cache, want = {}, []
+    for i in range(64):
+        if i and rng.randrange(2):
+            s.put(1, 1)
+            c = cache[cached]
+        else:
+            r = rng.randrange(2) if i else 0
+            s.put(0, 1).put(r, 1)
+            c = colours[r]
+        cache[place(c)] = c
+        want.append(c)
+    ((_, _, px),) = webp.decode([s.bytes()])
+    assert np.asarray(px).ravel().tolist() == want
+
+
+def test_the_encoder_writes_a_colour_cache():
+    rng = random.Random(9)
+    colours = np.array([rng.getrandbits(32) for _ in range(700)], np.uint32)
+    px = colours[[int(rng.paretovariate(1.1)) % 700 for _ in range(6400)]]
+    sections = webp._image_sections(px, np.array([len(px)]), np.array([64]), True)
+    assert sections[0].values[0] == 1  # the flag of a cache
+    head = webp.Section.rows(np.array([0]), 1, (0x2F, 8), (63, 14), (99, 14), (1, 1), (0, 3), (0, 1))
+    ((_, _, got),) = webp.decode(webp.write([head, *sections], 1))
+    assert np.asarray(got).ravel().tolist() == px.tolist()
