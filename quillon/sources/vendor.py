@@ -119,8 +119,9 @@ def diann_columns(raw: DataFrame, names: list[str]) -> list[tuple[str, str]]:
     some = names[last + 1 :] or [n for n in names if n not in DIANN_DESCRIPTIONS]
     if not some or not any(n in DIANN_DESCRIPTIONS[:4] for n in names):
         return []
-    held = raw.agg(*[F.count(text.number(F.col(text.quoted(n)))).alias(f"c{i}") for i, n in enumerate(some)]).first()
-    return [(n, clean_sample(n)) for n, k in zip(some, held, strict=True) if k]
+    cells = raw.select(F.posexplode(F.array(*[F.col(text.quoted(n)) for n in some])).alias("i", "v"))
+    held = {r.i for r in cells.filter(text.number(F.col("v")).isNotNull()).select("i").distinct().collect()}  # a row a column
+    return [(n, clean_sample(n)) for i, n in enumerate(some) if i in held]
 
 
 def _spectral(names: list[str]) -> list[tuple[str, str]]:
@@ -202,8 +203,8 @@ def _first(raw: DataFrame, candidates: tuple[str, ...], how: Callable[[Column],
     return how(F.col(text.quoted(name))) if name else F.lit(None).cast("string")
 
 
-def _numbers(column: str, zero_is_missing: bool) -> Column:
-    v = text.number(F.col(text.quoted(column)))
+def _numbers(written: Column, zero_is_missing: bool) -> Column:
+    v = text.number(written)
     return without_zeros(v, ZeroMode.MISSING if zero_is_missing else ZeroMode.VALUE)
 
 
@@ -244,12 +245,12 @@ def imported(raw: DataFrame, family: str | None = None, fmt: str | None = None,
         raw = raw.withColumn("protein_name_", F.coalesce("protein_name_", _first(raw, ("Protein names", "Protein Names"), text.take_first), "accession_"))
     raw = raw.withColumn("row_id_", F.col(f"{row_id}_")).filter("row_id_ is not null and row_id_ <> ''")
     raw = text.unique_ids(raw, "row_id_", ["row_idx"], "feature_id")
-    cells = []
-    for (c, s), label in zip(quantity, shown, strict=True):
-        v = _numbers(c, f.zero_is_missing)
-        i = F.lit(None).cast("double") if not f.ident_available else v if evidence is None else _numbers(evidence[s], fmt != "spectronaut")
-        cells.append(F.struct(F.lit(label).alias("sample"), v.alias("value"), i.alias("ident")))
-    long = raw.select("feature_id", F.explode(F.array(*cells)).alias("c")).select("feature_id", "c.sample", "c.value", "c.ident")
+    # cells are made rows as they are written, and parsed then, so the plan has one parser however many samples there are
+    none = F.lit(None).cast("string")
+    cells = [F.struct(F.lit(label).alias("sample"), F.col(text.quoted(c)).alias("v"), (F.col(text.quoted(evidence[s])) if evidence is not None else none).alias("i")) for (c, s), label in zip(quantity, shown, strict=True)]
+    value = _numbers(F.col("c.v"), f.zero_is_missing)
+    ident = F.lit(None).cast("double") if not f.ident_available else value if evidence is None else _numbers(F.col("c.i"), fmt != "spectronaut")
+    long = raw.select("feature_id", F.explode(F.array(*cells)).alias("c")).select("feature_id", "c.sample", value.alias("value"), ident.alias("ident"))
     meta = raw.select("row_idx", F.col("row_id_").alias("row_id"), "feature_id", F.col("accession_").alias("accession"), F.col("protein_name_").alias("protein_name"), F.col("gene_name_").alias("gene_name"))
     found = f"{LABELS[fmt]}: {len(quantity)} quantity columns" + (f", {len(evidence)} of identification" if evidence is not None else "")
     return Dataset(fmt, long, meta, note, found, names[0])
