@@ -1,8 +1,8 @@
-"""Main text of web pages: tags as evidence, and a host's suffix array where tags don't tell.
+"""Main text of web pages: a host's suffix array over all its pages, and tags as evidence.
 
-A page is read once, as a stream of tags and text. Text in menus, sidebars, notices, adverts, forms, reader comments and the like, by tag, role, class or id, is furniture. Text inside <article>, <main> or an element named as one is the article and is kept, also where other pages repeat it (reprints). All else is in doubt: whole pages without an article element, and parts of an article whose names are used for furniture and for parts of articles alike (header, banner, related, ...).
+A page is read once, as a stream of tags and text. Text in menus, sidebars, notices, adverts, forms, reader comments and the like, by tag, role, class or id, is furniture. Text inside <article>, <main> or an element named as one is the article. All else is in doubt: whole pages without an article element, and parts of an article whose names are used for furniture and for parts of articles alike (header, banner, related, ...).
 
-What is in doubt is decided by its host: among the token streams of everything in doubt or outside an article, runs of at least LONG tokens that distinct pages share are boilerplate and are removed; the unique runs are kept. A named part of fewer tokens is one run. A suffix array needs no more than the depth LONG for that, beyond which order doesn't matter here, so the suffixes are dealt by 128 bits of their first LONG tokens and the host: suffixes that begin alike meet whatever their pages, and no task holds a host. Hosts without a page in doubt are not taken apart.
+The token streams of all pages of a host, articles too, make its suffix array (suffix.py), which is sorted by tokens: neighbours of distinct pages that have at least LONG tokens in common are shared text. Runs in doubt that distinct pages share in doubt or outside an article are boilerplate and are removed; the unique runs are kept. A named part of fewer tokens is one run. What the array finds in an article is checked against the tags: shared runs there are reprints and stay, and n_shared counts them on each row.
 
 Defined cases: null html is empty text; an empty table gives no rows. Pages without host (null or odd url) share the host ''. Repeated rows (same page_id and html) are one page to the suffix array, and each gets its row; rows that share a page_id and differ are different pages. White space is what Unicode takes for it. Script, style and other raw elements that never close run to the end of the page; an unclosed menu or the like ends where the article begins. A page of any length is read whole, in time that grows with its length. Other columns are ignored.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -19,14 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut_lineage, map_arrow, map_batches, mix64, rolling, table, text_chunks, within, words
+from quillon.llm.common import map_batches, parallelism, table
+from quillon.llm.suffix import FIXED, LOOSE, NAMED, pack_streams, shared_runs, unpack_streams
 
 #: Tokens of a run that counts as long.
 LONG = 8
-#: Makes a second hash of a token.
-AGAIN = np.uint64(0xA0761D6478BD642F)
-#: Up to so many hosts are broadcast by their hashes (8 bytes each, so 2 MB); more are joined by shuffle.
-BROADCAST_HOSTS = 250_000
 
 # What HTML elements, roles and usual names of classes mean.
 RAW = frozenset("script style title textarea iframe noscript template svg math object select xmp noframes".split())
@@ -179,7 +175,7 @@ def read(page: str) -> tuple[str | None, list[tuple[int, str]], str]:
 
 
 def repeated_tokens(streams: list[list[str]], long: int = LONG) -> list[np.ndarray]:
-    """A flag for each token of each page: it lies in a run of at least `long` tokens that another page has too. Suffixes of all streams are sorted by doubling. What _by_host gives for a host, on one machine."""
+    """A flag for each token of each page: it lies in a run of at least `long` tokens that another page has too. Suffixes of all streams are sorted by doubling. What the dealt array gives for a host's loose streams, on one machine."""
     size = np.array([len(s) for s in streams])
     page = np.repeat(np.arange(len(streams)), size + 1)
     ids: dict[str, int] = {}
@@ -206,98 +202,53 @@ def repeated_tokens(streams: list[list[str]], long: int = LONG) -> list[np.ndarr
     return [hit[a : a + k] for a, k in zip(first, size, strict=True)]
 
 
-_PARSED = "page_id long, url string, host long, text string, parts array<struct<at:int,part:string>>, other string, named boolean, page long"
+def streams(page: str) -> list[tuple[int, int, str]]:
+    """A page's token streams for the suffix array, as (place of the first token in the text, kind, tokens): the article between its parts in doubt, these parts, and as evidence (place -1) what lies outside. Without an article all is in doubt."""
+    article, parts, other = read(page)
+    if article is None:
+        return [(0, LOOSE, other)]
+    out, at = [(-1, LOOSE, other)], 0
+    tokens = article.split(" ") if parts else []
+    for begin, part in parts:
+        out += [(at, FIXED, " ".join(tokens[at:begin])), (begin, NAMED, part)]
+        at = begin + part.count(" ") + 1
+    return [*out, (at, FIXED, " ".join(tokens[at:]) if parts else article)]
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, text, parts, other, named, page): text is the article or else all that isn't furniture, parts what is in doubt there (the whole text without an article), other what lies outside the article, named whether there is one. host and page are hashes; rows of one host, id and html are one page."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("part", pa.string())]))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        text, parts, other, named = [], [], [], []
-        for t in b.column(2).to_pylist():
-            a, p, o = read(t) if t else ("", [], "")
-            text.append(o if a is None else a)
-            parts.append([{"at": 0, "part": o}] if a is None and o else [{"at": i, "part": x} for i, x in p])
-            named.append(a is not None)
-            other.append("" if a is None else o)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(text, pa.string()), pa.array(parts, kind), pa.array(other, pa.string()), pa.array(named), b.column(4)], [f.split()[0] for f in _PARSED.split(", ")])
-
-    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
-    page = F.xxhash64(host, F.coalesce("page_id", F.lit(0)), F.col("page_id").isNull(), "html")
-    return map_batches(pages.select("page_id", "url", "html", host.alias("host"), page.alias("page")), run, _PARSED)
-
-
-def _runs(streams: DataFrame) -> DataFrame:
-    """(page, at, run, more) of streams (host, page, at, part, named): at each token, 128 bits of the host and the LONG tokens that begin there, as two numbers; a named part of fewer tokens is one run."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            host, page, at, named = (np.asarray(b.column(c)) for c in ("host", "page", "at", "named"))
-            for i, j, data, off in text_chunks(b.column("part")):
-                h, first, _, _ = words(data, off)
-                pos, doc = within(first, LONG)
-                size = np.diff(first)
-                short = np.flatnonzero((size > 0) & (size < LONG) & (named[i:j] != 0))
-                keys = []
-                for x in (h, mix64(h ^ AGAIN)):
-                    whole = np.array([hash_of(x[first[k] : first[k + 1]]) for k in short.tolist()], np.uint64)
-                    keys.append(np.concatenate([rolling(x, LONG)[pos] if len(pos) else h[:0], whole]))
-                pos, doc = np.concatenate([pos, first[short]]), np.concatenate([doc, short])
-                if len(pos):
-                    keys = [mix64(k ^ mix64(host[i + doc].view(np.uint64))).view(np.int64) for k in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array(page[i + doc]), pa.array((at[i + doc] + pos - first[doc]).astype(np.int32)), *map(pa.array, keys)], ["page", "at", "run", "more"])
-
-    return map_arrow(streams.select("host", "page", "at", "part", F.col("named").cast("long").alias("named")), run, "page long, at int, run long, more long")
-
-
-def hash_of(h: np.ndarray) -> int:
-    """Of all hashes in order; not the hash of a run of LONG."""
-    out = len(h)
-    for x in h.tolist():
-        out = (out * 0xD6E8FEB86659FD93 + x) & (1 << 64) - 1
-    return int(mix64(np.array([out ^ 0x5851F42D4C957F2D], np.uint64))[0])
-
-
-def _kept(text: str, parts: list[dict], begins: list[int] | None) -> str:
-    """text without the tokens of its parts in doubt that runs from begins cover."""
-    if not begins:
-        return text
+def _decided(text: str, runs: list[dict] | None) -> tuple[str, int]:
+    """(text without what the suffix array removes, tokens of it that other pages share)."""
+    if not runs:
+        return text, 0
     tokens = text.split(" ")
-    cover = np.zeros(len(tokens) + LONG + 1, np.int64)
-    np.add.at(cover, np.array(begins), 1)
-    np.add.at(cover, np.array(begins) + LONG, -1)
-    hit = np.cumsum(cover) > 0
-    gone = np.zeros(len(tokens), bool)
-    for p in parts:
-        own = slice(p["at"], p["at"] + p["part"].count(" ") + 1)
-        gone[own] = hit[own]
-    return " ".join(w for w, g in zip(tokens, gone.tolist(), strict=True) if not g)
+    shared, gone = np.zeros(len(tokens) + 1, np.int64), np.zeros(len(tokens) + 1, np.int64)
+    for r in runs:
+        for cover in (shared, gone) if r["gone"] else (shared,):
+            cover[r["at"]] += 1
+            cover[r["at"] + r["size"]] -= 1
+    shared, gone = np.cumsum(shared)[:-1] > 0, np.cumsum(gone)[:-1] > 0
+    return " ".join(w for w, g in zip(tokens, gone.tolist(), strict=True) if not g), int((shared & ~gone).sum())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row."""
+    """(page_id, url, text, n_chars, n_shared) of every row; n_shared: tokens of the text in runs of LONG that another page of the host has as well."""
+    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    parsed = cut_lineage(_parsed(pages), "pages")
-    sure = parsed.filter("size(parts) = 0")
-    out = sure.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    open_ = parsed.filter("size(parts) > 0")
-    if open_.isEmpty():
-        return out
-    hosts = open_.select("host").distinct()
-    small = hosts.count() <= BROADCAST_HOSTS
-    parts = open_.select("host", "page", "named", F.explode("parts").alias("p")).select("host", "page", "p.at", "p.part", "named")
-    own = _runs(parts)
-    outside = parsed.filter("other <> ''").join(F.broadcast(hosts) if small else hosts, "host", "left_semi").select("host", "page", F.lit(0).alias("at"), F.col("other").alias("part"), F.lit(False).alias("named"))
-    key = ["run", "more"]
-    shared = own.select(*key, "page").union(_runs(outside).select(*key, "page")).groupBy(*key).agg(F.min("page").alias("low"), F.max("page").alias("high")).filter("low <> high").select(*key)
-    hits = own.join(shared, key, "left_semi").groupBy("page").agg(F.collect_set("at").alias("begins"))  # no more than the page's tokens
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [_kept(t, p, h) for t, p, h in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return out.unionByName(map_batches(open_.join(hits, "page", "left").select("page_id", "url", "text", "parts", "begins"), run, "page_id long, url string, text string, n_chars long"))
+    pages = pages.withColumn("host", host).withColumn("page", F.xxhash64("host", F.coalesce("page_id", F.lit(0)), F.col("page_id").isNull(), "html"))  # rows of one host, id and html are one page
+
+    def parse(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [[s for s in streams(t) if s[2]] if t else [] for t in b.column(4).to_pylist()]
+        at, kind = (pa.array([[s[k] for s in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([*b.columns[:4], at, kind, pa.array([pack_streams(f) for f in found], pa.binary())], ["page_id", "url", "host", "page", "at", "kind", "packed"])
+
+    def decide(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*(b.column(c).to_pylist() for c in ("at", "packed", "runs")), strict=True)
+        text, shared = zip(*(_decided(" ".join(s for s, a in zip(unpack_streams(p), at, strict=True) if a >= 0), r) for at, p, r in rows), strict=True)
+        return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(shared, pa.int64())], ["page_id", "url", "text", "n_chars", "n_shared"])
+
+    parsed = map_batches(pages.select("page_id", "url", "host", "page", "html"), parse, "page_id long, url string, host long, page long, at array<int>, kind array<int>, packed binary")
+    parsed = parsed.repartition(parallelism(pages.sparkSession), "page")  # one shuffle, which keys, pieces and the last join read
+    runs = shared_runs(parsed, LONG).groupBy("page").agg(F.collect_list(F.struct("at", "size", "gone")).alias("runs"))  # no more than the page's tokens
+    return map_batches(parsed.join(runs.hint("merge"), "page", "left"), decide, "page_id long, url string, text string, n_chars long, n_shared long")
 
 
 def op3_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
