@@ -23,16 +23,13 @@ def _written(c: Column) -> Column:
 
 
 def sheet(s, d, ids: dict[str, str], quantity: str, evidence: str | None = None) -> DataFrame:
-    """A row a part: ids are made of k, the part's number; quantity and evidence name the columns of a sample, {n}, the {i}th."""
-    q = quant(s, d).withColumn("k", F.substring("feature_id", 2, 99).cast("long"))
+    """A row a part: ids are made of k, the part's number; quantity and evidence name the columns of a sample, {n}, the {i}th. Cells are gathered as numbers and written in the part's row; k is aggregated as well, so what is asked of ids is asked of parts, not of lines."""
+    q = quant(s, d)
     own = [r.sample for r in mx.sample_rows(bridge.samples(s, d))]
-
-    def cells(name: str, column: str) -> list[Column]:
-        return [F.max(F.when(F.col("sample") == n, _written(F.col(column)))).alias(name.format(n=n, i=i)) for i, n in enumerate(own, 1)]
-
-    rows = q.groupBy("k").agg(*cells(quantity, "value"), *(cells(evidence, "ident") if evidence else []))
-    others = [F.col(text.quoted(c)) for c in rows.columns if c != "k"]
-    return rows.select(*[F.expr(c).alias(n) for n, c in ids.items()], *others, F.col("k").alias("row_idx"))
+    names = [(name.format(n=n, i=i), column, n) for name, column in ((quantity, "value"), (evidence, "ident")) if name for i, n in enumerate(own, 1)]
+    rows = q.groupBy("feature_id").agg(F.max(F.substring("feature_id", 2, 99).cast("long")).alias("k"), *[F.max(F.when(F.col("sample") == n, F.col(c))).alias(label) for label, c, n in names])
+    cells = [_written(F.col(text.quoted(label))).alias(label) for label, *_ in names]
+    return rows.select(*[F.expr(c).alias(n) for n, c in ids.items()], *cells, F.col("k").alias("row_idx"))
 
 
 #: Two parts share an accession; every thirteenth has none.

@@ -52,6 +52,7 @@ class Dataset:
     first_column: str = ""
     mode: str = ""
     ending: str = ""
+    samples: tuple[str, ...] = ()
 
 
 def delimiter(header: str) -> str:
@@ -243,7 +244,7 @@ def imported(raw: DataFrame, family: str | None = None, fmt: str | None = None,
     raw = raw.withColumns({"accession_": _first(raw, f.ids["accession"], text.clean_accession), "protein_name_": _first(raw, f.ids["protein_name"], protein), "gene_name_": _first(raw, f.ids["gene_name"], text.take_first)})
     if fmt == "maxquant":  # entries that the header doesn't name
         raw = raw.withColumn("protein_name_", F.coalesce("protein_name_", _first(raw, ("Protein names", "Protein Names"), text.take_first), "accession_"))
-    raw = raw.withColumn("row_id_", F.col(f"{row_id}_")).filter("row_id_ is not null and row_id_ <> ''")
+    raw = raw.withColumn("row_id_", F.col(f"{row_id}_")).filter("row_id_ <> ''")
     raw = text.unique_ids(raw, "row_id_", ["row_idx"], "feature_id")
     # cells are made rows as they are written, and parsed then, so the plan has one parser however many samples there are
     none = F.lit(None).cast("string")
@@ -253,7 +254,7 @@ def imported(raw: DataFrame, family: str | None = None, fmt: str | None = None,
     long = raw.select("feature_id", F.explode(F.array(*cells)).alias("c")).select("feature_id", "c.sample", value.alias("value"), ident.alias("ident"))
     meta = raw.select("row_idx", F.col("row_id_").alias("row_id"), "feature_id", F.col("accession_").alias("accession"), F.col("protein_name_").alias("protein_name"), F.col("gene_name_").alias("gene_name"))
     found = f"{LABELS[fmt]}: {len(quantity)} quantity columns" + (f", {len(evidence)} of identification" if evidence is not None else "")
-    return Dataset(fmt, long, meta, note, found, names[0])
+    return Dataset(fmt, long, meta, note, found, names[0], samples=tuple(shown))
 
 
 def load_matrix(spark: SparkSession, path: str, zero_mode: ZeroMode) -> Dataset:
@@ -304,7 +305,7 @@ def matrix_of(raw: DataFrame, zero_mode: ZeroMode, ending: str = "") -> Dataset:
         if not r.n:
             raise MatrixError(f"sample {r.sample} has no values")
     out = long.select("feature_id", "sample", "raw_value", "value", F.col("value").isNull().alias("is_missing"), "is_explicit_missing", F.lit(None).cast("double").alias("ident"))
-    return Dataset("standard", out, long.select("row_idx", "feature_id").distinct(), "", "identifiers and a column for each sample", names[0], zero_mode.value, ending)
+    return Dataset("standard", out, long.select("row_idx", "feature_id").distinct(), "", "identifiers and a column for each sample", names[0], zero_mode.value, ending, tuple(own))
 
 
 def load_dataset(spark: SparkSession, path: str, family: str, zero_mode: ZeroMode | None = None, fmt: str | None = None, row_id: str = "accession") -> Dataset:
@@ -343,8 +344,9 @@ def input_summary(d: Dataset) -> DataFrame:
 
 
 def format_summary(d: Dataset, family: str) -> DataFrame:
-    """(Metric, Value) of a vendor's table."""
-    one = d.cells.agg(F.count_distinct("feature_id").alias("features"), F.count_distinct("sample").alias("samples"))
+    """(Metric, Value) of a vendor's table. Every row has a cell of each sample, so rows are counted, not cells."""
+    features = F.count_distinct("feature_id")
+    one = d.meta.agg(features.alias("features"), F.when(features > 0, len(d.samples)).otherwise(0).alias("samples"))
     return _metrics(one, [("Input category", F.lit(family)), ("Detected/selected format", F.lit(LABELS[d.format])), ("Data level", F.lit("protein")), ("Feature count", F.col("features")), ("Sample count", F.col("samples")), ("Format evidence", F.lit(d.evidence or "chosen by hand"))])
 
 
