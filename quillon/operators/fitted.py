@@ -2,7 +2,7 @@
 
 A sample is a row with the vector of its features. Predictions come back as a long table, (id, part, fold, actual, predicted, probabilities): part is cross_validation or test, and probabilities are in the order of the classes. The tables of resample are made of it. Every fit asks policy first.
 
-Models are fitted at once by a few threads of the driver, each a Spark job of its own. The frame is kept in memory or on disk meanwhile; it has a row a sample.
+Models are fitted at once by a few threads of the driver, each a Spark job of its own. The frame is kept in memory or on disk meanwhile; it has a row a sample. A matrix of few samples has no such frame: its forests (matrix_predictions, matrix_importance) are grown over rows of features by wide_forest.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -19,8 +20,9 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import places, policy
+from quillon.operators import places, policy, wide_forest
 from quillon.operators import resample as rs
+from quillon.operators.matrix import profiles_of, sample_rows
 
 #: Features of a vector; more are refused, as a sample's lie in one row.
 FEATURES = 1_000_000
@@ -113,6 +115,58 @@ def forest_importance(frame: DataFrame, names: DataFrame, trees: int = 500, seed
     return names.join(used, "i").select("feature_id", "importance")
 
 
+def _bootstrapped(train: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """(trees, samples): how often each sample is drawn from the trained ones, as many times as there are."""
+    own, rng = np.flatnonzero(train), np.random.default_rng(seed)
+    return np.array([np.bincount(own[rng.integers(0, len(own), len(own))], minlength=len(train)) for _ in range(trees)])
+
+
+def _labels(samples: DataFrame) -> tuple[DataFrame, list[str], list[str], np.ndarray]:
+    """((id, y) of the samples that have a group, their names in order, classes, the class of each)."""
+    labels = samples.filter("grp is not null").select(F.col("sample").alias("id"), F.col("grp").alias("y"))
+    rows = sorted(sample_rows(samples.filter("grp is not null")), key=lambda r: r.sample)
+    classes = sorted({r.grp for r in rows})
+    return labels, [r.sample for r in rows], classes, np.array([classes.index(r.grp) for r in rows])
+
+
+def _profiles(p: DataFrame, samples: DataFrame, names: list[str]) -> DataFrame:
+    """Profiles of the named samples of a prepared matrix: cells, or profiles of all samples."""
+    if "v" not in p.columns:
+        return profiles_of(p.filter(F.col("sample").isin(names)))
+    at = [i for i, s in enumerate(sorted(r.sample for r in sample_rows(samples))) if s in set(names)]
+    return p.select("feature_id", F.transform(F.array(*[F.lit(i) for i in at]), lambda i: F.get("v", i)).alias("v"))
+
+
+def matrix_predictions(p: DataFrame, samples: DataFrame, trees: int = 500, seed: int = 123, mode: str = "auto", exploratory: bool = False, share: float = 0.7) -> DataFrame:
+    """forest_predictions of a prepared matrix with any number of features. The forests of all folds grow together."""
+    labels, names, classes, y = _labels(samples)
+    d = policy.demanded(labels, "forest", mode=mode, exploratory=exploratory)
+    fold = {r.id: r.fold for r in rs.folds(labels, d.folds, seed).collect()}  # a row a sample
+    fold = np.array([fold[s] for s in names])
+    fits = [("cross_validation", k, fold == k, seed + k) for k in range(1, d.folds + 1)]
+    if d.holds_out:
+        part = {r.id: r.part for r in rs.train_test(labels, share, seed, min_train=2).collect()}
+        fits.append(("test", None, np.array([part[s] == "test" for s in names]), seed))
+    g = wide_forest.grow(_profiles(p, samples, names), y, len(classes), np.concatenate([_bootstrapped(~held, trees, s) for *_, held, s in fits]), seed)
+    out = []
+    for i, (part, k, held, _) in enumerate(fits):
+        shares = g.leaf[g.node[i * trees : (i + 1) * trees]].mean(0)
+        out += [(names[j], part, k, classes[y[j]], shares[j].tolist()) for j in np.flatnonzero(held)]
+    pred = p.sparkSession.createDataFrame(out, "id string, part string, fold int, actual string, probabilities array<double>")
+    return pred.select("id", "part", "fold", "actual", rs.likeliest(F.col("probabilities"), classes).alias("predicted"), "probabilities")
+
+
+def matrix_importance(p: DataFrame, samples: DataFrame, trees: int = 500, seed: int = 123, exploratory: bool = False) -> DataFrame:
+    """forest_importance of a prepared matrix with any number of features: each tree's drops of impurity sum to 1, and so do their means."""
+    labels, names, classes, y = _labels(samples)
+    policy.demanded(labels, "forest", exploratory=exploratory)
+    g = wide_forest.grow(_profiles(p, samples, names), y, len(classes), _bootstrapped(np.ones(len(names), bool), trees, seed), seed)
+    of = p.sparkSession.createDataFrame(g.splits, "tree int, feature_id string, drop_ double")  # a row a split
+    per = of.groupBy("tree", "feature_id").agg(F.sum("drop_").alias("d")).withColumn("d", F.col("d") / F.sum("d").over(rs.Window.partitionBy("tree")))
+    total = len({t for t, *_ in g.splits})
+    return per.groupBy("feature_id").agg((F.sum("d") / max(1, total)).alias("importance"))
+
+
 def penalties(frame: DataFrame, n: int = PENALTIES, alpha: float = 1.0, ratio: float = RATIO) -> list[float]:
     """n penalties, falling by even factors from the least that lets no feature in. The scaled features' products with the classes are summed in one pass."""
     classes = classes_of(frame)

@@ -677,14 +677,14 @@ _PREDICTED = "id {0}, part string, fold int, actual string, predicted string, pr
 def forest_predictions(s, d):
     """Out-of-fold predictions of the samples' groups. Five samples a group: exploratory."""
     p, own = half_prepared(s, d)
-    return _shown(_or_none(s, lambda: fitted.forest_predictions(fitted.frame_of(mx.prepared(dense(s, d), 0.5), own), exploratory=True), _PREDICTED.format("string")), GROUPS)
+    return _shown(_or_none(s, lambda: fitted.matrix_predictions(p, own, exploratory=True), _PREDICTED.format("string")), GROUPS)
 
 
 @query()
 def forest_importance(s, d):
     """Features by their importance in a forest of all samples."""
     p, own = half_prepared(s, d)
-    table = _or_none(s, lambda: fitted.forest_importance(fitted.frame_of(mx.prepared(dense(s, d), 0.5), own), fitted.feature_places(p), exploratory=True), "feature_id string, importance double")
+    table = _or_none(s, lambda: fitted.matrix_importance(p, own, exploratory=True), "feature_id string, importance double")
     return sl.by_importance(table, "importance", 50).select("rank", "feature_id", F.round("importance", 9).alias("importance"))
 
 
